@@ -84,9 +84,15 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def if_small(ids: DataFrame, name: str, max_rows: int = 1 << 21) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast only if counted at most max_rows (32 MB of long keys)."""
+    held = materialise(ids, name)
+    return F.broadcast(held) if held.count() <= max_rows else held
+
+
 def chosen_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids in dropped. Only the (written) id table meets the documents; Spark broadcasts it if its files are small."""
-    gone = materialise(dropped.select(F.col(dropped.columns[0]).alias("_gone")).where("_gone IS NOT NULL"), "dropped")
+    """docs without the ids in dropped. The id table is broadcast if it is small, else joined by key."""
+    gone = if_small(dropped.select(F.col(dropped.columns[0]).alias("_gone")).where("_gone IS NOT NULL"), "dropped")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, plain_text
+from .common import if_small, materialise, plain_text
 
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = 20_000, window: int
     counts again. Without labelled rows the model scores every text 0.5.
     """
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IS NOT NULL")
-    rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("text")).join(marked, "_id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("text")).join(if_small(marked, "marked"), "_id").select("text", "toxic")
     model = Model(learn_lexicon(rows, max_terms), window=window)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
