@@ -16,7 +16,7 @@ from .graph import connected_components
 
 SEED = 42
 #: Low bits of a variant's tag that are compared before whole variants travel.
-TAG_BITS = 24
+TAG_BITS = 30
 #: Variants that one owner task compares at a time, at most about this many.
 OWNER_ROWS = 1 << 22
 BATCH = 4096
@@ -59,11 +59,27 @@ def ball(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r)], dtype=np.uint64)
 
 
-def _mix(v: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads them evenly."""
-    v = (v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    v = (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return v ^ (v >> np.uint64(32))
+def _tags(values: np.ndarray, masks: np.ndarray, shift: int) -> np.ndarray:
+    """The leading bits of a multiplicative hash of every variant, value by value; blocks of values stay in cache."""
+    out = np.empty((len(values), len(masks)), np.uint64)
+    for i in range(0, len(values), 32):
+        v = out[i : i + 32]
+        np.bitwise_xor(values[i : i + 32, None], masks[None, :], out=v)
+        v ^= v >> np.uint64(32)
+        v *= np.uint64(0x9E3779B97F4A7C15)
+        v >>= np.uint64(shift)
+    return out.ravel()
+
+
+def _member(wanted: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Places of the tags that are in the ascending array wanted; a bit map rules most others out first."""
+    if not len(wanted):
+        return np.empty(0, np.int64)
+    low = np.uint64((1 << 22) - 1)
+    there = np.zeros(1 << 22, bool)
+    there[wanted & low] = True
+    at = np.flatnonzero(there[tags & low])
+    return at[wanted[np.minimum(np.searchsorted(wanted, tags[at]), len(wanted) - 1)] == tags[at]]
 
 
 def _u64(col: pa.ChunkedArray) -> np.ndarray:
@@ -102,19 +118,19 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     n = fps.count()
     n_batches = max(1, -(-n // BATCH))
     owner_bits = max(0, (n * len(masks) // OWNER_ROWS).bit_length())
-    shift = np.uint64(64 - owner_bits - TAG_BITS)
-    rows = fps.select(F.pmod(F.xxhash64("fp"), F.lit(n_batches)).cast("int").alias("batch"), "fp")
-
-    def tags_of(values: np.ndarray) -> np.ndarray:
-        return _mix((values[:, None] ^ masks[None, :]).ravel()) >> shift
+    shift = 64 - owner_bits - TAG_BITS
+    # A batch is little data and much work: a fixed number of partitions keeps them from being merged.
+    rows = fps.select(F.pmod(F.xxhash64("fp"), F.lit(n_batches)).cast("int").alias("batch"), "fp").repartition(n_batches, "batch")
 
     def emit(t: pa.Table) -> pa.Table:
-        tags = np.unique(tags_of(_u64(t.column("fp"))))
-        owner = (tags >> np.uint64(TAG_BITS)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        parts = np.split(tags & np.uint64((1 << TAG_BITS) - 1), starts[1:])
-        k = len(starts)
-        return pa.table({"owner": pa.array(owner[starts], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * k, pa.int32()), "tags": pa.array([pack_sorted(x) for x in parts], pa.binary())})
+        tags = np.sort(_tags(_u64(t.column("fp")), masks, shift))
+        tags = tags[np.concatenate(([True], tags[1:] != tags[:-1]))]
+        edges = np.arange((1 << owner_bits) + 1, dtype=np.uint64) << np.uint64(TAG_BITS)
+        cut = np.searchsorted(tags, edges)
+        owner = np.flatnonzero(np.diff(cut))
+        parts = [tags[cut[o] : cut[o + 1]] & np.uint64((1 << TAG_BITS) - 1) for o in owner.tolist()]
+        k = len(owner)
+        return pa.table({"owner": pa.array(owner, pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * k, pa.int32()), "tags": pa.array([pack_sorted(x) for x in parts], pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
         each = [unpack_sorted(x) for x in t.column("tags").to_pylist()]
@@ -134,25 +150,19 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         values = _u64(mine.column("fp"))
         out_v, out_a, out_b = [], [], []
         if len(values):
-            tags = tags_of(values)
+            tags = _tags(values, masks, shift)
             wanted = [np.empty(0, np.uint64)]
             wanted += [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
             wanted = np.sort(np.concatenate(wanted))
-            order = np.argsort(tags)
-            ranked = tags[order]
-            local = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
-            if len(wanted):
-                at = np.minimum(np.searchsorted(wanted, ranked), len(wanted) - 1)
-                met = wanted[at] == ranked
-            else:
-                met = np.zeros(len(ranked), bool)
-            pick = order[met | local[1:] | local[:-1]]
-            far = np.zeros(len(tags), bool)
-            far[order[met]] = True
+            ranked = np.sort(tags)
+            local = ranked[1:][ranked[1:] == ranked[:-1]]
+            pick = _member(np.unique(np.concatenate((wanted, local))), tags)
+            met = np.zeros(len(pick), bool)
+            met[_member(wanted, tags[pick])] = True
             who, flip = values[pick // len(masks)], masks[pick % len(masks)]
             v = who ^ flip
             by = np.lexsort((who, v))
-            v, who, far = v[by], who[by], far[pick][by]
+            v, who, far = v[by], who[by], met[by]
             first = np.flatnonzero(np.concatenate((v[:1] == v[:1], v[1:] != v[:-1])))
             group = np.cumsum(np.bincount(first, minlength=len(v))) - 1 if len(v) else np.empty(0, np.int64)
             centre = who[first][group] if len(v) else who
