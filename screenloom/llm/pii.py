@@ -94,13 +94,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, window_chars: int, supp
     around = F.concat(F.substring("text", left + 1, F.col("s.start") - left), F.lit(" "), F.substring("text", F.col("s.stop") + 1, F.lit(window_chars)))
     around = near.select("id", F.xxhash64("s.value").alias("entity"), around.alias("around"), F.xxhash64(around).alias("place"))
     term = around.select("id", "entity", "place", F.explode(F.array_distinct(F.split("around", SPACE))).alias("term")).where(F.col("term").rlike(r"^\p{L}[\p{L}'’-]{2,39}$"))
-    # Distinct surroundings first: pairs without support never meet the corpus counts.
-    seen = term.groupBy("term", "entity", "place").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.count("*").alias("places"))
-    likely = materialise(seen.where(F.col("places") >= support).select("term", "entity"), "terms")
+    term = materialise(term, "surroundings")
+    seen = term.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("places"))
+    both = term.select("id", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both"))
+    # Texts with the term near any entity are at most all texts with it: pairs that fail on them fail on all.
+    near_any = term.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    likely = seen.where(F.col("places") >= support).join(both, ["term", "entity"]).join(near_any, "term")
+    likely = materialise(likely.where(F.col("n_both") >= min_disclosure * F.col("n_near")).select("term", "entity", "n_both"), "terms")
     words = texts.select("id", F.explode(F.array_distinct(F.split("text", SPACE))).alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("n_texts")).join(likely.select("term").distinct(), "term", "left_semi")
-    both = term.join(likely, ["term", "entity"], "left_semi").select("id", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both"))
-    share = both.join(df, "term").select("term", "entity", (F.col("n_both") / F.col("n_texts")).alias("disclosure"))
+    share = likely.join(df, "term").select("term", "entity", (F.col("n_both") / F.col("n_texts")).alias("disclosure"))
     return share.where(F.col("disclosure") >= min_disclosure)
 
 
