@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_sorted, plain_text, unpack_sorted
+from .common import if_small, materialise, pack_sorted, plain_text, unpack_sorted
 
 ORDER = 5
 CHUNK = 1 << 21
@@ -157,7 +157,7 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, id_
     language, or of all trusted texts if the language has none (null is a language of its own); without trusted texts
     all are kept. Repeated rows and null ids are rows of their own; an empty table gives none.
     """
-    ids = materialise(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct(), "trusted")
+    ids = if_small(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct(), "trusted")
     texts = docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi").select(plain_text(text_col).cast("binary").alias("data"))
     model = KneserNey(count_grams(texts))
     scored = perplexities(docs.withColumnRenamed(lang_col, "lang"), model, id_col, text_col, ("lang",), batch_bytes)
