@@ -16,10 +16,11 @@ from .graph import connected_components
 
 SEED = 42
 #: Low bits of a variant's tag that are compared before whole variants travel.
-TAG_BITS = 30
+TAG_BITS = 29
 #: Variants that one owner task compares at a time, at most about this many.
-OWNER_ROWS = 1 << 22
-BATCH = 4096
+OWNER_ROWS = 1 << 21
+#: Fingerprints whose variants one task holds at a time (17 MB an array).
+BATCH = 1024
 
 
 def fingerprint(data: bytes, width: int) -> int:

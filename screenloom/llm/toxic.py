@@ -21,6 +21,8 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: A doc's features: hits by edits (0, 1, 2) in abuse, then in quotation; each counted up to CAP.
 N_FEATURES, CAP = 6, 3
 CACHE = 1 << 20
+#: Words whose match a task remembers.
+REMEMBERED = 1 << 18
 #: Lengths of the word beginnings that are tried as stems.
 STEM = (4, 5, 6, 7)
 
@@ -114,7 +116,7 @@ class Scorer:
 
     def match(self, w: str) -> tuple[str, int] | None:
         if w not in self.seen:
-            if len(self.seen) >= CACHE:
+            if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
             self.seen[w] = None if w in self.model.exceptions else self.trie.near(w)
         return self.seen[w]
