@@ -167,3 +167,36 @@ def test_targets_share_everything():
     got = mix.targets({"a": 10, "b": 1000, None: 5}, (5, 2, 1), 3)
     assert [s.source for s in got] == ["a", "b", None] and sum(s.target for s in got) == pytest.approx(1015)
     assert got[0].target == 30 and got[2].target == 15 and np.isclose(got[1].target, 970)
+
+
+def test_pipeline_matches_brute_force(spark):
+    import corpus_pipeline
+
+    d = pd.read_parquet(f"{DIR}/documents.parquet")
+    scorer = queries.toxicity_model(spark, DIR).scorer()
+    left = d[[scorer.score(t) < queries.TOXIC_AT for t in d.text]].sort_values("doc_id")
+    left = left[~left.text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)).duplicated()]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in left.text]
+    group = list(range(len(fps)))
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 4 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    left = left[[g == i for i, g in enumerate(group)]]
+    bench = pd.read_parquet(f"{DIR}/benchmark.parquet").text
+    seeds = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.findall(r"[^\W_]+", t.lower()) for t in bench)]
+    whole = {n for n, s in enumerate(seeds) if s}
+
+    def clean(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return not any(seeds[n] <= own for n in whole)
+
+    left = left[left.text.map(clean)]
+    got = corpus_pipeline.run(spark, DIR).toPandas()
+    assert sorted(got.doc_id) == sorted(left.doc_id)
+    con = duckdb.connect()
+    con.register("documents", left[["doc_id", "text", "source"]])
+    want = con.execute(queries.SQL["op3_mix"]).fetchdf()
+    assert dict(zip(got.doc_id, got.taken)) == dict(zip(want.doc_id, want.taken))
