@@ -22,7 +22,7 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 N_FEATURES, CAP = 6, 3
 CACHE = 1 << 20
 #: Words whose match a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Lengths of the word beginnings that are tried as stems.
 STEM = (4, 5, 6, 7)
 
