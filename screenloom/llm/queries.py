@@ -110,6 +110,15 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op7_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     g AS (SELECT html, max(page_id) AS response_id, sha1(html) AS h FROM p GROUP BY html),
+     d AS (SELECT html, response_id, array_to_string(list_transform(range(32), lambda i:
+                  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS digest FROM g)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM d.response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM d.response_id THEN d.response_id END AS refers_to
+FROM p JOIN d ON p.html = d.html""",
     "op3_mix": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),

@@ -32,9 +32,13 @@ def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
-    want, got = con.execute(queries.SQL[name]).fetchdf(), queries.QUERIES[name](spark, DIR).toPandas()
-    key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)))
-    assert key(got) == key(want)
+    want = con.execute(queries.SQL[name])
+    columns = sorted(c[0] for c in want.description)
+    at = [[c[0] for c in want.description].index(c) for c in columns]
+    found = queries.QUERIES[name](spark, DIR)
+    assert sorted(found.columns) == columns
+    # Plain Python values on both sides: whole numbers stay whole and nulls are None whatever the column's type.
+    assert sorted(repr(tuple(r)) for r in found.select(*columns).collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
 def test_simhash_matches_brute_force(spark):
@@ -163,6 +167,25 @@ def test_edges_and_empty_tables(spark):
         assert quality.quality(d, d.select("doc_id").limit(2)).count() == n
 
 
+def test_empty_tables_of_the_other_operators(spark):
+    none = docs(spark, [])
+    model = toxic.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert model.terms == [] and none.select(toxic.score(model)).count() == 0
+    assert {r["s"] for r in docs(spark, EDGE).select(toxic.score(model).alias("s")).collect()} == {0.5}
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.render(chat.fold(chat.turn_events(turns)))).count() == 0
+    assert warc.read_index(warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_chat_takes_nulls_ties_and_repeats(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "first"), (None, 2, "assistant", "a\r\n|>"), (2, 0, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.turn_events(turns)))).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"\nfirst\nuser\n\nuser\n\n").hexdigest()
+    assert got[None]["loss_chars"] == 5 and got[None]["loss_sha256"] == hashlib.sha256(b"a\r\n|>").hexdigest()
+    assert got[2]["loss_chars"] == 0 and got[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_targets_share_everything():
     got = mix.targets({"a": 10, "b": 1000, None: 5}, (5, 2, 1), 3)
     assert [s.source for s in got] == ["a", "b", None] and sum(s.target for s in got) == pytest.approx(1015)
