@@ -111,6 +111,30 @@ def test_nb_glm_finds_a_shift(spark):
         assert full[g] == pytest.approx(shrunk[g], abs=0.1)
 
 
+def test_nb_glm_covariates_and_outlier_filter(spark):
+    rng = np.random.default_rng(7)
+    n = 200
+    label = np.array(["ctrl"] * 100 + ["KO"] * 100)
+    batch = np.array(["b1"] * 80 + ["b2"] * 20 + ["b1"] * 20 + ["b2"] * 80)
+    depth = rng.normal(size=n)
+    y = rng.poisson(rng.gamma(10, 4, (n, 5)))
+    y[:, 0] = rng.poisson(rng.gamma(10, 4, n) * np.where(batch == "b2", 4, 1))
+    y[:, 1] = rng.poisson(rng.gamma(10, 4, n) * np.where(label == "KO", 3, 1) * np.where(batch == "b2", 2, 1) * np.exp(depth / 2))
+    y[150, 2] = 100_000
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "cell_id long, values array<double>")
+    obs = spark.createDataFrame([(i, str(label[i]), str(batch[i]), float(depth[i])) for i in range(n)], "cell_id long, lab string, batch string, depth double")
+    var = spark.createDataFrame([(i,) for i in range(5)], "gene_id int")
+    ones = obs.select("cell_id", F.lit(1.0).alias("size_factor"))
+    x = store.from_dense(rows)
+    plain = {r["gene_id"]: r for r in nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=ones).collect()}
+    held = {r["gene_id"]: r for r in nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=ones, covariates=("batch", "depth"), cook_filter=True).collect()}
+    assert plain[0]["logfoldchange"] > 0.8 and plain[0]["pvalue"] < 1e-3
+    assert abs(held[0]["logfoldchange"]) < 0.3 and held[0]["pvalue"] > 1e-3
+    assert held[1]["logfoldchange"] == pytest.approx(math.log2(3), abs=0.25) and held[1]["pvalue"] < 1e-6
+    assert plain[2]["pvalue"] is not None and held[2]["pvalue"] is None and not held[2]["converged"]
+    assert all(held[g]["pvalue"] is not None for g in (3, 4))
+
+
 def test_pca_matches_svd(spark):
     data = np.random.default_rng(42).normal(size=(50, 6)) * [10, 5, 1, 1, 1, 1]
     rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(data)], "cell_id long, values array<double>")
