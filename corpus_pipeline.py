@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm import exact, mix, simhash, tiling, toxic
-from screenloom.llm.common import chosen_ids, materialise, one_per_id
+from screenloom.llm.common import chosen_ids, chosen_rows, materialise, one_per_row
 from screenloom.llm.queries import TOXIC_AT, table, toxicity_model
 
 
@@ -17,19 +17,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of equal texts; an id that repeats stays once."""
+    """The document of smallest id of each group of equal texts; rows alike in id and text leave one.
+
+    Rows that share an id, or have none, are documents of their own where their texts differ.
+    """
     found = exact.exact_groups(docs)
-    return one_per_id(chosen_ids(docs, found.where("NOT kept").select("id").distinct()))
+    norm = exact.normalised("text")
+    gone = found.where("NOT kept").select("id", F.xxhash64("text_sha256").alias("key")).distinct()
+    return one_per_row(chosen_rows(docs, gone, F.xxhash64(exact.sha256_text(norm))), norm)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each SimHash component, on shingles of five words.
 
     Fingerprints within 4 of 64 bits stand for a cosine of shingle counts of 0.98 and more, so for similarities far
-    above 0.8.
+    above 0.8. An id goes if all its rows are such copies; documents without an id stay.
     """
     found = simhash.near_groups(docs, width=5, radius=4)
-    return one_per_id(chosen_ids(docs, found.where("id <> component").select("id").distinct()))
+    gone = found.groupBy("id").agg(F.bool_and(F.col("id") != F.col("component")).alias("gone"))
+    return chosen_ids(docs, gone.where("gone").select("id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,13 +91,20 @@ def if_small(ids: DataFrame, name: str, max_rows: int = 1 << 21) -> DataFrame:
 
 
 def chosen_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids in dropped. The id table is broadcast if it is small, else joined by key."""
+    """docs without the ids in dropped (nulls there drop nothing). The id table is broadcast if it is small, else joined by key."""
     gone = if_small(dropped.select(F.col(dropped.columns[0]).alias("_gone")).where("_gone IS NOT NULL"), "dropped")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
-def one_per_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeated rows of one id leave one row; texts move only where an id does repeat."""
+def chosen_rows(docs: DataFrame, dropped: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows of dropped (id, key): rows that share an id, or have none, are told apart by their key."""
+    i, k = dropped.columns
+    gone = if_small(dropped.select(F.col(i).alias("_gone"), F.col(k).alias("_key")), "dropped")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (key == gone["_key"]), "left_anti")
+
+
+def one_per_row(docs: DataFrame, what: Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows alike in id and in what leave one row; texts move only where an id does repeat."""
     if docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
         return docs
-    return docs.dropDuplicates([id_col])
+    return docs.withColumn("_what", what).dropDuplicates([id_col, "_what"]).drop("_what")

@@ -192,6 +192,19 @@ def test_targets_share_everything():
     assert got[0].target == 30 and got[2].target == 15 and np.isclose(got[1].target, 970)
 
 
+def test_dedup_stages_keep_other_texts_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, "same text"), (2, "same  text"), (2, "its own text"), (None, "same text"), (None, "no id one"), (None, "no id two"), (None, "no id two"), (5, None), (6, ""), (7, long), (8, long + " more"), (8, "far from that")]
+    left = corpus_pipeline.drop_copies(spark, docs(spark, rows), DIR)
+    own = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = [(1, "same text"), (2, "its own text"), (None, "no id one"), (None, "no id two"), (5, None), (7, long), (8, long + " more"), (8, "far from that")]
+    assert own(left) == sorted(want, key=str) and left.columns == docs(spark, []).columns
+    assert own(corpus_pipeline.drop_near_copies(spark, left, DIR)) == sorted(want, key=str)
+    assert own(corpus_pipeline.drop_near_copies(spark, left.where("text <> 'far from that'"), DIR)) == sorted((x for x in want if x[0] not in (5, 8)), key=str)
+
+
 def test_pipeline_matches_brute_force(spark):
     import corpus_pipeline
 
