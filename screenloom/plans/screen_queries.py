@@ -349,3 +349,8 @@ SELECT p_partkey, CASE WHEN lower(c) IN ('', '#') THEN 'NTC' ELSE c END AS clean
 SELECT lab, e - n AS start, e AS "end" FROM c""",
     "label_contiguity": "SELECT round(avg(c), 6) AS contiguity FROM (SELECT count(*) / (max(o_orderkey) - min(o_orderkey) + 1)::DOUBLE AS c FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 20)",
 }
+SQL["correlations"] = f"""WITH a AS ({SQL["wilcoxon_dense"]}), b AS ({SQL["welch_dense"]}),
+p AS (SELECT a.lab, a.gene_id, a.statistic AS x, b.statistic AS y FROM a JOIN b ON a.lab = b.lab AND a.gene_id = b.gene_id WHERE a.statistic IS NOT NULL AND b.statistic IS NOT NULL),
+k AS (SELECT *, rank() OVER (PARTITION BY lab ORDER BY x) + (count(*) OVER (PARTITION BY lab, x) - 1) / 2.0::DOUBLE AS rx,
+             rank() OVER (PARTITION BY lab ORDER BY y) + (count(*) OVER (PARTITION BY lab, y) - 1) / 2.0::DOUBLE AS ry FROM p)
+SELECT lab, count(*) AS n, round(corr(x, y), 5) + 0.0 AS pearson, round(corr(rx, ry), 5) + 0.0 AS spearman FROM k GROUP BY lab"""
