@@ -80,14 +80,22 @@ def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
     ids, data = held["cell_id"].to_numpy(), np.array(held["vec"].tolist(), float).reshape(n, -1)
     shared = spark.sparkContext.broadcast((ids, data, (data * data).sum(axis=1)))
 
+    block = max(1, min(256, (1 << 24) // max(n, 1)))
+    # Twice the most that rounding can move a squared distance, as a share of the two squared norms.
+    slack = 8 * (data.shape[1] + 4) * np.finfo(float).eps
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_ids, own, norm = shared.value
         for pdf in parts:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), block):
+                some = pdf.iloc[at : at + block]
                 q = np.array(some["vec"].tolist(), float)
-                near = np.argpartition((norm - 2 * q @ own.T), min(k + 8, len(own_ids)) - 1, axis=1)[:, : min(k + 8, len(own_ids))]
-                for src, v, c in zip(some["cell_id"], q, near, strict=True):
+                for src, v, rough in zip(some["cell_id"], q, norm - 2 * q @ own.T, strict=True):
+                    # All points that may be as near as the k-th (whole groups of equal distance), and the point itself.
+                    margin = slack * (norm + v @ v)
+                    near = ~(rough - margin > np.partition(rough + margin, min(k, len(own)) - 1)[min(k, len(own)) - 1])
+                    near[np.searchsorted(own_ids, src) : np.searchsorted(own_ids, src, "right")] = True
+                    c = np.flatnonzero(near)
                     d = np.sqrt(((own[c] - v) ** 2).sum(axis=1))
                     best = np.lexsort((own_ids[c], d, own_ids[c] != src))
                     best = best[:k]

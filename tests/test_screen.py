@@ -190,3 +190,18 @@ def test_streamed_sums(spark, screen, tmp_path):
     q.stop()
     got = {(r["lab"], r["gene_id"]): r["s1"] for r in spark.table("sums").collect()}
     assert got["A", 0] == 7.0
+
+
+def test_neighbours_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    vec = np.concatenate([np.repeat(rng.normal(size=(1, 6)), 70, axis=0), rng.normal(size=(130, 6))])
+    ids = rng.permutation(200).tolist()
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vec, strict=True)], "cell_id long, vec array<double>")
+    got = {(r["src"], r["nth"]): r["dst"] for r in dimred.neighbours(points, 5).collect()}
+    copies = sorted(ids[:70])
+    assert len(got) == 1000 and all(got[i, 0] == i for i in ids)
+    assert all([got[i, n] for n in range(1, 5)] == [j for j in copies if j != i][:4] for i in copies)
+    # Whole coordinates: distances are exact, and many are equal though the vectors differ.
+    grid = spark.createDataFrame([((i * 7) % 121, [float(i % 11), float(i // 11)]) for i in range(121)], "cell_id long, vec array<double>")
+    order = ["src", "nth"]
+    assert dimred.neighbours(grid, 3).orderBy(*order).collect() == dimred.neighbours_sql(grid, 3).select("src", "dst", "distance", "nth").orderBy(*order).collect()
