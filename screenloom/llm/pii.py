@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, plain_text
+from .common import if_small, materialise, plain_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: As the contract's patterns, with possessive repeats and run starts, so that time stays linear in the text:
@@ -21,6 +21,10 @@ PATTERNS = {
 #: What a text holds if a kind can match at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
+#: A term is a run of letters, with single apostrophes or hyphens inside, that no letter, digit or underscore touches.
+LEFT, RIGHT = r"(?<![\p{L}\p{M}\p{N}_])(?<![\p{L}\p{M}]['’-])", r"(?![\p{L}\p{M}\p{N}_])(?!['’-][\p{L}\p{M}])"
+TERM = LEFT + r"\p{L}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+" + RIGHT
+TERM_CHARS = (3, 40)
 SPAN = "array<struct<start: int, kind: int, stop: int, value: string>>"
 
 
@@ -81,33 +85,49 @@ def render(spans: Column, names: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(labels, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, window_chars: int, support: int, min_disclosure: float) -> DataFrame:
+def without_entities(text: Column, spans: Column) -> Column:
+    """text with its base spans blanked: as many code points, and no terms inside an e-mail or number."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.greatest(s["start"] - acc["at"], F.lit(0))
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], acc["at"]), F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate(spans, start, add)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def terms_of(plain: Column) -> Column:
+    """The different terms of a text without entities."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))), lambda t: F.length(t).between(*TERM_CHARS))
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, min_disclosure: float) -> DataFrame:
     """(term, entity, disclosure): terms that reveal a protected entity.
 
-    found: (id, text, spans) of texts with base spans; texts: (id, text) of all. Disclosure of an entity by a term is
-    P(entity in the text | term in the text), estimated over all texts; a term is named if that is at least
-    min_disclosure and the pair occurs in at least support different surroundings (so copies of one text count once).
-    Candidates come from window_chars around the entities; only their counts are taken over the whole corpus.
+    found: (text, spans, plain) of texts with base spans; texts: (plain, entities) of all, plain being the text without
+    entities. Disclosure of an entity by a term is P(entity in the text | term in the text), both anywhere in it,
+    counted over all texts (rows); a term is named if that is at least min_disclosure and the pair occurs in at least
+    support different texts (so copies of one text count once).
     """
-    near = found.select("id", "text", F.explode("spans").alias("s")).where(F.length("s.value") > 0)
-    left = F.greatest(F.col("s.start") - window_chars, F.lit(0))
-    around = F.concat(F.substring("text", left + 1, F.col("s.start") - left), F.lit(" "), F.substring("text", F.col("s.stop") + 1, F.lit(window_chars)))
-    around = near.select("id", F.xxhash64("s.value").alias("entity"), around.alias("around"), F.xxhash64(around).alias("place"))
-    term = around.select("id", "entity", "place", F.explode(F.array_distinct(F.split("around", SPACE))).alias("term")).where(F.col("term").rlike(r"^\p{L}[\p{L}'’-]{2,39}$"))
-    term = materialise(term, "surroundings")
-    seen = term.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("places"))
-    both = term.select("id", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both"))
-    # Texts with the term near any entity are at most all texts with it: pairs that fail on them fail on all.
-    near_any = term.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    likely = seen.where(F.col("places") >= support).join(both, ["term", "entity"]).join(near_any, "term")
-    likely = materialise(likely.where(F.col("n_both") >= min_disclosure * F.col("n_near")).select("term", "entity", "n_both"), "terms")
-    words = texts.select("id", F.explode(F.array_distinct(F.split("text", SPACE))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("n_texts")).join(likely.select("term").distinct(), "term", "left_semi")
-    share = likely.join(df, "term").select("term", "entity", (F.col("n_both") / F.col("n_texts")).alias("disclosure"))
+    held = found.select("plain", F.xxhash64("text").alias("copy"), F.array_distinct(F.transform(F.filter("spans", lambda s: F.length(s["value"]) > 0), lambda s: F.xxhash64(s["value"]))).alias("entities"))
+    # No pair occurs in more texts than its entity does.
+    often = held.select("copy", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
+    often = if_small(often, "entities")
+    # Texts with the term and any entity are at most all texts with it: terms that fail on them fail with each entity.
+    words = texts.select(F.explode(terms_of(F.col("plain"))).alias("term"), "entities")
+    counts = words.groupBy("term").agg(F.count("*").alias("n_texts"), F.count_if("entities").alias("n_any"))
+    likely = if_small(counts.where((F.col("n_any") >= support) & (F.col("n_any") >= min_disclosure * F.col("n_texts"))).select("term", "n_texts"), "terms")
+    own = held.select("plain", "copy", F.explode("entities").alias("entity")).join(often, "entity")
+    pairs = own.select("copy", "entity", F.explode(terms_of(F.col("plain"))).alias("term")).join(likely, "term")
+    both = pairs.groupBy("term", "entity", "copy").agg(F.count("*").alias("n"), F.first("n_texts").alias("n_texts"))
+    both = both.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("copies"), F.first("n_texts").alias("n_texts"))
+    share = both.where(F.col("copies") >= support).select("term", "entity", (F.col("n_both") / F.col("n_texts")).alias("disclosure"))
     return share.where(F.col("disclosure") >= min_disclosure)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_chars: int = 48, support: int = 3, min_disclosure: float = 0.8) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, min_disclosure: float = 0.8) -> DataFrame:
     """One row per document: (id, text, spans, all_spans); spans are structs (start, kind, stop, value), code points, end exclusive.
 
     spans holds the base kinds; all_spans also every word of the text that discloses a protected entity (kind 4,
@@ -115,11 +135,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
     with_base = rows.withColumn("spans", base_spans(F.col("text")))
+    plain = with_base.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
     found = materialise(with_base.where(F.size("spans") > 0), "entities")
-    terms = materialise(disclosing_terms(found, rows, window_chars, support, min_disclosure).select("term").distinct(), "disclosing")
-    words = rows.select("id", "text", F.explode(F.array_distinct(F.split("text", SPACE))).alias("term"))
-    hits = words.join(terms, "term").select("id", "text", "term")
-    at = located(F.col("text"), F.concat(F.lit(r"(?<![^\x20\x09-\x0D])\Q"), F.col("term"), F.lit(r"\E(?![^\x20\x09-\x0D])")), F.lit(len(KINDS)))
+    found = found.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
+    terms = disclosing_terms(found, plain.select("plain", (F.size("spans") > 0).alias("entities")), support, min_disclosure)
+    terms = if_small(terms.select("term").distinct(), "disclosing")
+    words = plain.select("id", "text", "plain", F.explode(terms_of(F.col("plain"))).alias("term"))
+    hits = words.join(terms, "term").select("id", "text", "plain", "term")
+    at = located(F.col("plain"), F.concat(F.lit(LEFT + r"\Q"), F.col("term"), F.lit(r"\E" + RIGHT)), F.lit(len(KINDS)))
     per_text = hits.select("id", F.xxhash64("text").alias("key"), F.explode(at).alias("s")).distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more"))
     out = with_base.withColumn("key", F.xxhash64("text")).join(per_text.withColumnRenamed("id", "rid").withColumnRenamed("key", "rkey"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")), "left")
     everything = F.array_sort(F.concat("spans", F.coalesce("more", F.expr(f"cast(array() as {SPAN})"))))

@@ -102,6 +102,18 @@ def test_disclosing_terms_go_and_common_ones_stay(spark):
     assert clean[0].startswith("note0 [TERM]") and "[EMAIL]" in clean[0] and clean[10] == "the day of item0 went by"
 
 
+def test_disclosing_terms_far_from_entities_and_beside_punctuation(spark):
+    far = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"(Zorblatt), of case {i}: {far} so q@r.st it is. Quibble-Knorr. quorn") for i in range(4)]
+    rows += [(10, "a Zorblatt. and Zorblatts stay"), (11, "quorn by itself"), (12, "quorn once more")]
+    # Copies of one text count once, and what is inside an entity is no term.
+    rows += [(20 + i, "Vumbric wrote x@vumbric.st") for i in range(5)]
+    clean = {r["id"]: r["text"] for r in pii.sanitise(pii.find_personal_data(docs(spark, rows))).collect()}
+    assert clean[0] == f"([TERM]), of [TERM] 0: {far} so [EMAIL] it is. [TERM]. quorn"
+    assert clean[10] == "a [TERM]. and Zorblatts stay" and clean[11] == "quorn by itself"
+    assert clean[20] == "Vumbric wrote [EMAIL]"
+
+
 def test_archive_round_trip(spark):
     pages = spark.createDataFrame([(1, "u\r\nX", "<a>"), (2, "v", "<a>"), (3, None, None), (4, "w", ""), (5, "z", "é" * 9000)], "page_id long, url string, html string")
     archive = warc.write_archive(pages)
