@@ -180,7 +180,8 @@ def learn_lexicon(rows: DataFrame, max_terms: int, min_places: int = 3, min_shar
     A form's toxic evidence is its number of toxic texts, or of different neighbourhoods (word before, word, word
     after) in them if that is less, so copies of a text count once; its clean evidence the number of clean texts. A
     form passes if the excess over the base rate is too large for any of the forms by chance (Chernoff bound against
-    the vocabulary's size). A stem needs at least min_places different words; it replaces the longer forms it covers.
+    the vocabulary's size). A stem needs at least min_places different words; it replaces the longer stems it covers.
+    Words stay beside their stems, since only words are matched with edits.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int, min_places: int = 3, min_shar
     found = {r["form"] for r in best.collect()}
     stems = {f[:-1] for f in found if f.endswith("*")}
     covered = lambda f: any(f[:i] in stems for i in range(1, len(f.rstrip("*"))))
-    return sorted(f for f in found if not covered(f))
+    return sorted(f for f in found if not f.endswith("*") or not covered(f))
 
 
 def _flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:

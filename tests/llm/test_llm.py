@@ -146,6 +146,15 @@ def test_misspellings_and_quotations():
     assert s.hits("clean words") == [] and s.score(None) == 0.5
 
 
+def test_misspelt_words_with_a_learned_stem(spark):
+    forms = ("idiot", "idiots", "idiotic")
+    rows = [(f"p{i} {forms[i % 3]} q{i}", 1) for i in range(60)] + [(f"r{i} plain words s{i}", 0) for i in range(600)]
+    terms = toxic.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 100)
+    assert set(forms) < set(terms) and "idio*" in terms and "idiot*" not in terms
+    s = toxic.Model(terms).scorer()
+    assert [k for _, k, _ in s.hits("ibiot idiotism iddiots")] == [1, 0, 1]
+
+
 def test_tiling_catches_reordered_passages(spark):
     w = [f"w{i}" for i in range(30)]
     bench = spark.createDataFrame([(1, " ".join(w)), (2, None), (3, ""), (4, "Two words")], "item_id long, text string")
