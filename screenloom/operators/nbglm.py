@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,36 +63,142 @@ def standard_error(design: np.ndarray, mu: np.ndarray, alpha: float, column: int
     return math.sqrt(max(float((h @ info @ h if kind == "sandwich" else h)[column, column]), 0.0))
 
 
-def fit_trend(mean: np.ndarray, disp: np.ndarray, kind: str = "parametric") -> np.ndarray:
-    """Dispersion trend over means: a0 + a1 / mean by a Gamma model with identity link, else median or local quadratic."""
-    ok = np.isfinite(mean) & np.isfinite(disp) & (mean > 0) & (disp > 10 * MIN_ALPHA)
-    fallback = float(np.median(disp[ok])) if ok.any() else 0.1
-    if kind == "mean" or ok.sum() < 3:
-        return np.full(len(mean), fallback)
+class Pairs:
+    """(mean, disp) of all pairs as a table, reached by sums over batches and exact medians only, however many they are."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table.select(F.col("base_mean").cast("double").alias("mean"), F.col("dispersion_raw").cast("double").alias("disp"))
+
+    def total(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray], merge: Callable = np.add) -> np.ndarray:
+        """of(mean, disp) of each batch, merged (added) over all of them."""
+        return merged(self.table, of, merge)
+
+    def median(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> float | None:
+        """The exact median of the numbers of(mean, disp), which may be fewer than the pairs."""
+
+        def values(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pd.DataFrame({"v": of(pdf["mean"].to_numpy(float), pdf["disp"].to_numpy(float))})
+
+        return exact_median(self.table.mapInPandas(values, "v double"))
+
+
+def merged(table: DataFrame, of: Callable[..., np.ndarray], merge: Callable = np.add) -> np.ndarray | None:
+    """of(columns as arrays) of each batch of the table, merged batch by batch; None without rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in parts:
+            if len(pdf):
+                one = np.asarray(of(*(pdf[c].to_numpy(float) for c in pdf.columns)), float)
+                held = one if held is None else merge(held, one)
+        if held is not None:
+            yield pd.DataFrame({"v": [held.tolist()]})
+
+    found = [np.array(r["v"]) for r in table.mapInPandas(run, "v array<double>").collect()]
+    return functools.reduce(merge, found) if found else None
+
+
+def exact_median(values: DataFrame) -> float | None:
+    """Exact median of column v: approximate percentiles bracket it, and only the different values between reach the driver."""
+    r = values.agg(F.count("v").alias("n"), F.percentile_approx("v", [0.499, 0.501], 10_000).alias("q")).first()
+    if not r["n"]:
+        return None
+    low, high = r["q"]
+    below = values.where(F.col("v") < low).count()
+    between = values.where(F.col("v").between(low, high)).groupBy("v").count().toPandas().sort_values("v")
+    upto = below + between["count"].cumsum().to_numpy()
+    mid = [float(between["v"].to_numpy()[np.searchsorted(upto, i, "right")]) for i in ((r["n"] - 1) // 2, r["n"] // 2)]
+    return sum(mid) / 2
+
+
+def usable(mean: np.ndarray, disp: np.ndarray) -> np.ndarray:
+    return np.isfinite(mean) & np.isfinite(disp) & (mean > 0) & (disp > 10 * MIN_ALPHA)
+
+
+def non_negative_fit(aa: float, ab: float, bb: float, ay: float, by: float) -> np.ndarray:
+    """Least squares for y = u a + v b from the sums of products, cut at the lowest values allowed."""
+    return np.maximum(np.linalg.lstsq(np.array([[aa, ab], [ab, bb]]), np.array([ay, by]), rcond=None)[0], [1e-8, 0])
+
+
+def fit_trend(pairs: Pairs, kind: str = "parametric") -> Callable[[np.ndarray], np.ndarray]:
+    """Dispersion trend as a function of means: a0 + a1 / mean by a Gamma model with identity link, else median or local
+    quadratic. All pairs count, by iterated sums over them."""
+    n_ok = pairs.total(lambda m, d: np.array([usable(m, d).sum()]))
+    if n_ok is None or n_ok[0] < 3 or kind == "mean":
+        middle = pairs.median(lambda m, d: d[usable(m, d)])
+        fallback = 0.1 if middle is None else middle
+        return lambda mean: np.full(len(mean), fallback)
     if kind == "parametric":
-        use, a = ok.copy(), np.array([0.1, 1.0])
+        a, chosen = np.array([0.1, 1.0]), None
+        line = lambda mean, a: a[0] + a[1] / np.maximum(mean, 1e-8)
         for _ in range(20):
-            d = np.stack([np.ones(use.sum()), 1 / mean[use]], axis=1)
             old = a
             for _ in range(25):
-                w = 1 / np.maximum(d @ a, 1e-8) ** 2
-                a = np.maximum(np.linalg.lstsq(d * np.sqrt(w)[:, None], disp[use] * np.sqrt(w), rcond=None)[0], [1e-8, 0])
-            ratio = disp / np.maximum(a[0] + a[1] / np.maximum(mean, 1e-300), 1e-300)
-            use = ok & (ratio > 1e-4) & (ratio < 15)
-            if use.sum() < 3:
+
+                def sums(m: np.ndarray, d: np.ndarray, a: np.ndarray = a, chosen: np.ndarray | None = chosen) -> np.ndarray:
+                    use = inside(m, d, chosen)
+                    u, y = 1 / m[use], d[use]
+                    w = 1 / np.maximum(a[0] + a[1] * u, 1e-8) ** 2
+                    return np.array([w.sum(), (w * u).sum(), (w * u * u).sum(), (w * y).sum(), (w * u * y).sum()])
+
+                last, a = a, non_negative_fit(*pairs.total(sums))
+                if np.abs(a - last).max() <= 1e-12 * np.abs(a).max():
+                    break
+            chosen = a
+            if pairs.total(lambda m, d, c=chosen: np.array([inside(m, d, c).sum()]))[0] < 3:
                 break
             if np.abs(np.log(np.maximum(a, 1e-8) / np.maximum(old, 1e-8))).sum() < 1e-6:
-                return a[0] + a[1] / np.maximum(mean, 1e-8)
+                return lambda mean: line(mean, a)
         else:
-            return a[0] + a[1] / np.maximum(mean, 1e-8)
-    lm, ld = np.log(mean[ok]), np.log(disp[ok])
-    c = np.polyfit(lm, ld, 2 if ok.sum() > 3 else 1, w=np.sqrt(mean[ok]))
-    return np.exp(np.clip(np.polyval(c, np.clip(np.log(np.maximum(mean, 1e-8)), lm.min(), lm.max())), math.log(MIN_ALPHA), math.log(10)))
+            return lambda mean: line(mean, a)
+
+    def log_moments(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        use = usable(m, d)
+        return np.array([m[use].sum(), (m[use] * np.log(m[use])).sum()])
+
+    total, first = pairs.total(log_moments)
+    centre, degree = first / total, 2 if n_ok[0] > 3 else 1
+
+    def powers(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        use = usable(m, d)
+        lm, ld, w = np.log(m[use]) - centre, np.log(d[use]), m[use] / total
+        return np.array([*((w * lm**p).sum() for p in range(5)), *((w * ld * lm**p).sum() for p in range(3))])
+
+    s = pairs.total(powers)
+    c = np.linalg.lstsq(np.array([[s[i + j] for j in range(degree + 1)] for i in range(degree + 1)]), s[5 : 6 + degree], rcond=None)[0][::-1]
+    low, high = log_range(pairs)
+    return lambda mean: np.exp(np.clip(np.polyval(c, np.clip(np.log(np.maximum(mean, 1e-8)), low, high) - centre), math.log(MIN_ALPHA), math.log(10)))
+
+
+def log_range(pairs: Pairs) -> tuple[float, float]:
+    """Least and greatest log mean of the usable pairs."""
+
+    def ends(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        lm = np.log(m[usable(m, d)])
+        return np.array([-lm.min(initial=np.inf), lm.max(initial=-np.inf)])
 
+    low, high = pairs.total(ends, np.maximum)
+    return -low, high
 
-def prior_variance(disp: np.ndarray, trend: np.ndarray, n: int) -> float:
-    r = np.log(disp / trend)
-    mad = 1.4826 * float(np.median(np.abs(r - np.median(r)))) if len(r) else 0.0
+
+def inside(m: np.ndarray, d: np.ndarray, a: np.ndarray | None) -> np.ndarray:
+    """Usable pairs, without those far from the line a if there is one."""
+    if a is None:
+        return usable(m, d)
+    ratio = d / np.maximum(a[0] + a[1] / np.maximum(m, 1e-300), 1e-300)
+    return usable(m, d) & (ratio > 1e-4) & (ratio < 15)
+
+
+def prior_variance(pairs: Pairs, trend: Callable[[np.ndarray], np.ndarray], n: int) -> float:
+    def residuals(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        good = d > 10 * MIN_ALPHA
+        return np.log(d[good] / trend(m[good]))
+
+    middle = pairs.median(residuals)
+    if middle is None:
+        return 1.0
+    mad = 1.4826 * pairs.median(lambda m, d: np.abs(residuals(m, d) - middle))
     return max(mad**2 - trigamma(max((n - 2) / 2, 0.5)), 0.25)
 
 
@@ -171,19 +279,14 @@ def nb_glm_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, contro
     todo = pairs.where("tested").select("lab", "gene_id")
     counts = x.select("cell_id", "gene_id", "value")
     raw = written(counts.groupBy("gene_id").cogroup(todo.groupBy("gene_id")).applyInPandas(moments, f"lab string, gene_id {kind}, base_mean double, dispersion_raw double"), "dispersions")
-    # The trend is fitted to at most 200,000 pairs, by hash; its coefficients go to every pair.
-    sample = raw.orderBy(F.xxhash64("lab", "gene_id")).limit(200_000).toPandas()
-    mean, disp = sample["base_mean"].to_numpy(float), sample["dispersion_raw"].to_numpy(float)
-    line = fit_trend(mean, disp, trend) if len(sample) else np.empty(0)
-    order = np.argsort(mean)
-    grid_mean, grid_trend = mean[order], line[order]
-    good = disp > 10 * MIN_ALPHA
-    variance = prior_variance(disp[good], line[good], len(ids)) if good.any() else 1.0
+    every = Pairs(raw)
+    line = fit_trend(every, trend)
+    variance = prior_variance(every, line, len(ids))
 
     def fits(pdf: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         y, rows = columns(pdf["cell_id"].to_numpy(), pdf["value"].to_numpy(float)), []
         for r in want.itertuples():
-            at, t = parts[r.lab], float(np.interp(r.base_mean, grid_mean, grid_trend))
+            at, t = parts[r.lab], float(line(np.array([r.base_mean]))[0])
             d, own = design(r.lab, at), y[at]
             alpha = r.dispersion_raw
             if shrink_dispersion and dispersion is None:
@@ -204,23 +307,42 @@ def nb_glm_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, contro
     return ranked(adjust(out, correction))
 
 
-def prior_scale(effect: np.ndarray, se: np.ndarray) -> float:
-    """Scale of the Cauchy prior: the root a of sum((effect**2 - se**2) w) / sum(w) = a with w = 1 / (2 (a + se**2)**2)."""
-    s, d = effect**2, se**2
+def prior_scale(total: Callable[[Callable], np.ndarray | None], depth: int = 6) -> float:
+    """Scale of the Cauchy prior: the root a of sum((effect**2 - se**2) w) / sum(w) = a with w = 1 / (2 (a + se**2)**2).
 
-    def f(a: float) -> float:
-        w = 1 / (2 * (a + d) ** 2)
-        return float(((s - d) * w).sum() / w.sum() - a)
+    total(of) adds of(effect, se) over all rows. A bisection of which each pass takes the sums for depth steps at once.
+    """
 
-    if not len(s) or f(1e-6) < 0:
+    def signs(at: np.ndarray) -> np.ndarray | None:
+        def of(effect: np.ndarray, se: np.ndarray) -> np.ndarray:
+            s, d = effect**2, se**2
+            w = [1 / (2 * (a + d) ** 2) for a in at]
+            return np.array([[((s - d) * v).sum() for v in w], [v.sum() for v in w]])
+
+        found = total(lambda effect, se: of(effect, se).reshape(-1))
+        return None if found is None else found[: len(at)] / found[len(at) :] - at
+
+    least = signs(np.array([1e-6]))
+    if least is None or least[0] < 0:
         return min(math.sqrt(1e-6), 1.0)
     low, high = 1e-6, 400.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) > 0 else (low, mid)
+    while low < (low + high) / 2 < high:
+        tree, ends = [], [(low, high)]
+        for _ in range(depth):
+            tree += [(p + q) / 2 for p, q in ends]
+            ends = [e for p, q in ends for e in ((p, (p + q) / 2), ((p + q) / 2, q))]
+        f, i = signs(np.array(tree)), 0
+        for _ in range(depth):
+            low, high = (tree[i], high) if f[i] > 0 else (low, tree[i])
+            i = 2 * i + (2 if f[i] > 0 else 1)
     return min(math.sqrt((low + high) / 2), 1.0)
 
 
+def held_total(effect: np.ndarray, se: np.ndarray) -> Callable[[Callable], np.ndarray | None]:
+    """total() of prior_scale for arrays."""
+    return lambda of: of(effect, se) if len(effect) else None
+
+
 def shrink_estimates(b: np.ndarray, se: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Posterior modes and standard errors under a normal likelihood and a Cauchy prior, by damped Newton steps."""
     beta = np.zeros_like(b)
@@ -257,10 +379,10 @@ def shrink_lfc(result: DataFrame, method: str = "stats", scale_mode: str = "glob
     ok = F.col("logfoldchange_raw_ln").isNotNull() & (F.col("standard_error_ln") > 0)
     rows = result.where(ok).select("lab", "logfoldchange_raw_ln", "standard_error_ln")
     if scale_mode == "global":
-        some = rows.orderBy(F.xxhash64("lab", "logfoldchange_raw_ln")).limit(1_000_000).toPandas()
-        scales, default = {}, prior_scale(some["logfoldchange_raw_ln"].to_numpy(float), some["standard_error_ln"].to_numpy(float))
+        both = written(rows.select(F.col("logfoldchange_raw_ln").cast("double"), F.col("standard_error_ln").cast("double")), "effects")
+        scales, default = {}, prior_scale(lambda of: merged(both, of))
     else:
-        found = rows.groupBy("lab").applyInPandas(lambda p: pd.DataFrame({"lab": [p["lab"].iloc[0]], "scale": [prior_scale(p["logfoldchange_raw_ln"].to_numpy(float), p["standard_error_ln"].to_numpy(float))]}), "lab string, scale double")
+        found = rows.groupBy("lab").applyInPandas(lambda p: pd.DataFrame({"lab": [p["lab"].iloc[0]], "scale": [prior_scale(held_total(p["logfoldchange_raw_ln"].to_numpy(float), p["standard_error_ln"].to_numpy(float)))]}), "lab string, scale double")
         scales, default = {r["lab"]: r["scale"] for r in found.collect()}, 1.0
     if method == "full":
         return _shrink_full(result, x, obs, label, control, size_factors, scales, default)

@@ -205,3 +205,24 @@ def test_neighbours_of_many_equal_vectors(spark):
     grid = spark.createDataFrame([((i * 7) % 121, [float(i % 11), float(i // 11)]) for i in range(121)], "cell_id long, vec array<double>")
     order = ["src", "nth"]
     assert dimred.neighbours(grid, 3).orderBy(*order).collect() == dimred.neighbours_sql(grid, 3).select("src", "dst", "distance", "nth").orderBy(*order).collect()
+
+
+def test_dispersion_trend_and_priors_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    mean = np.exp(rng.uniform(-5, 5, 1500))
+    disp = (0.2 + 1.5 / mean) * rng.gamma(8, 1 / 8, 1500)
+    pairs = nbglm.Pairs(spark.createDataFrame(list(zip(mean.tolist(), disp.tolist(), strict=True)), "base_mean double, dispersion_raw double").repartition(5))
+    # Means outside those fitted follow the line, too.
+    line = nbglm.fit_trend(pairs)(np.array([1e-4, 1.0, 1e6]))
+    assert np.allclose(line, [0.2 + 1.5e4, 1.7, 0.2], rtol=0.1)
+    assert line[0] / (nbglm.fit_trend(pairs)(np.array([2e-4]))[0]) == pytest.approx(2, rel=1e-3)
+    assert nbglm.fit_trend(pairs, "mean")(mean)[0] == pytest.approx(np.median(disp), rel=1e-12)
+    c = np.polyfit(np.log(mean), np.log(disp), 2, w=np.sqrt(mean))
+    assert np.allclose(nbglm.fit_trend(pairs, "local")(mean), np.exp(np.clip(np.polyval(c, np.log(mean)), math.log(1e-8), math.log(10))), rtol=1e-6)
+    r = np.log(disp / nbglm.fit_trend(pairs)(mean))
+    mad = 1.4826 * np.median(np.abs(r - np.median(r)))
+    assert nbglm.prior_variance(pairs, nbglm.fit_trend(pairs), 10) == pytest.approx(max(mad**2 - special.trigamma(4.0), 0.25))
+    b, se = rng.normal(0, 0.6, 400), np.full(400, 0.2)
+    table = spark.createDataFrame(list(zip(b.tolist(), se.tolist(), strict=True)), "b double, s double")
+    scale = nbglm.prior_scale(lambda of: nbglm.merged(table, of))
+    assert scale == pytest.approx(math.sqrt((b**2 - se**2).mean())) and nbglm.prior_scale(nbglm.held_total(b, se)) == pytest.approx(scale)
