@@ -149,20 +149,34 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, schema)
 
 
+def left_out(trusted: DataFrame, scored: DataFrame, ids: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
+    """(lang, perplexity) of the trusted texts, each scored by a model that left its half out."""
+    half = F.pmod(F.xxhash64(plain_text(text_col)), F.lit(2))
+    parts = [trusted.where(half == i) for i in (0, 1)]
+    if any(p.isEmpty() for p in parts):
+        return scored.join(ids, F.col("id") == F.col("_id"), "left_semi").select("lang", "perplexity")
+    found = []
+    for own, other in (parts, parts[::-1]):
+        model = KneserNey(count_grams(other.select(plain_text(text_col).cast("binary").alias("data"))))
+        found.append(perplexities(own, model, id_col, text_col, ("lang",), batch_bytes).select("lang", "perplexity"))
+    return found[0].unionByName(found[1])
+
+
 def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: (id, lang, n_bytes, perplexity, threshold, keep).
 
     The model counts all trusted texts (ids in the first column of trusted_ids). perplexity is per byte; empty and
     null texts have 1. A text is kept if it is at most the quantile of the trusted texts' perplexities in its
     language, or of all trusted texts if the language has none (null is a language of its own); without trusted texts
-    all are kept. Repeated rows and null ids are rows of their own; an empty table gives none.
+    all are kept. For the quantile, each half of the trusted texts (by the text, so copies stay together) is scored by
+    a model of the other half; if all are in one half, by the model of all. Repeated rows and null ids are rows of their own; an empty table gives none.
     """
     ids = if_small(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct(), "trusted")
     texts = docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi").select(plain_text(text_col).cast("binary").alias("data"))
     model = KneserNey(count_grams(texts))
     scored = perplexities(docs.withColumnRenamed(lang_col, "lang"), model, id_col, text_col, ("lang",), batch_bytes)
     scored = materialise(scored, "perplexity")
-    trusted = scored.join(ids, F.col("id") == F.col("_id"), "left_semi")
+    trusted = materialise(left_out(docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi").withColumnRenamed(lang_col, "lang"), scored, ids, id_col, text_col, batch_bytes), "left-out")
     cut = F.percentile_approx("perplexity", quantile, 10000)
     by_lang = trusted.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "_lang")
     overall = trusted.agg(cut.alias("c")).first()["c"]

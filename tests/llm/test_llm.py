@@ -155,6 +155,15 @@ def test_misspelt_words_with_a_learned_stem(spark):
     assert [k for _, k, _ in s.hits("ibiot idiotism iddiots")] == [1, 0, 1]
 
 
+def test_quality_threshold_from_left_out_texts(spark):
+    d = pd.read_parquet(f"{DIR}/documents.parquet").drop_duplicates("text").head(120)
+    rows = [(int(i), t, "en", "s", 0, "x", 7, "w") for i, t in zip(d.doc_id, d.text)]
+    every = spark.createDataFrame(rows, DOCS)
+    got = quality.quality(every, every.select("doc_id"), quantile=0.5).toPandas()
+    # Texts that the model holds are likelier to it: far more than half are under the left-out texts' median.
+    assert got.threshold.nunique() == 1 and got.keep.mean() > 0.6
+
+
 def test_tiling_catches_reordered_passages(spark):
     w = [f"w{i}" for i in range(30)]
     bench = spark.createDataFrame([(1, " ".join(w)), (2, None), (3, ""), (4, "Two words")], "item_id long, text string")
