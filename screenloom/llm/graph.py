@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least place it reaches over the links a-b, by hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, root), one row per linked node; root is some member of its component.
 

@@ -3,24 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_sorted, plain_text, unpack_sorted
-from .graph import connected_components
+from .common import if_small, materialise, pack_sorted, plain_text, unpack_sorted
+from .graph import connected_components, least_reachable
 
 SEED = 42
 #: Low bits of a variant's tag that are compared before whole variants travel.
 TAG_BITS = 29
-#: Variants that one owner task compares at a time, at most about this many.
-OWNER_ROWS = 1 << 21
-#: Fingerprints whose variants one task holds at a time (17 MB an array).
-BATCH = 1024
+#: Variants that a task holds at a time (17 MB an array); four times as many at most, on larger inputs.
+VARIANTS = 1 << 21
+CACHED_WORDS = 1 << 20
+EMPTY = np.empty(0, np.uint64)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A fingerprint is lanes of bits bits each; two meet if some lane differs in at most radius (even) bits.
+
+    limit: bits of the whole fingerprint that a pair may differ in; None if meeting is the link.
+    """
+
+    lanes: int = 1
+    bits: int = 64
+    radius: int = 4
+    limit: int | None = None
+
+    @property
+    def masks(self) -> np.ndarray:
+        """XOR masks of all flips of at most half the radius."""
+        return np.array([sum(1 << i for i in c) for r in range(self.radius // 2 + 1) for c in combinations(range(self.bits), r)], dtype=np.uint64)
+
+    def values(self, raw: list[bytes]) -> np.ndarray:
+        """All lanes of the fingerprints, lane by lane, each told apart by its number above its bits."""
+        v = np.frombuffer(b"".join(raw), f">u{self.bits // 8}").reshape(len(raw), self.lanes).T.astype(np.uint64)
+        if self.lanes > 1:
+            v |= np.arange(self.lanes, dtype=np.uint64)[:, None] << np.uint64(self.bits)
+        return v.ravel()
+
+
+#: 24 lanes of 32 bits: a pair of Jaccard similarity 0.8 differs in 15 % of the bits and meets with probability 0.95,
+#: more similar pairs with more; whole fingerprints of such a pair differ in 116 of 768 bits, give or take 10.
+SIMILAR = Shape(lanes=24, bits=32, radius=2, limit=148)
 
 
 def fingerprint(data: bytes, width: int) -> int:
@@ -44,28 +77,64 @@ def fingerprint(data: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long): fp holds the 64 bits of the fingerprint, signed."""
+    """(id long, fp binary): the 8 bytes of the fingerprint, highest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = [fingerprint(x, width).to_bytes(8, "big") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), plain_text(text_col).cast("binary").alias("data"))
-    return rows.mapInArrow(run, "id long, fp long")
-
-
-def ball(radius: int) -> np.ndarray:
-    """XOR masks of all flips of at most radius of 64 bits."""
-    return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r)], dtype=np.uint64)
+    return rows.mapInArrow(run, "id long, fp binary")
+
+
+class Shingles(dict):
+    """Turns texts into ascending hashes of their different word shingles; remembers the hashes of words."""
+
+    def __init__(self, width: int) -> None:
+        super().__init__()
+        self.width = width
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+    def of(self, data: bytes) -> np.ndarray:
+        """A text of fewer words than width is one shingle; a text without words has none."""
+        words = data.lower().split()
+        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        k = min(self.width, len(h))
+        if not k:
+            return EMPTY
+        out = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+        return np.unique(out)
+
+
+def sketch(shingles: np.ndarray, bits: int) -> bytes:
+    """SimHash of bits bits (a multiple of 64) of a set of hashes: a bit is 1 if over half of its hashes have it."""
+    ones = np.zeros(bits, np.int64)
+    salts = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 255):
+        x = shingles[at : at + 255, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
 def _tags(values: np.ndarray, masks: np.ndarray, shift: int) -> np.ndarray:
     """The leading bits of a multiplicative hash of every variant, value by value; blocks of values stay in cache."""
     out = np.empty((len(values), len(masks)), np.uint64)
-    for i in range(0, len(values), 32):
-        v = out[i : i + 32]
-        np.bitwise_xor(values[i : i + 32, None], masks[None, :], out=v)
+    rows = max(1, (1 << 16) // len(masks))
+    for i in range(0, len(values), rows):
+        v = out[i : i + rows]
+        np.bitwise_xor(values[i : i + rows, None], masks[None, :], out=v)
         v ^= v >> np.uint64(32)
         v *= np.uint64(0x9E3779B97F4A7C15)
         v >>= np.uint64(shift)
@@ -83,48 +152,68 @@ def _member(wanted: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return at[wanted[np.minimum(np.searchsorted(wanted, tags[at]), len(wanted) - 1)] == tags[at]]
 
 
-def _u64(col: pa.ChunkedArray) -> np.ndarray:
-    return col.to_numpy().view(np.uint64)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := root(x)) != (q := root(y)):
-            up[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members (places in raw) that share a variant.
 
-
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links that connect all distinct fingerprints (column fp) within radius bits of each other.
-
-    Every fingerprint makes all variants within half the radius; two are within radius exactly if they share one.
+    Without a limit: each member and the least it reaches. With one, the members of a variant within limit of its
+    least member are linked to it; the others start over among themselves until none is left, so a group of copies is
+    compared with its centre only.
+    """
+    n = len(raw)
+    order = np.lexsort((who, v))
+    v, who = v[order], who[order]
+    a, b = [], []
+    words = None if limit is None else np.frombuffer(b"".join(raw), np.uint64).reshape(n, -1)
+    while len(v):
+        new = np.concatenate(([True], v[1:] != v[:-1]))
+        centre = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+        rest = ~new
+        x, c = who[rest], centre[rest]
+        pair, back = np.unique(x * n + c, return_inverse=True)
+        x, c = pair // n, pair % n
+        near = np.ones(len(pair), bool)
+        if words is not None:
+            for at in range(0, len(pair), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                near[part] = np.bitwise_count(words[x[part]] ^ words[c[part]]).sum(axis=1, dtype=np.int64) <= limit
+        near &= x != c
+        a.append(x[near])
+        b.append(c[near])
+        if words is None:
+            break
+        left = ~near[back] & (x[back] != c[back])
+        v, who = v[rest][left], who[rest][left]
+    a, b = (np.concatenate([np.empty(0, np.int64), *p]) for p in (a, b))
+    if limit is None:
+        root = least_reachable(n, a, b)
+        a = np.flatnonzero(root != np.arange(n))
+        return a, root[a]
+    pair = np.unique(a * n + b)
+    return pair // n, pair % n
+
+
+def links(fps: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp, binary); without a limit they connect all that meet.
+
+    Every lane makes all variants within half the radius; two lanes are within the radius exactly if they share one.
     Owners of variant ranges first compare short tags, sent as sorted packed blobs, and tell each batch which tags
-    met another batch's; only those variants then travel whole, with their fingerprint. Fingerprints that share a
-    variant are linked to the least of them, not to each other, so a group of any size makes as many links as members.
+    met another batch's. Only those variants then travel whole to their owner, each once per local component (or,
+    with a limit, fingerprint). Owners link what shares a variant to the least member, so a group of any size makes
+    links in proportion to its members.
     """
-    if radius % 2:
+    if shape.radius % 2:
         raise ValueError("radius must be even")
-    masks = ball(radius // 2)
-    n = fps.count()
-    n_batches = max(1, -(-n // BATCH))
-    owner_bits = max(0, (n * len(masks) // OWNER_ROWS).bit_length())
+    masks, width = shape.masks, shape.lanes * shape.bits // 8
+    n, each = fps.count(), shape.lanes * len(masks)
+    held = min(4 * VARIANTS, max(VARIANTS, 16 * isqrt(n * each)))
+    n_batches = max(1, -(-n * each // held))
+    owner_bits = max(0, (n * each // held).bit_length())
     shift = 64 - owner_bits - TAG_BITS
     # A batch is little data and much work: a fixed number of partitions keeps them from being merged.
     rows = fps.select(F.pmod(F.xxhash64("fp"), F.lit(n_batches)).cast("int").alias("batch"), "fp").repartition(n_batches, "batch")
 
     def emit(t: pa.Table) -> pa.Table:
-        tags = np.sort(_tags(_u64(t.column("fp")), masks, shift))
+        tags = np.sort(_tags(shape.values(t.column("fp").to_pylist()), masks, shift))
         tags = tags[np.concatenate(([True], tags[1:] != tags[:-1]))]
         edges = np.arange((1 << owner_bits) + 1, dtype=np.uint64) << np.uint64(TAG_BITS)
         cut = np.searchsorted(tags, edges)
@@ -147,62 +236,132 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         batches = np.array(t.column("batch").to_pylist())
         return pa.table({"batch": pa.array(batches[whose[at]] if len(at) else [], pa.int32()), "owner": pa.array([t.column("owner")[0].as_py()] * len(at), pa.int32()), "tags": pa.array([pack_sorted(x) for x in np.split(tag, at[1:])] if len(at) else [], pa.binary())})
 
+    def rows_of(a: list, b: list, far: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
+        k, m = len(a), len(far)
+        cols = {"a": pa.array([*a, *[None] * m], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "owner": pa.array([*[None] * k, *[f[0] for f in far]], pa.int32())}
+        return pa.table(cols | {c: pa.array([*[None] * k, *[f[i] for f in far]], pa.binary()) for i, c in ((1, "keys"), (2, "at"), (3, "fps"))})
+
     def answer(mine: pa.Table, told: pa.Table) -> pa.Table:
-        values = _u64(mine.column("fp"))
-        out_v, out_a, out_b = [], [], []
-        if len(values):
-            tags = _tags(values, masks, shift)
-            wanted = [np.empty(0, np.uint64)]
-            wanted += [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
-            wanted = np.sort(np.concatenate(wanted))
-            ranked = np.sort(tags)
-            local = ranked[1:][ranked[1:] == ranked[:-1]]
-            pick = _member(np.unique(np.concatenate((wanted, local))), tags)
-            met = np.zeros(len(pick), bool)
-            met[_member(wanted, tags[pick])] = True
-            who, flip = values[pick // len(masks)], masks[pick % len(masks)]
-            v = who ^ flip
-            by = np.lexsort((who, v))
-            v, who, far = v[by], who[by], met[by]
-            first = np.flatnonzero(np.concatenate((v[:1] == v[:1], v[1:] != v[:-1])))
-            group = np.cumsum(np.bincount(first, minlength=len(v))) - 1 if len(v) else np.empty(0, np.int64)
-            centre = who[first][group] if len(v) else who
-            star = np.unique(np.stack([who, centre], axis=1)[who != centre], axis=0)
-            for a, b in _forest(star[:, 0], star[:, 1]):
-                out_v.append(None)
-                out_a.append(a)
-                out_b.append(b)
-            whole = first[far[first]] if len(v) else first
-            a = np.array(out_a, dtype=np.uint64).view(np.int64)
-            b = np.array(out_b, dtype=np.uint64).view(np.int64)
-            return pa.table({"v": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(v[whole].view(np.int64))]), "a": pa.concat_arrays([pa.array(a), pa.array(who[whole].view(np.int64))]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(whole), pa.int64())])})
-        return pa.table({c: pa.array([], pa.int64()) for c in ("v", "a", "b")})
+        raw = sorted(mine.column("fp").to_pylist())
+        if not raw:
+            return rows_of([], [], [])
+        values = shape.values(raw)
+        tags = _tags(values, masks, shift)
+        parts = [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
+        wanted = np.sort(np.concatenate([EMPTY, *parts]))
+        ranked = np.sort(tags)
+        local = ranked[1:][ranked[1:] == ranked[:-1]]
+        pick = _member(np.unique(np.concatenate((wanted, local))), tags)
+        met = np.zeros(len(pick), bool)
+        met[_member(wanted, tags[pick])] = True
+        v, who = values[pick // len(masks)] ^ masks[pick % len(masks)], pick // len(masks) % len(raw)
+        a, b = _stars(v, who, raw, shape.limit)
+        if shape.limit is None:
+            root = np.arange(len(raw))
+            root[a] = b
+            who = root[who]
+        owner = (tags[pick] >> np.uint64(TAG_BITS)).astype(np.int64)[met]
+        v, who = v[met], who[met]
+        order = np.lexsort((who, v, owner))
+        owner, v, who = owner[order], v[order], who[order]
+        new = np.concatenate((v[:1] == v[:1], (v[1:] != v[:-1]) | (who[1:] != who[:-1])))
+        owner, v, who = owner[new], v[new], who[new]
+        far = []
+        for i in np.split(np.arange(len(v)), np.flatnonzero(np.diff(owner)) + 1) if len(v) else []:
+            own, at = np.unique(who[i], return_inverse=True)
+            packed = zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").tobytes())
+            far.append((int(owner[i[0]]), pack_sorted(v[i]), packed, b"".join(raw[j] for j in own.tolist())))
+        return rows_of([raw[i] for i in a.tolist()], [raw[i] for i in b.tolist()], far)
+
+    def settle(t: pa.Table) -> pa.Table:
+        v, at, blobs, n_before = [], [], [], 0
+        for keys, who, fps in zip(*(t.column(c).to_pylist() for c in ("keys", "at", "fps")), strict=True):
+            v.append(unpack_sorted(keys))
+            at.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(who, max_output_size=4 * len(v[-1]) + 1), "<u4").astype(np.int64) + n_before)
+            blobs += [fps[i : i + width] for i in range(0, len(fps), width)]
+            n_before += len(fps) // width
+        raw = sorted(set(blobs))
+        place = {x: i for i, x in enumerate(raw)}
+        a, b = _stars(np.concatenate(v), np.array([place[x] for x in blobs], np.int64)[np.concatenate(at)], raw, shape.limit)
+        return pa.table({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in b.tolist()], pa.binary())})
 
     sent = rows.groupBy("batch").applyInArrow(emit, "owner int, batch int, tags binary")
     told = sent.groupBy("owner").applyInArrow(meet, "batch int, owner int, tags binary")
-    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "v long, a long, b long"), "variants")
-    probes = found.where("v IS NOT NULL").select("v", "a")
-    centre = probes.groupBy("v").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("v", "b")
-    across = probes.join(centre, "v").where("a <> b").select("a", "b")
-    pairs = found.where("v IS NULL").select("a", "b").unionByName(across).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "a binary, b binary, owner int, keys binary, at binary, fps binary"), "variants")
+    across = found.where("owner IS NOT NULL").groupBy("owner").applyInArrow(settle, "a binary, b binary")
+    return found.where("owner IS NULL").select("a", "b").unionByName(across).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, fp, component). component is the least id reachable over links of radius bits.
 
-    Null and empty texts have fingerprint 0 and link like any other; texts shorter than width words are one shingle.
-    Repeated rows each keep a row; null ids are rows too, and a component of null ids only is null. An empty table
-    gives no rows; other columns of docs are ignored, whatever their names.
+    Null and empty texts have fingerprint 0 and link like any other; texts shorter than width words are one shingle,
+    long texts are read whole. Repeated rows each keep a row; null ids are rows too, and a component of null ids only
+    is null. An empty table gives no rows; other columns of docs are ignored, whatever their names.
     """
     rows = materialise(fingerprints(docs, width, id_col, text_col), "fingerprints")
     least = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    roots = connected_components(links(least.select("fp"), Shape(radius=radius))).select(F.col("node").alias("fp"), "root")
     least = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component"))
     comp = materialise(least.join(of_root, "root").select("fp", "component"), "components")
     return rows.join(comp, "fp").select("id", "fp", "component")
 
 
+def text_key(text_col: str = "text") -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(plain_text(text_col).cast("binary")))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shape: Shape = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (id, key, component, kept); a component's document of least id (then key) is kept.
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles (A-Z lower-cased) is at least
+    similarity, by exact count. Candidates are pairs of which some lane of the fingerprint meets and whose whole
+    fingerprints differ in at most shape.limit bits: pairs just at 0.8 are found with probability 0.95, closer ones
+    more surely. Texts with one fingerprint are compared with the least of them. key stands for the text; null texts
+    are empty; texts without words are alike; long texts are read whole. Rows of one text and id share their fate;
+    null ids come last. An empty table gives no rows; other columns are ignored.
+    """
+    bits = shape.lanes * shape.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for b in batches:
+            fps = [sketch(shingles.of(x), bits) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["id", "key", "fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for b in batches:
+            found = [shingles.of(x).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), plain_text(text_col).cast("binary").alias("data"))
+    rows = materialise(whole.mapInArrow(run, "id long, key binary, fp binary"), "sketches")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    texts = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min(order).alias("first")), "texts")
+    centres = materialise(texts.groupBy("fp").agg(F.min("key").alias("centre")), "centres")
+    met = links(centres.select("fp"), shape)
+    for side in ("a", "b"):
+        met = met.join(centres.select(F.col("fp").alias(side), F.col("centre").alias(f"key_{side}")), side)
+    alike = texts.join(centres, "fp").where(F.col("key") != F.col("centre")).select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    pairs = materialise(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(alike), "candidates")
+    asked = if_small(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
+    held = whole.join(asked, "key", "left_semi").select("key", "data").dropDuplicates(["key"])
+    held = materialise(held.mapInArrow(sets, "key binary, shingles array<long>"), "shingles")
+    for side in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("key").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - both
+    linked = pairs.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
+    roots = connected_components(linked).select(F.col("node").alias("key"), "root")
+    texts = texts.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = texts.groupBy("root").agg(F.min("first").alias("best"))
+    chosen = materialise(texts.join(best, "root").select("key", "best"), "chosen")
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    return rows.select("id", "key").join(chosen, "key").select("id", "key", F.col("best.id").alias("component"), kept.alias("kept"))
+
+
 def fp_hex(col: str) -> Column:
-    return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
+    return F.lower(F.hex(F.col(col)))

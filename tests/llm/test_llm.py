@@ -53,8 +53,9 @@ def test_simhash_matches_brute_force(spark):
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    assert sorted((r["id"], r["fp"] % 2**64) for r in got) == sorted((i, slow(t)) for i, t in rows)
-    fps = sorted({r["fp"] % 2**64 for r in got})
+    got = [{**r.asDict(), "fp": int.from_bytes(r["fp"], "big")} for r in got]
+    assert sorted((r["id"], r["fp"]) for r in got) == sorted((i, slow(t)) for i, t in rows)
+    fps = sorted({r["fp"] for r in got})
     root = {f: f for f in fps}
     for _ in fps:
         moved = False
@@ -66,8 +67,55 @@ def test_simhash_matches_brute_force(spark):
             break
     least = {}
     for r in got:
-        least[root[r["fp"] % 2**64]] = min(least.get(root[r["fp"] % 2**64], 1 << 60), r["id"])
-    assert all(r["component"] == least[root[r["fp"] % 2**64]] for r in got)
+        least[root[r["fp"]]] = min(least.get(root[r["fp"]], 1 << 60), r["id"])
+    assert all(r["component"] == least[root[r["fp"]]] for r in got)
+
+
+def test_links_of_tight_clusters_grow_with_their_members(spark):
+    rng = np.random.default_rng(4)
+    found = []
+    for n in (1000, 2000, 4000):
+        flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(n)]
+        fps = {0x0123456789ABCDEF ^ f for f in flips}
+        table = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
+        got = [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in simhash.links(table, simhash.Shape()).collect()]
+        up = {f: f for f in fps}
+        for a, b in got:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        assert len({f for f in fps if up[f] == f}) == 1
+        found.append(len(got) / len(fps))
+    assert max(found) < 2
+
+
+def test_near_copies_match_exact_jaccard(spark):
+    rng = np.random.default_rng(11)
+    rows, base = [], [[f"w{x}" for x in rng.integers(0, 4000, 120)] for _ in range(60)]
+    for i, words in enumerate(base):
+        rows.append((i, " ".join(words)))
+        for k, edits in enumerate((1, 2, 3, 8)):
+            other = list(words)
+            for at in rng.choice(120, edits, replace=False):
+                other[at] = f"new{k}"
+            rows.append((1000 * (k + 1) + i, " ".join(other)))
+    got = simhash.near_copies(docs(spark, rows + [(None, rows[0][1]), (5, None), (9001, " ")])).collect()
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i % 1000 == j % 1000 and i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    of = {r["id"]: r["component"] for r in got if (r["id"], r["key"]) != (5, simhash_key(None))}
+    assert all(of[i] == root[i] for i in sets) and of[None] == 0 and of[9001] == 5
+    assert sum(r["kept"] for r in got) == len(set(root.values())) + 1
+
+
+def simhash_key(text):
+    return bytearray(hashlib.md5((text or "").encode()).digest())
 
 
 def test_exact_chains_weak_digests(spark):
