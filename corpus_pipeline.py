@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm import exact, mix, simhash, tiling, toxic
-from screenloom.llm.common import chosen_ids, chosen_rows, materialise, one_per_row
+from screenloom.llm.common import chosen_rows, materialise, one_per_row
 from screenloom.llm.queries import TOXIC_AT, table, toxicity_model
 
 
@@ -28,14 +28,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component, on shingles of five words.
+    """The document of smallest id of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more.
 
-    Fingerprints within 4 of 64 bits stand for a cosine of shingle counts of 0.98 and more, so for similarities far
-    above 0.8. An id goes if all its rows are such copies; documents without an id stay.
+    Rows that share an id, or have none, are documents of their own where their texts differ; null ids come last in
+    their group. Null texts are empty; an empty table stays empty.
     """
-    found = simhash.near_groups(docs, width=5, radius=4)
-    gone = found.groupBy("id").agg(F.bool_and(F.col("id") != F.col("component")).alias("gone"))
-    return chosen_ids(docs, gone.where("gone").select("id"))
+    found = simhash.near_copies(docs, width=5, similarity=0.8)
+    gone = found.where("NOT kept").select("id", "key").distinct()
+    return one_per_row(chosen_rows(docs, gone, simhash.text_key()), simhash.text_key())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
