@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, plain_text
+from .common import SPACE, if_small, materialise, plain_text
 
 CELL_BITS = 60
 
@@ -64,28 +63,41 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical after each run of ASCII white space became one space; the least id of equal texts
-    stays. Owners of key ranges group by digest and by the text's bytes, so texts with one digest stay apart; the
-    index (bucket, digest, place in the chain, keep_id, group_size) is a table in the shared folder. Null texts are
-    empty. Every row of a repeated id counts. Null ids sort last: they stay only if no other id has the text, and a
-    group of null ids keeps all of them. An empty table gives no rows; further columns are ignored.
+    stays. The directory routes every digest to the bucket that owns its key range. Owners look up the entry of a
+    digest in their bucket; where several rows share a digest, their texts are compared byte by byte within the
+    bucket, and different ones make a chain of entries that is searched by the text. Only texts with a repeated
+    digest move. The index (bucket, digest, least id, rows) is a table in the shared folder.
+
+    Null texts are empty; long texts are compared whole. Every row of a repeated id counts. Null ids sort last: they
+    stay only if no other id has the text, and a group of null ids keeps all of them. An empty table gives no rows;
+    further columns are ignored, whatever their names.
     """
+    own = digest is sha256_text
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    columns = ["id", "digest"] if digest is sha256_text else ["id", "digest", sha256_text(F.col("norm")).alias("text_sha256")]
-    keys = materialise(rows.select(*columns), "keys")
-    slots, depth = directory(keys.select("digest").distinct(), capacity)
-    entries = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    slot = F.shiftright(_cell(F.col("digest")), CELL_BITS - depth)
-    lean = entries.select("digest", "keep_id", "group_size", slot.alias("slot")).join(slots, "slot")
-    index = materialise(lean.repartition("bucket").sortWithinPartitions("bucket", "digest", "keep_id").select("bucket", "digest", "keep_id", "group_size"), "index")
-    chains = materialise(index.groupBy("digest").count().where(F.col("count") > 1).select("digest"), "chains")
-    out = [keys.join(index.select("digest", "keep_id", "group_size"), "digest")]
-    if not chains.isEmpty():
-        out = [keys.join(chains, "digest", "left_anti").join(index.select("digest", "keep_id", "group_size"), "digest")]
-        held = rows.join(chains, "digest", "left_semi")
-        apart = held.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        full = held.join(apart, ["digest", "norm"])
-        out.append(full.select(*[c for c in ("digest", "id") if c in keys.columns], *([sha256_text(F.col("norm")).alias("text_sha256")] if "text_sha256" in keys.columns else []), "keep_id", "group_size"))
-    found = reduce(lambda a, b: a.unionByName(b), out)
-    if "text_sha256" not in found.columns:
-        found = found.withColumnRenamed("digest", "text_sha256")
-    return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    keys = materialise(rows.select("id", "digest", *([] if own else [sha256_text(F.col("norm")).alias("text_sha256")])), "keys")
+    seen = materialise(keys.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "seen")
+    slots, depth = directory(seen.select("digest"), capacity)
+    slots = if_small(slots, "slots")
+
+    def routed(df: DataFrame) -> DataFrame:
+        return df.withColumn("slot", F.shiftright(_cell(F.col("digest")), CELL_BITS - depth)).join(slots, "slot").drop("slot")
+
+    index = materialise(routed(seen).repartition("bucket").sortWithinPartitions("bucket", "digest"), "index")
+    many = index.where("n > 1").select("bucket", "digest")
+    few = if_small(many.select(F.xxhash64("digest").alias("h")).distinct(), "many")
+    held = routed(rows.withColumn("h", F.xxhash64("digest")).join(few, "h", "left_semi").drop("h"))
+    entries = held.groupBy("bucket", "digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    met = materialise(entries.select("bucket", "digest", "keep_id", "n").join(many, ["bucket", "digest"], "left_semi"), "entries")
+    chains = materialise(met.groupBy("bucket", "digest").agg(F.count("*").alias("links")).where("links > 1").select("bucket", "digest"), "chains")
+    # A digest met once is its own entry; one chain link needs no text to be found; longer chains are searched by it.
+    lone = index.where("n = 1").select("bucket", "digest", F.col("least").alias("keep_id"), "n")
+    linked = not chains.isEmpty()
+    short = lone.unionByName(met.join(chains, ["bucket", "digest"], "left_anti") if linked else met)
+    out = routed(keys).join(short, ["bucket", "digest"])
+    if linked:
+        full = rows.join(chains, "digest")
+        apart = full.groupBy("bucket", "digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+        full = full.join(apart, ["bucket", "digest", "norm"]).withColumn("text_sha256", sha256_text(F.col("norm")))
+        out = out.unionByName(full.select(*out.columns))
+    sha = F.col("digest" if own else "text_sha256").alias("text_sha256")
+    return out.select("id", "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
