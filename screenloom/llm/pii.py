@@ -20,7 +20,7 @@ PATTERNS = {
 }
 #: What a text holds if a kind can match at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-BYTE_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
+BYTE_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 #: A term is a run of letters, with single apostrophes or hyphens inside, that no letter, digit or underscore touches.
 LEFT, RIGHT = r"(?<![\p{L}\p{M}\p{N}_])(?<![\p{L}\p{M}]['’-])", r"(?![\p{L}\p{M}\p{N}_])(?!['’-][\p{L}\p{M}])"
 TERM = LEFT + r"\p{L}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+" + RIGHT
@@ -103,50 +103,61 @@ def terms_of(plain: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))), lambda t: F.length(t).between(*TERM_CHARS))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, min_disclosure: float) -> DataFrame:
-    """(term, entity, disclosure): terms that reveal a protected entity.
+def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, min_disclosure: float, min_share: float) -> DataFrame:
+    """(term, entity, share, disclosure): terms that reveal a protected entity.
 
     found: (text, spans, plain) of texts with base spans; texts: (plain, entities) of all, plain being the text without
-    entities. Disclosure of an entity by a term is P(entity in the text | term in the text), both anywhere in it,
-    counted over all texts (rows); a term is named if that is at least min_disclosure and the pair occurs in at least
-    support different texts (so copies of one text count once).
+    entities. With probabilities counted over all texts (rows), what a term t tells of an entity e is their pointwise
+    mutual information log p(e | t) / p(e), and disclosure is its share of all there is to tell, -log p(e): 1 if the
+    term implies the entity, 0 if it says nothing. A term is named if disclosure is at least min_disclosure, share,
+    which is p(e | t), at least min_share, and the pair occurs in at least support different texts (so copies of one
+    text count once). An entity in every text has nothing to disclose.
     """
     held = found.select("plain", F.xxhash64("text").alias("copy"), F.array_distinct(F.transform(F.filter("spans", lambda s: F.length(s["value"]) > 0), lambda s: F.xxhash64(s["value"]))).alias("entities"))
+    of_entity = held.select("copy", F.explode("entities").alias("entity")).groupBy("entity", "copy").agg(F.count("*").alias("n"))
+    of_entity = of_entity.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("copies"))
     # No pair occurs in more texts than its entity does.
-    often = held.select("copy", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
-    often = if_small(often, "entities")
+    often = if_small(of_entity.where(F.col("copies") >= support).select("entity", "n_entity"), "entities")
     # Texts with the term and any entity are at most all texts with it: terms that fail on them fail with each entity.
     words = texts.select(F.explode(terms_of(F.col("plain"))).alias("term"), "entities")
     counts = words.groupBy("term").agg(F.count("*").alias("n_texts"), F.count_if("entities").alias("n_any"))
-    likely = if_small(counts.where((F.col("n_any") >= support) & (F.col("n_any") >= min_disclosure * F.col("n_texts"))).select("term", "n_texts"), "terms")
-    own = held.select("plain", "copy", F.explode("entities").alias("entity")).join(often, "entity")
-    pairs = own.select("copy", "entity", F.explode(terms_of(F.col("plain"))).alias("term")).join(likely, "term")
-    both = pairs.groupBy("term", "entity", "copy").agg(F.count("*").alias("n"), F.first("n_texts").alias("n_texts"))
-    both = both.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("copies"), F.first("n_texts").alias("n_texts"))
-    share = both.where(F.col("copies") >= support).select("term", "entity", (F.col("n_both") / F.col("n_texts")).alias("disclosure"))
-    return share.where(F.col("disclosure") >= min_disclosure)
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, min_disclosure: float = 0.8) -> DataFrame:
+    likely = if_small(counts.where((F.col("n_any") >= support) & (F.col("n_any") >= min_share * F.col("n_texts"))).select("term", "n_texts"), "terms", 1 << 18)
+    own = held.select("plain", "copy", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
+    pairs = own.select("copy", "entity", F.explode(terms_of(F.col("plain"))).alias("term")).join(likely.select("term"), "term", "left_semi")
+    both = pairs.groupBy("term", "entity", "copy").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("copies"))
+    both = materialise(both.where(F.col("copies") >= support), "pairs").join(likely, "term").join(often, "entity")
+    n_all = texts.count()
+    share = F.col("n_both") / F.col("n_texts")
+    all_of_it = -F.log(F.col("n_entity") / F.lit(n_all))
+    told = F.when(all_of_it > 0, (F.log(share) + all_of_it) / all_of_it).otherwise(0.0)
+    named = both.select("term", "entity", share.alias("share"), told.alias("disclosure"))
+    return named.where((F.col("disclosure") >= min_disclosure) & (F.col("share") >= min_share))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, min_disclosure: float = 0.75, min_share: float = 0.5) -> DataFrame:
     """One row per document: (id, text, spans, all_spans); spans are structs (start, kind, stop, value), code points, end exclusive.
 
     spans holds the base kinds; all_spans also every word of the text that discloses a protected entity (kind 4,
-    "term"). Null texts are empty; repeated rows and null ids are rows of their own; an empty table gives none.
+    "term"). Null texts are empty, long texts are read whole; repeated rows and null ids are rows of their own; an
+    empty table gives none; further columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
     with_base = rows.withColumn("spans", base_spans(F.col("text")))
     plain = with_base.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
     found = materialise(with_base.where(F.size("spans") > 0), "entities")
     found = found.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
-    terms = disclosing_terms(found, plain.select("plain", (F.size("spans") > 0).alias("entities")), support, min_disclosure)
-    terms = if_small(terms.select("term").distinct(), "disclosing")
-    words = plain.select("id", "text", "plain", F.explode(terms_of(F.col("plain"))).alias("term"))
-    hits = words.join(terms, "term").select("id", "text", "plain", "term")
-    at = located(F.col("plain"), F.concat(F.lit(LEFT + r"\Q"), F.col("term"), F.lit(r"\E" + RIGHT)), F.lit(len(KINDS)))
-    per_text = hits.select("id", F.xxhash64("text").alias("key"), F.explode(at).alias("s")).distinct().groupBy("id", "key").agg(F.collect_list("s").alias("more"))
-    out = with_base.withColumn("key", F.xxhash64("text")).join(per_text.withColumnRenamed("id", "rid").withColumnRenamed("key", "rkey"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")), "left")
-    everything = F.array_sort(F.concat("spans", F.coalesce("more", F.expr(f"cast(array() as {SPAN})"))))
-    return out.select("id", "text", "spans", everything.alias("all_spans"))
+    terms = disclosing_terms(found, plain.select("plain", (F.size("spans") > 0).alias("entities")), support, min_disclosure, min_share)
+    terms = if_small(terms.select("term").distinct(), "disclosing", 1 << 18)
+    if terms.isEmpty():
+        return with_base.select("id", "text", "spans", F.col("spans").alias("all_spans"))
+    # Only a text's key travels with its words; the text meets its own terms once.
+    words = plain.select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("plain"))).alias("term"))
+    hits = materialise(words.join(terms, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")), "hits")
+    kind = F.lit(len(KINDS))
+    at = lambda t: located(F.col("plain"), F.concat(F.lit(LEFT + r"\Q"), t, F.lit(r"\E" + RIGHT)), kind)
+    out = plain.withColumn("key", F.xxhash64("text")).join(hits, "key", "left")
+    more = F.when(F.col("terms").isNotNull(), F.flatten(F.transform("terms", at))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return out.select("id", "text", "spans", F.array_sort(F.concat("spans", more)).alias("all_spans"))
 
 
 def sanitise(found: DataFrame) -> DataFrame:
