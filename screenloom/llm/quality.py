@@ -13,8 +13,8 @@ from .common import if_small, materialise, pack_sorted, plain_text, unpack_sorte
 
 ORDER = 5
 CHUNK = 1 << 21
-#: Grams that agree above this bit are one shard of the count joins.
-SHARD_SHIFT = 28
+#: Grams are dealt to shards by the leading bits of gram * MIX mod 2**GRAM_BITS, a permutation of all grams.
+GRAM_BITS, MIX = 8 * ORDER, 6364137
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -97,17 +97,22 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
     """(id, *keep, n_bytes, perplexity) of every whole text.
 
     Each batch of documents asks for its distinct grams, shard by shard as sorted packed blobs; a shard joins the
-    distinct grams of all batches with the model's counts once and answers every batch. No table is sent to all tasks.
+    distinct grams of all batches with the model's counts once and answers every batch. Shards are ranges of mixed
+    grams and their number grows with that of the batches, so none holds more than a few batches' worth. No table is
+    sent to all tasks.
     """
     total = docs.agg(F.sum(F.octet_length(plain_text(text_col))).alias("n")).first()["n"] or 0
     n_batches = max(1, -(-total // batch_bytes))
+    bits = max(7, min(GRAM_BITS, (n_batches // 16).bit_length() + 1))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), plain_text(text_col)), F.lit(n_batches)).cast("int").alias("batch"), F.col(id_col).alias("id"), *keep, plain_text(text_col).cast("binary").alias("data"))
-    shift = np.uint64(SHARD_SHIFT)
+    shift = np.uint64(GRAM_BITS - bits)
+    every = (1 << GRAM_BITS) - 1
+    mixed = lambda g: (g * np.uint64(MIX)) & np.uint64(every)
 
     def distinct(texts: list[bytes]) -> np.ndarray:
         out = np.empty(0, np.uint64)
         for part in _chunks(texts):
-            out = np.union1d(out, part)
+            out = np.union1d(out, mixed(part))
         return out
 
     def shards(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -123,10 +128,11 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
         out = np.empty(0, np.uint64)
         for x in t.column("keys").to_pylist():
             out = np.union1d(out, unpack_sorted(x))
-        return pa.table({"gram": pa.array(out.view(np.int64))})
+        back = (out * np.uint64(pow(MIX, -1, every + 1))) & np.uint64(every)
+        return pa.table({"gram": pa.array(back.view(np.int64))})
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(keys := known.column("gram").to_numpy().view(np.uint64))
+        order = np.argsort(keys := mixed(known.column("gram").to_numpy().view(np.uint64)))
         keys, logp = keys[order], known.column("logp").to_numpy()[order].astype(np.float32)
         out = [logp[np.searchsorted(keys, unpack_sorted(x))].tobytes() for x in asked.column("keys").to_pylist()]
         return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "logp": pa.array(out, pa.binary())})
@@ -136,50 +142,43 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
         keys = distinct(texts)
         by = dict(zip(told.column("shard").to_pylist(), told.column("logp").to_pylist(), strict=True))
         logp = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(by[s], np.float32) for s in shards(keys)[0].tolist())])
-        nll = [-sum(float(logp[np.searchsorted(keys, p)].sum(dtype=np.float64)) for p in _chunks([t])) / max(1, len(t)) for t in texts]
+        nll = [-sum(float(logp[np.searchsorted(keys, mixed(p))].sum(dtype=np.float64)) for p in _chunks([t])) / max(1, len(t)) for t in texts]
         out = mine.select(["id", *keep])
         return out.append_column("n_bytes", pa.array([len(t) for t in texts], pa.int64())).append_column("perplexity", pa.array(np.exp(nll), pa.float64()))
 
     sent = rows.groupBy("batch").applyInArrow(ask, "shard int, batch int, keys binary")
     wanted = sent.groupBy("shard").applyInArrow(gather, "gram long")
-    known = model.log_probabilities(wanted).withColumn("shard", F.shiftright("gram", SHARD_SHIFT).cast("int"))
+    known = model.log_probabilities(wanted).withColumn("shard", F.shiftright((F.col("gram") * F.lit(MIX)).bitwiseAND(F.lit(every)), GRAM_BITS - bits).cast("int"))
     told = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(reply, "batch int, shard int, logp binary")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *keep)) + ", n_bytes long, perplexity double"
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, schema)
 
 
-def left_out(trusted: DataFrame, scored: DataFrame, ids: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
-    """(lang, perplexity) of the trusted texts, each scored by a model that left its half out."""
-    half = F.pmod(F.xxhash64(plain_text(text_col)), F.lit(2))
-    parts = [trusted.where(half == i) for i in (0, 1)]
-    if any(p.isEmpty() for p in parts):
-        return scored.join(ids, F.col("id") == F.col("_id"), "left_semi").select("lang", "perplexity")
-    found = []
-    for own, other in (parts, parts[::-1]):
-        model = KneserNey(count_grams(other.select(plain_text(text_col).cast("binary").alias("data"))))
-        found.append(perplexities(own, model, id_col, text_col, ("lang",), batch_bytes).select("lang", "perplexity"))
-    return found[0].unionByName(found[1])
-
-
-def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_bytes: int = 16 << 20) -> DataFrame:
+def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, left_out: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: (id, lang, n_bytes, perplexity, threshold, keep).
 
-    The model counts all trusted texts (ids in the first column of trusted_ids). perplexity is per byte; empty and
-    null texts have 1. A text is kept if it is at most the quantile of the trusted texts' perplexities in its
-    language, or of all trusted texts if the language has none (null is a language of its own); without trusted texts
-    all are kept. For the quantile, each half of the trusted texts (by the text, so copies stay together) is scored by
-    a model of the other half; if all are in one half, by the model of all. Repeated rows and null ids are rows of their own; an empty table gives none.
+    One in left_out trusted texts (by a hash of the text, so copies stay together) is kept out of the model; it
+    counts all others (ids in the first column of trusted_ids). perplexity is per byte; empty and null texts have 1.
+    A text is kept if it is at most the quantile of the left-out texts' perplexities in its language, or of all
+    left-out texts if the language has none (null is a language of its own). If no trusted text is left out, or all
+    are, the model and the quantile take all of them; without trusted texts all are kept. Texts of any length are
+    read whole. Repeated rows and null ids are rows of their own; an empty table gives none; further columns are
+    ignored, whatever their names.
     """
-    ids = if_small(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct(), "trusted")
-    texts = docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi").select(plain_text(text_col).cast("binary").alias("data"))
-    model = KneserNey(count_grams(texts))
-    scored = perplexities(docs.withColumnRenamed(lang_col, "lang"), model, id_col, text_col, ("lang",), batch_bytes)
-    scored = materialise(scored, "perplexity")
-    trusted = materialise(left_out(docs.join(ids, F.col(id_col) == F.col("_id"), "left_semi").withColumnRenamed(lang_col, "lang"), scored, ids, id_col, text_col, batch_bytes), "left-out")
+    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), plain_text(text_col).alias("text"))
+    base = base.withColumn("out", F.pmod(F.xxhash64("text"), F.lit(left_out)) == 0)
+    ids = if_small(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("id")).where("id IS NOT NULL").distinct(), "trusted")
+    trusted = base.join(ids, "id", "left_semi")
+    kinds = {r["out"] for r in trusted.select("out").distinct().collect()}
+    texts = trusted.where("NOT out") if len(kinds) == 2 else trusted
+    model = KneserNey(count_grams(texts.select(F.col("text").cast("binary").alias("data"))))
+    scored = materialise(perplexities(base, model, "id", "text", ("lang", "out"), batch_bytes), "perplexity")
+    known = scored.join(ids, "id", "left_semi")
+    known = known.where("out") if len(kinds) == 2 else known
     cut = F.percentile_approx("perplexity", quantile, 10000)
-    by_lang = trusted.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "_lang")
-    overall = trusted.agg(cut.alias("c")).first()["c"]
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    by_lang = known.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of_lang")
+    overall = known.agg(cut.alias("c")).first()["c"]
+    out = scored.join(F.broadcast(by_lang) if by_lang.count() <= 100_000 else by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     threshold = F.coalesce(F.col("own"), F.lit(overall).cast("double"))
     return out.select("id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("keep"))
