@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from .common import if_small, materialise, plain_text
 
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
-#: A doc's features: hits by edits (0, 1, 2) in abuse, then in quotation; each counted up to CAP.
-N_FEATURES, CAP = 6, 3
+#: A doc's features: hits by edits (0, 1, 2) in abuse, then in quotation; each as the bit length of its count.
+N_FEATURES = 6
 CACHE = 1 << 20
 #: Words whose match a task remembers.
 REMEMBERED = 1 << 19
@@ -112,19 +114,27 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model, self.trie, self.seen = model, Trie(model.terms), {}
+        self.model, self.trie = model, Trie(model.terms)
+        self.clean: set[str] = set()
+        self.found: dict[str, tuple[str, int]] = {}
 
     def match(self, w: str) -> tuple[str, int] | None:
-        if w not in self.seen:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[w] = None if w in self.model.exceptions else self.trie.near(w)
-        return self.seen[w]
+        if w in self.found:
+            return self.found[w]
+        m = None if w in self.model.exceptions else self.trie.near(w)
+        if len(self.clean) + len(self.found) >= REMEMBERED:
+            self.clean.clear()
+            self.found.clear()
+        if m:
+            self.found[w] = m
+        else:
+            self.clean.add(w)
+        return m
 
     def hits(self, text: str) -> list[tuple[str, int, bool]]:
         """(word, edits, quoted) of each occurrence of a term or misspelling."""
         low = text.lower()
-        words = {w: m for w in set(TOKEN.findall(low)) if (m := self.match(w))}
+        words = {w: m for w in set(TOKEN.findall(low)) - self.clean if (m := self.match(w))}
         if not words:
             return []
         spans = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(low)]
@@ -151,7 +161,7 @@ class Scorer:
 
 def count_features(hits: list[tuple[int, bool]]) -> tuple[int, ...]:
     n = Counter(3 * q + k for k, q in hits)
-    return tuple(min(CAP, n[i]) for i in range(N_FEATURES))
+    return tuple(n[i].bit_length() for i in range(N_FEATURES))
 
 
 def fit_logistic(patterns: dict[tuple[int, ...], tuple[int, int]], ridge: float = 0.5) -> list[float]:
@@ -181,43 +191,56 @@ def learn_lexicon(rows: DataFrame, max_terms: int, min_places: int = 3, min_shar
     after) in them if that is less, so copies of a text count once; its clean evidence the number of clean texts. A
     form passes if the excess over the base rate is too large for any of the forms by chance (Chernoff bound against
     the vocabulary's size). A stem needs at least min_places different words; it replaces the longer stems it covers.
-    Words stay beside their stems, since only words are matched with edits.
+    Words stay beside their stems, since only words are matched with edits. ValueError if more than max_terms pass.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {"clean": Counter(), "bad": Counter()}
+        known: dict[str, list[str]] = {}
         for b in batches:
-            places: set[tuple[str, str, str]] = set()
+            places: set[tuple[str, int]] = set()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = TOKEN.findall(text.lower())
-                own = {f for w in set(words) for f in forms(w)}
-                held["bad" if toxic else "clean"].update(own)
+                if len(known) > CACHE:
+                    known.clear()
+                for w in set(words) - known.keys():
+                    known[w] = forms(w)
+                held["bad" if toxic else "clean"].update(set(chain.from_iterable(map(known.__getitem__, set(words)))))
                 if toxic:
-                    places |= {(f, w, f"{p} {n}") for p, w, n in zip(["", *words], words, [*words[1:], ""]) for f in forms(w)}
-            yield _counted([(f, w, p, 0, 0) for f, w, p in places])
+                    places |= {(w, xxhash.xxh64_intdigest(f"{p} {w} {n}") >> 1) for p, w, n in zip(["", *words], words, [*words[1:], ""])}
+            yield _counted([(f, w, p, 0, 0) for w, p in places for f in forms(w)])
             if sum(map(len, held.values())) > CACHE:
                 yield from _flushed(held)
         yield from _flushed(held)
 
-    counted = rows.select(plain_text("text").alias("text"), "toxic").mapInArrow(count, "form string, word string, place string, clean long, bad long")
-    hot = counted.where("word IS NOT NULL").distinct().groupBy("form").agg(F.count("*").alias("places"), F.approx_count_distinct("word").alias("words"))
-    cold = materialise(counted.where("word IS NULL").groupBy("form").agg(F.sum("clean").alias("c"), F.sum("bad").alias("t")), "forms")
-    both = hot.where(F.col("places") >= min_places).where(~F.endswith("form", F.lit("*")) | (F.col("words") >= min_places)).join(cold, "form")
-    table = both.select("form", F.least("places", "t").cast("double").alias("s"), F.col("c").cast("double").alias("c"))
+    counted = rows.select(plain_text("text").alias("text"), "toxic").mapInArrow(count, "form string, word string, place long, clean long, bad long")
+    each = counted.groupBy("form", "word", "place").agg(F.sum("clean").alias("c"), F.sum("bad").alias("t"))
+    each = each.groupBy("form", "word").agg(F.count("place").alias("places"), F.sum("c").alias("c"), F.sum("t").alias("t"))
+    table = each.groupBy("form").agg(F.sum("places").alias("places"), F.count("word").alias("words"), F.sum("c").alias("c"), F.sum("t").alias("t"))
+    table = materialise(table, "forms")
+    both = table.where(F.col("places") >= min_places).where(~F.endswith("form", F.lit("*")) | (F.col("words") >= min_places))
+    both = both.select("form", F.least("places", "t").cast("double").alias("s"), F.col("c").cast("double").alias("c"))
     base = rows.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
-    n_forms = cold.count()
+    n_forms = table.count()
     if not base or base >= 1 or not n_forms:
         return []
     n, share = F.col("s") + F.col("c"), F.col("s") / (F.col("s") + F.col("c"))
     rest = F.when(F.col("c") > 0, (F.col("c") / n) * F.log((F.col("c") / n) / (1 - base))).otherwise(0.0)
     gain = n * (share * F.log(share / base) + rest)
-    best = table.where((share >= min_share) & (gain >= math.log(n_forms))).orderBy(F.desc("s"), "form").limit(max_terms)
-    found = {r["form"] for r in best.collect()}
+    found = bounded(both.where((share >= min_share) & (gain >= math.log(n_forms))).select("form"), max_terms)
     stems = {f[:-1] for f in found if f.endswith("*")}
     covered = lambda f: any(f[:i] in stems for i in range(1, len(f.rstrip("*"))))
     return sorted(f for f in found if not f.endswith("*") or not covered(f))
 
 
+def bounded(words: DataFrame, most: int) -> set[str]:
+    """All words of a one-column table; ValueError if there are more than most, so that none is left out."""
+    found = {r[0] for r in words.limit(most + 1).collect()}
+    if len(found) > most:
+        raise ValueError(f"more than {most} words")
+    return found
+
+
 def _flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     yield _counted([(f, None, None, n, 0) for f, n in held["clean"].items()] + [(f, None, None, 0, n) for f, n in held["bad"].items()])
     for c in held.values():
@@ -226,22 +249,19 @@ def _flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
 
 def _counted(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["form", "word", "place", "clean", "bad"])
 
 
-def _is_feature(i: int) -> Callable[[Column], Column]:
-    return lambda h: h["q"].cast("int") * 3 + h["k"] == i
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_terms: int = 20_000, window: int = 12, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from every labelled document; max_terms bounds the lexicon and the list of harmless near misses.
+def fit(docs: DataFrame, labels: DataFrame, max_terms: int = 200_000, window: int = 12, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from every labelled document; ValueError if the lexicon or the list of harmless near misses exceeds max_terms.
 
     Labels, ids and other columns decide nothing but the fit. Null labels and ids are left out; a repeated label row
-    counts again. Without labelled rows the model scores every text 0.5.
+    counts again. Without labelled rows the model scores every text 0.5. Long texts are read whole; further columns
+    are ignored, whatever their names.
     """
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IS NOT NULL")
-    rows = docs.select(F.col(id_col).alias("_id"), plain_text(text_col).alias("text")).join(if_small(marked, "marked"), "_id").select("text", "toxic")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IS NOT NULL")
+    rows = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")).join(if_small(marked, "marked"), "id").select("text", "toxic")
     model = Model(learn_lexicon(rows, max_terms), window=window)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +274,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = 20_000, window: int
     found = materialise(rows.mapInArrow(find, "hits array<struct<w: string, k: int, q: boolean>>, toxic int"), "hits")
     near = found.select("toxic", F.explode(F.array_distinct(F.transform(F.filter("hits", lambda h: h["k"] > 0), lambda h: h["w"]))).alias("w"))
     harmless = near.groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad")).where("clean > bad")
-    exceptions = frozenset(r["w"] for r in harmless.orderBy(F.desc("clean"), "w").limit(max_terms).collect())
-    stop = F.array(*[F.lit(w) for w in sorted(exceptions)]) if exceptions else F.array().cast("array<string>")
-    own = F.filter("hits", lambda h: ~F.array_contains(stop, h["w"]))
-    pattern = [F.least(F.size(F.filter(own, _is_feature(i))), F.lit(CAP)).alias(f"f{i}") for i in range(N_FEATURES)]
-    table = found.select(*pattern, "toxic").groupBy(*[f"f{i}" for i in range(N_FEATURES)]).agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()
+    exceptions = frozenset(bounded(harmless.select("w"), max_terms))
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for hits, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[count_features([(h["k"], h["q"]) for h in hits if h["w"] not in exceptions]), toxic] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([list(x) for x, _ in n], pa.list_(pa.int32())), pa.array(list(n.values()), pa.int64()), pa.array([c * t for (_, t), c in n.items()], pa.int64())], names=["x", "n", "y"])
+
+    table = found.mapInArrow(patterns, "x array<int>, n long, y long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
     if table:
-        model.weights = fit_logistic({tuple(r[f"f{i}"] for i in range(N_FEATURES)): (r["n"], r["y"]) for r in table})
+        model.weights = fit_logistic({tuple(r["x"]): (r["n"], r["y"]) for r in table})
     model.exceptions = exceptions
     return model
 
