@@ -36,7 +36,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, d.digest AS p
        CASE WHEN p.page_id IS DISTINCT FROM d.response_id THEN d.response_id END AS refers_to
 FROM p JOIN d ON p.html = d.html""",
     "op3_mix": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, text, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
      w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
      o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight::DOUBLE, i) AS k FROM w),
@@ -131,9 +131,19 @@ WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS siz
                   CASE WHEN f.rest IS NULL OR f.rest * o.weight > 3 * o.source_size * f.open_weight THEN CAST(3 * o.source_size AS DOUBLE)
                        ELSE CAST(f.rest * o.weight AS DOUBLE) / CAST(f.open_weight AS DOUBLE) END AS target FROM o LEFT JOIN f ON true),
      q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t),
-     r AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d)
-SELECT r.doc_id, r.size, q.source_size, q.target,
-       CAST(CASE WHEN q.source_size = 0 THEN 0
-            ELSE (q.words // q.source_size) * r.size + greatest(0, least(r.upto, q.words % q.source_size) - (r.upto - r.size)) END AS BIGINT) AS taken
-FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source""",
+     r AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', md5(coalesce(text, '')))), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+     z AS (SELECT *, (source_size + 1023) // 1024 AS blocks, CASE WHEN source_size = 0 THEN 0 ELSE words % source_size END AS rest FROM q),
+     v AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * blocks + (rest + 1023) // 1024 END AS slots FROM z),
+     l AS (SELECT *, CAST(sum(slots) OVER (ORDER BY source NULLS LAST) - slots AS BIGINT) AS first FROM v),
+     cells AS (SELECT unnest(range((SELECT CAST(sum(slots) AS BIGINT) FROM l))) AS cell),
+     bits AS (SELECT max(CASE WHEN cell = 0 THEN 0 ELSE length(bin(cell)) END) AS k FROM cells),
+     points AS (SELECT cell, CASE WHEN k = 0 THEN 0 ELSE CAST(list_sum(list_transform(range(k), lambda i: ((cell >> i) & 1) << (k - 1 - i))) AS BIGINT) END AS slot FROM cells CROSS JOIN bits),
+     dealt AS (SELECT l.source, l.blocks, l.slots, l.rest, points.slot, row_number() OVER (PARTITION BY l.source ORDER BY points.slot) - 1 AS rank
+               FROM points JOIN l ON points.cell >= l.first AND points.cell < l.first + l.slots)
+SELECT r.doc_id, r.size, l.source_size, l.target,
+       CAST(CASE WHEN l.source_size = 0 THEN 0
+            ELSE (l.words // l.source_size) * r.size + greatest(0, least(r.upto, l.rest) - (r.upto - r.size)) END AS BIGINT) AS taken,
+       CASE WHEN r.size > 0 AND (dealt.rank < l.slots - 1 OR l.rest = 0 OR r.upto - r.size < l.rest OR l.slots > l.blocks) THEN dealt.slot END AS first_slot
+FROM r JOIN l ON r.source IS NOT DISTINCT FROM l.source
+LEFT JOIN dealt ON dealt.source IS NOT DISTINCT FROM r.source AND dealt.rank = CAST((r.upto - r.size) // 1024 AS BIGINT)""",
 }
