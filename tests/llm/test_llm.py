@@ -216,7 +216,7 @@ def test_tiling_catches_reordered_passages(spark):
     w = [f"w{i}" for i in range(30)]
     bench = spark.createDataFrame([(1, " ".join(w)), (2, None), (3, ""), (4, "Two words")], "item_id long, text string")
     rows = [(1, " ".join(w[15:] + ["x"] + w[:15])), (2, " ".join(w[:10])), (3, "two, WORDS"), (4, None), (5, "")]
-    got = {r["doc_id"]: r["contamination"] for r in tiling.contamination(docs(spark, rows), bench, block_words=8).collect()}
+    got = {r["doc_id"]: r["contamination"] for r in tiling.contamination(docs(spark, rows), bench).collect()}
     assert [got[i]["contaminated"] for i in range(1, 6)] == [True, False, True, False, False]
     assert got[1]["coverage"] == 1.0 and got[1]["item_id"] == 1 and got[2]["coverage"] == pytest.approx(1 / 3)
 
