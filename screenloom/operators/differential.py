@@ -52,13 +52,18 @@ def welch_statistics(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, c
     return d.select("lab", "gene_id", shown(effect).alias("effect"), F.when(F.col("tested"), F.try_divide(effect, F.col("se"))).alias("statistic"), F.when(F.col("tested"), df).alias("df"), shown(log2_fold(F.col("mean"), F.col("mean_c"))).alias("logfoldchange"), F.col("pct").alias("pts"), F.col("pct_c").alias("pts_rest"), "tested")
 
 
+def log_values(x: DataFrame, normalise_counts: bool) -> DataFrame:
+    """x, normalised if it holds counts and that is wanted; ValueError if it is not."""
+    if not is_count_like(x):
+        return x
+    if not normalise_counts:
+        raise ValueError("values are counts; normalise them first or pass normalise_counts=True")
+    return normalise(x)
+
+
 def t_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, correction: str = "benjamini-hochberg", normalise_counts: bool = False, **options: float) -> DataFrame:
     """Welch statistics with p-values, adjusted p-values and rank. Raw counts raise ValueError unless normalise_counts."""
-    if is_count_like(x):
-        if not normalise_counts:
-            raise ValueError("values are counts; normalise them first or pass normalise_counts=True")
-        x = normalise(x)
-    out = welch_statistics(x, obs, var, label, control, **options)
+    out = welch_statistics(log_values(x, normalise_counts), obs, var, label, control, **options)
     return ranked(adjust(out.withColumn("pvalue", t_p(F.col("statistic"), F.col("df"))), correction))
 
 
@@ -100,8 +105,9 @@ def wilcoxon_statistics(x: DataFrame, obs: DataFrame, var: DataFrame, label: str
     return d.select("lab", "gene_id", shown(u).alias("u_stat"), shown(z).alias("statistic"), shown(u / (F.col("n") * F.col("n_c")) - 0.5).alias("effect"), shown(log2_fold(F.col("mean"), F.col("mean_c"))).alias("logfoldchange"), F.col("pct").alias("pts"), F.col("pct_c").alias("pts_rest"), "tested")
 
 
-def wilcoxon_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, correction: str = "benjamini-hochberg", **options: float) -> DataFrame:
-    out = wilcoxon_statistics(x, obs, var, label, control, **options)
+def wilcoxon_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, correction: str = "benjamini-hochberg", normalise_counts: bool = False, **options: float) -> DataFrame:
+    """Rank-sum statistics with p-values, adjusted p-values and rank. Raw counts raise ValueError unless normalise_counts."""
+    out = wilcoxon_statistics(log_values(x, normalise_counts), obs, var, label, control, **options)
     return ranked(adjust(out.withColumn("pvalue", normal_p(F.col("statistic"))), correction))
 
 

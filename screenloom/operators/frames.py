@@ -56,10 +56,6 @@ def qc_histogram(x: DataFrame, obs: DataFrame, column: str = "n_genes", bins: in
     return d.crossJoin(F.broadcast(edge)).select(place.cast("int").alias("bin"), "lo", width.alias("w")).groupBy("bin").agg(F.max(F.col("lo") + F.col("bin") * F.col("w")).alias("low"), F.count("*").alias("n"))
 
 
-def variance_frame(p) -> list[tuple[int, float]]:
-    return [(i + 1, float(v)) for i, v in enumerate(p.variance_ratio)]
-
-
 def top_loadings(loadings: DataFrame, pc: int, n: int = 10) -> DataFrame:
     w = F.element_at("vec", pc + 1)
     return loadings.select("gene_id", w.alias("loading")).orderBy(F.desc(F.abs("loading")), "gene_id").limit(n)

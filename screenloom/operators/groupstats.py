@@ -30,9 +30,8 @@ def normalise(x: DataFrame, target: float = 1e4, total: bool = True, log: bool =
 
 
 def is_count_like(x: DataFrame) -> bool:
-    """Whether every value is integral (so the data is not log-normalised)."""
-    row = x.agg(F.bool_and(F.col("value") == F.rint("value")).alias("k")).first()
-    return bool(row["k"])
+    """Whether there are values and every one is integral (so the data is not log-normalised); the first other one ends the search."""
+    return x.where(F.col("value") != F.rint("value")).isEmpty() and not x.isEmpty()
 
 
 def labelled(x: DataFrame, obs: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groupstats import library_sizes
@@ -51,17 +51,17 @@ def quality_control(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, co
     return QualityControl(cells, genes, kept, obs.join(kept_cells, "cell_id", "left_semi"), var.join(kept_genes, "gene_id", "left_semi"))
 
 
-def adaptive_thresholds(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, conservative: bool = True, sample: int = 10_000) -> dict[str, int]:
-    """Thresholds from percentiles of the data: at most sample cells, in order of a hash of their id, stand for the rest."""
+def adaptive_thresholds(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, conservative: bool = True) -> dict[str, int]:
+    """Thresholds from percentiles over all labels, genes and cells. Counts take few different values, so exact percentiles are small."""
     q = 0.1 if conservative else 0.05
-    some = obs.select("cell_id").orderBy(F.xxhash64("cell_id")).limit(sample)
-    part = x.join(some, "cell_id", "left_semi")
     labels = obs.groupBy(label).count().agg(F.percentile("count", F.lit(q)).alias("v")).first()["v"] or 0
-    per_gene = filter_genes(part, var, 0).agg(F.percentile("n_cells", F.lit(q)).alias("v")).first()["v"] or 0
-    per_cell = library_sizes(part, some).agg(F.percentile("n_genes", F.lit(0.5)).alias("v")).first()["v"] or 0
+    per_gene = filter_genes(x, var, 0).agg(F.percentile("n_cells", F.lit(q)).alias("v")).first()["v"] or 0
+    per_cell = library_sizes(x, obs).agg(F.percentile("n_genes", F.lit(0.5)).alias("v")).first()["v"] or 0
     clip = lambda v, low, high: int(max(low, min(high, v)))
     return {"min_cells_per_label": clip(labels, 5, 50), "min_cells_per_gene": clip(per_gene, 5, 100), "min_genes": clip(per_cell // 10, 5, 50)}
 
 
-def label_window(label: str) -> Window:
-    return Window.partitionBy(label)
+def gene_count_delta(x: DataFrame, var: DataFrame, removed: DataFrame) -> DataFrame:
+    """(gene_id, n_cells): how many of the removed cells (cell_id) express each gene; subtract it from earlier counts."""
+    n = x.join(removed.select("cell_id"), "cell_id", "left_semi").groupBy("gene_id").agg(F.count("*").alias("n_cells"))
+    return var.select("gene_id").join(n, "gene_id", "left").fillna({"n_cells": 0})

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groupstats import labelled
-
 
 def _finish(obs: DataFrame, ratios: DataFrame) -> DataFrame:
     """Cells without a ratio get the median of the others (1 if there is none); then the geometric mean becomes 1."""
@@ -33,10 +31,26 @@ def deseq_size_factors(x: DataFrame, obs: DataFrame, min_genes: int = 10) -> Dat
     return _finish(obs, ratios)
 
 
-def comparison_size_factors(x: DataFrame, obs: DataFrame, label: str, control: str, chosen: str, min_genes: int = 5) -> DataFrame:
-    """Size factors within the control and one label."""
-    own = obs.where(F.col(label).isin(control, chosen))
-    return deseq_size_factors(labelled(x, own, label).drop("lab"), own, min_genes)
+def comparison_size_factors(x: DataFrame, obs: DataFrame, label: str, control: str, chosen: str | None = None, min_genes: int = 5) -> DataFrame:
+    """(lab, cell_id, size_factor) within the control and each label (or the chosen one); control cells come once per label.
+
+    Medians over the genes that are non-zero in every cell of the comparison, or over its non-zero genes where fewer
+    than min_genes are; then as above, per comparison.
+    """
+    cells = obs.select("cell_id", F.col(label).cast("string").alias("lab"))
+    names = cells.where(F.col("lab") == chosen if chosen is not None else F.col("lab") != control).select("lab").distinct()
+    home = cells.where(F.col("lab") == control).select("cell_id").crossJoin(F.broadcast(names)).select("lab", "cell_id")
+    cells = home.unionByName(cells.join(names, "lab", "left_semi").select("lab", "cell_id"))
+    own = cells.join(x, "cell_id")
+    n = cells.groupBy("lab").agg(F.count("*").alias("n"))
+    geo = own.groupBy("lab", "gene_id").agg(F.count("*").alias("k"), F.exp(F.avg(F.log("value"))).alias("geo")).join(n, "lab")
+    whole = geo.groupBy("lab").agg(F.count_if(F.col("k") == F.col("n")).alias("whole"))
+    geo = geo.join(whole, "lab").where((F.col("whole") < min_genes) | (F.col("k") == F.col("n"))).select("lab", "gene_id", "geo")
+    ratios = own.join(geo, ["lab", "gene_id"]).groupBy("lab", "cell_id").agg(F.percentile(F.col("value") / F.col("geo"), F.lit(0.5)).alias("m"))
+    mid = ratios.groupBy("lab").agg(F.percentile("m", F.lit(0.5)).alias("fill"))
+    filled = cells.join(ratios, ["lab", "cell_id"], "left").join(mid, "lab", "left").select("lab", "cell_id", F.coalesce("m", "fill", F.lit(1.0)).alias("m"))
+    scale = filled.groupBy("lab").agg(F.exp(F.avg(F.log("m"))).alias("scale"))
+    return filled.join(scale, "lab").select("lab", "cell_id", (F.col("m") / F.col("scale")).alias("size_factor"))
 
 
 def given_size_factors(obs: DataFrame, factors: DataFrame, scale: bool = True) -> DataFrame:

@@ -68,15 +68,6 @@ def wilcoxon_by_gene(spark: SparkSession, d: str) -> DataFrame:
     return rounded(differential.wilcoxon_blocks(*dense(spark, d)), "u_stat", "statistic")
 
 
-def t_test(spark: SparkSession, d: str) -> DataFrame:
-    x, obs, var, lab, ctrl = dense(spark, d)
-    return differential.t_test(normalise(x), obs, var, lab, ctrl)
-
-
-def wilcoxon_test(spark: SparkSession, d: str) -> DataFrame:
-    return differential.wilcoxon_test(*dense(spark, d))
-
-
 def bh_adjustment(spark: SparkSession, d: str) -> DataFrame:
     """Adjusted values of pseudo p-values 1 / (1 + z * z) of the sparse Wilcoxon statistics, in SQL's reach."""
     w = _wilcoxon(spark, d, dense).withColumn("pvalue", F.when(F.col("tested"), 1 / (1 + F.col("statistic") * F.col("statistic"))))
@@ -121,11 +112,6 @@ def nb_shrunk(spark: SparkSession, d: str) -> DataFrame:
     return nbglm.shrink_lfc(nbglm.nb_glm_test(*dense(spark, d)))
 
 
-def thresholds(spark: SparkSession, d: str) -> DataFrame:
-    x, obs, var, lab, _ = sparse(spark, d)
-    return spark.createDataFrame([qc.adaptive_thresholds(x, obs, var, lab)], "min_cells_per_label int, min_cells_per_gene int, min_genes int")
-
-
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "documents").select(F.col("source").alias("name"), F.col("lang").alias("element"))
     return rounded(frames.overlap(sets), "jaccard")
@@ -172,9 +158,11 @@ def cleaned_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inferred_control(spark: SparkSession, d: str) -> DataFrame:
-    _, obs, _, lab, ctrl = sparse(spark, d)
-    named = obs.withColumn("lab", F.when(F.col("lab") == ctrl, "Control_cells").otherwise(F.col("lab")))
-    return spark.createDataFrame([(labels.control_label(named, "lab"), labels.detect_label_column(named))], "control string, label_column string")
+    """The control among market segments named after the data: "non-target" with the last segment, guides in a known column."""
+    c = table(spark, d, "customer")
+    named = F.when(F.col("c_mktsegment") == F.lit("MACHINERY"), F.concat(F.lit("Non-Target_"), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    obs = c.select(F.col("c_custkey").alias("cell_id"), F.col("c_name").alias("name"), named.alias("guide"))
+    return spark.createDataFrame([(labels.control_label(obs, "guide"), labels.detect_label_column(obs))], "control string, label_column string")
 
 
 def sorted_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -198,8 +186,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wilcoxon_sparse": lambda s, d: _wilcoxon(s, d, sparse),
     "wilcoxon_dense": lambda s, d: _wilcoxon(s, d, dense),
     "wilcoxon_by_gene": wilcoxon_by_gene,
-    "t_test": t_test,
-    "wilcoxon_test": wilcoxon_test,
     "bh_adjustment": bh_adjustment,
     "ranked_genes": ranked_genes,
     "average_log_expression": lambda s, d: _bulk(s, d, differential.average_log_expression),
@@ -209,7 +195,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qc_cells": lambda s, d: qc_tables(s, d).cells,
     "qc_genes": lambda s, d: qc_tables(s, d).genes,
     "qc_filtered": lambda s, d: qc_tables(s, d).x,
-    "qc_thresholds": thresholds,
     "sparse_size_factors": sparse_factors,
     "deseq_size_factors": deseq_factors,
     "nb_glm": nb_glm,
@@ -344,7 +329,9 @@ e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 50 AS w FROM l), b AS (SELECT CAS
 SELECT CAST(bin AS INTEGER) AS bin, round(max(lo + bin * w), 6) AS low, count(*) AS n FROM b GROUP BY 1""",
     "cleaned_labels": r"""WITH c AS (SELECT p_partkey, p_brand, regexp_replace(regexp_replace(regexp_replace(p_name, '^Part', ''), '^part', ''), '\s*\d+$', '') AS c FROM part)
 SELECT p_partkey, CASE WHEN lower(c) IN ('', '#') THEN 'NTC' ELSE c END AS cleaned, 'MT-' || p_brand AS gene FROM c""",
-    "inferred_control": "SELECT 'Control_cells' AS control, 'lab' AS label_column",
+    "inferred_control": """WITH o AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Non-Target_' || c_mktsegment ELSE c_mktsegment END AS guide FROM customer)
+SELECT (SELECT arg_min(guide, c_custkey) FROM o WHERE contains(lower(guide), 'non-target') OR contains(lower(guide), 'nontarget')) AS control,
+       CASE WHEN count(DISTINCT guide) BETWEEN 2 AND 5000 THEN 'guide' END AS label_column FROM o""",
     "sorted_bounds": """WITH n AS (SELECT o_orderpriority AS lab, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT lab, n, sum(n) OVER (ORDER BY lab <> '5-LOW', lab ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM n)
 SELECT lab, e - n AS start, e AS "end" FROM c""",
     "label_contiguity": "SELECT round(avg(c), 6) AS contiguity FROM (SELECT count(*) / (max(o_orderkey) - min(o_orderkey) + 1)::DOUBLE AS c FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 20)",

@@ -33,9 +33,27 @@ class Screen:
             raise FileNotFoundError(path)
         f, p = store.fs(spark, path)
         names = [s.getPath().getName() for s in f.listStatus(p)]
-        read = {n: spark.read.parquet(f"{path}/{n}") for n in names if not n.startswith(("_", ".")) and ".new-" not in n}
+        read = {n: store.read_table(spark, f"{path}/{n}") for n in names if not n.startswith(("_", "."))}
         return cls(read.pop("x"), read.pop("obs"), read.pop("var"), read)
 
+    @classmethod
+    def of(cls, data: Screen | str | tuple[DataFrame, DataFrame, DataFrame], spark: SparkSession | None = None) -> Screen:
+        """A screen, the path of a saved one, or its three tables; anything else raises TypeError."""
+        if isinstance(data, cls):
+            return data
+        if isinstance(data, str):
+            return cls.load(spark or SparkSession.active(), data)
+        if isinstance(data, tuple) and len(data) == 3 and all(isinstance(d, DataFrame) for d in data):
+            return cls(*data)
+        raise TypeError("a screen is a Screen, a path, or the tables x, obs and var")
+
+    @classmethod
+    def load_metadata(cls, spark: SparkSession, path: str, slot: str) -> DataFrame:
+        """obs or var of a saved screen alone; x is not touched."""
+        if not store.exists(spark, f"{path}/{slot}"):
+            raise FileNotFoundError(f"{path}/{slot}")
+        return store.read_table(spark, f"{path}/{slot}")
+
     @classmethod
     def from_dense(cls, rows: DataFrame, obs: DataFrame, var: DataFrame) -> Screen:
         return cls(store.from_dense(rows), obs, var)
@@ -44,6 +62,18 @@ class Screen:
         x = {"cells": store.by_cell, "genes": store.by_gene}[layout](clean_counts(self.x))
         for name, df in {"x": x, "obs": self.obs, "var": self.var, **self.slots}.items():
             store.replace_table(df, f"{path}/{name}")
+        store.write_mark(self.x.sparkSession, f"{path}/_layout", layout)
+
+    def preview(self, n_obs: int = 5, n_vars: int = 5) -> str:
+        """The first rows of obs and var as text."""
+        parts = ((name, df.limit(n).toPandas()) for name, df, n in (("obs", self.obs, n_obs), ("var", self.var, n_vars)))
+        return "\n".join(f"{name}\n{rows.to_string(index=False)}" for name, rows in parts)
+
+    def write_slot(self, path: str, name: str, table: DataFrame) -> None:
+        """Replace one further table of a saved screen; uns-like values are tables (key, value)."""
+        if name in ("x", "obs", "var"):
+            raise ValueError(f"{name} is no slot")
+        store.replace_table(table, f"{path}/{name}")
 
     def write_obs(self, path: str, obs: DataFrame) -> None:
         self._metadata(path, "obs", obs)
@@ -52,8 +82,11 @@ class Screen:
         self._metadata(path, "var", var)
 
     def _metadata(self, path: str, slot: str, df: DataFrame) -> None:
-        if df.count() != df.sparkSession.read.parquet(f"{path}/{slot}").count():
+        held, key = store.read_table(df.sparkSession, f"{path}/{slot}"), {"obs": "cell_id", "var": "gene_id"}[slot]
+        if df.count() != held.count():
             raise ValueError(f"{slot} has another number of rows")
+        if not df.select(key).exceptAll(held.select(key)).isEmpty():
+            raise ValueError(f"{slot} has other ids")
         store.replace_table(df, f"{path}/{slot}")
 
     def with_slot(self, **tables: DataFrame) -> Screen:
@@ -154,6 +187,11 @@ class Pseudobulk:
         control = labels.control_label(self.s.obs, label, control)
         if self.s.obs.where(F.col(label).cast("string") == control).isEmpty():
             raise ValueError("the control has no cells")
+        if chosen is not None:
+            chosen = [str(c) for c in chosen]
+            have = {r[0] for r in self.s.obs.where(F.col(label).cast("string").isin(*chosen)).select(F.col(label).cast("string")).distinct().collect()} if chosen else set()
+            if missing := [c for c in chosen if c not in have]:
+                raise ValueError(f"labels without cells: {missing}")
         out = f(self.s.x, self.s.obs, self.s.var, label, control, **options)
         return out if chosen is None else out.where(F.col("lab").isin(*[str(c) for c in chosen]))
 
@@ -179,6 +217,16 @@ class Tools:
     def shrink_lfc(self, result: DataFrame, **options) -> DataFrame:
         return nbglm.shrink_lfc(result, **options)
 
+    def save_result(self, result: DataFrame, source: str, method: str, params: dict, output_dir: str | None = None, data_name: str | None = None) -> str:
+        """Publish a result under its usual name; returns the path."""
+        kind = METHODS[method.lower().replace("_", "-")].replace("-", "_")
+        return store.write_result(result, store.result_path(source, kind, output_dir, data_name), params)
+
+    def load_result(self, source: str, method: str, params: dict | None = None, output_dir: str | None = None, data_name: str | None = None) -> DataFrame | None:
+        """The result saved under that name; None if there is none, or one of other parameters."""
+        kind = METHODS[method.lower().replace("_", "-")].replace("-", "_")
+        return store.load_result(self.s.x.sparkSession, store.result_path(source, kind, output_dir, data_name), params)
+
     def adjust(self, result: DataFrame, method: str) -> DataFrame:
         return adjust(result, method)
 

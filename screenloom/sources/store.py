@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,14 +50,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return f.exists(p)
 
 
+POINTER = "_current"
+
+
+def read_mark(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    f, p = fs(spark, path)
+    if not f.exists(p):
+        return None
+    held = f.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(held)).decode()
+    finally:
+        held.close()
+
+
+def write_mark(spark: SparkSession, path: str, text: str) -> None:
+    f, p = fs(spark, path)
+    out = f.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def table_path(spark: SparkSession, path: str) -> str:
+    """The folder of a published table's present version (a plain table is its own)."""
+    version = read_mark(spark, f"{path}/{POINTER}")
+    return path if version is None else f"{path}/{version}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(table_path(spark, path))
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside, then swap: a reader sees the old table or the new one."""
-    spark, side = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(side)
+    """Write a new version, then move the pointer to it in one step: a reader sees the old table or the new one.
+
+    The version before stays for readers that hold it; older ones go.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     f, p = fs(spark, path)
-    f.delete(p, True)
-    if not f.rename(fs(spark, side)[1], p):
-        raise OSError(f"cannot publish {path}")
+    before = table_path(spark, path).rpartition("/")[2] if f.exists(p) else None
+    df.write.parquet(f"{path}/{version}")
+    jvm = spark.sparkContext._jvm
+    side = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}")
+    write_mark(spark, f"{path}/.{version}", version)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    # Qualified with the file system that wrote it: a relative path may name another one.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(f.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(f.makeQualified(side), f.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")), options)
+    for s in f.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            f.delete(s.getPath(), True)
+
+
+def blocks(x: DataFrame, axis: str = "cell_id", size: int = 1024) -> DataFrame:
+    """x with the block number of its cell_id or gene_id, size ids a block: the unit of blockwise work."""
+    return x.withColumn("block", F.floor(F.col(axis) / size).cast("long"))
+
+
+def iter_blocks(x: DataFrame, axis: str = "cell_id", size: int = 1024) -> Iterator[tuple[int, int, DataFrame]]:
+    """(first id, end, rows) of the blocks that hold values, in order; rows are lazy."""
+    for r in blocks(x, axis, size).select("block").distinct().orderBy("block").toLocalIterator():
+        at = r["block"] * size
+        yield at, at + size, x.where(F.col(axis).between(at, at + size - 1))
+
+
+def map_blocks(x: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, axis: str = "cell_id", size: int = 1024) -> DataFrame:
+    """run on the rows of each block; a task holds one block."""
+    return blocks(x, axis, size).groupBy("block").applyInPandas(run, schema)
 
 
 def from_dense(rows: DataFrame, vector: str = "values") -> DataFrame:
@@ -82,18 +144,86 @@ def by_gene(x: DataFrame) -> DataFrame:
 
 
 def sorted_cells(obs: DataFrame, label: str, control: str) -> tuple[DataFrame, DataFrame]:
-    """(cells with their place, control first, then labels by name; (lab, start, end) of each label)."""
-    from pyspark.sql import Window
+    """(cells with their place, control first, then labels by name, cells in order; (lab, start, end) of each label).
 
+    Places are ranges of the sorted cells, counted range by range: no label's cells have to meet in one task.
+    """
     lab = F.col(label).cast("string")
-    n = obs.groupBy(lab.alias("lab")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("lab") != control, "lab").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = n.withColumn("end", F.sum("n").over(order)).select("lab", (F.col("end") - F.col("n")).alias("start"), "end")
-    place = F.row_number().over(Window.partitionBy("lab").orderBy("cell_id")) - 1
-    cells = obs.withColumn("lab", lab).withColumn("place", place).join(bounds, "lab").withColumn("place", F.col("start") + F.col("place")).drop("start", "end")
+    order = [F.col("lab") != control, F.col("lab"), F.col("cell_id")]
+    cells = obs.withColumn("lab", lab).repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id()
+    cells = written(cells.withColumn("range", F.shiftright(row, 33)).withColumn("place", row.bitwiseAND(F.lit((1 << 33) - 1))), "sorted-cells")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    cells = cells.join(F.broadcast(starts), "range").withColumn("place", F.col("first") + F.col("place")).drop("first", "range")
+    bounds = cells.groupBy("lab").agg(F.min("place").alias("start"), (F.max("place") + 1).alias("end"))
     return cells, bounds
 
 
+def write_sorted(x: DataFrame, obs: DataFrame, var: DataFrame, path: str, label: str, control: str, force: bool = False) -> None:
+    """A screen with its cells in order of sorted_cells: x and obs by place, and the table bounds (lab, start, end).
+
+    ValueError if path holds a sorted screen already, unless force.
+    """
+    if exists(x.sparkSession, f"{path}/bounds") and not force:
+        raise ValueError(f"{path} is sorted already")
+    cells, bounds = sorted_cells(obs, label, control)
+    placed = x.join(cells.select("cell_id", "place"), "cell_id").repartitionByRange("place").sortWithinPartitions("place", "gene_id")
+    replace_table(placed, f"{path}/x")
+    replace_table(cells.drop("lab").repartitionByRange("place").sortWithinPartitions("place"), f"{path}/obs")
+    replace_table(var, f"{path}/var")
+    replace_table(bounds.coalesce(1), f"{path}/bounds")
+
+
+def label_bounds(spark: SparkSession, path: str, lab: str) -> tuple[int, int] | None:
+    """[start, end) of a label's places in a sorted screen; None if it is not sorted; KeyError for an unknown label."""
+    if not exists(spark, f"{path}/bounds"):
+        return None
+    row = read_table(spark, f"{path}/bounds").where(F.col("lab") == lab).first()
+    if row is None:
+        raise KeyError(lab)
+    return row["start"], row["end"]
+
+
+def label_slice(spark: SparkSession, path: str, lab: str, label: str) -> DataFrame:
+    """x of one label: a range of places that prunes row groups in a sorted screen, else a semi join with obs."""
+    x = read_table(spark, f"{path}/x")
+    found = label_bounds(spark, path, lab)
+    if found:
+        return x.where(F.col("place").between(found[0], found[1] - 1))
+    obs = read_table(spark, f"{path}/obs").where(F.col(label).cast("string") == lab)
+    return x.join(obs.select("cell_id"), "cell_id", "left_semi")
+
+
+def storage_format(spark: SparkSession, path: str) -> str:
+    """"sorted", "cells" or "genes": how a saved screen's x is laid out ("cells" if nothing says so)."""
+    if exists(spark, f"{path}/bounds"):
+        return "sorted"
+    return read_mark(spark, f"{path}/_layout") or "cells"
+
+
+def write_result(result: DataFrame, path: str, params: dict) -> str:
+    """Publish a test's result with the parameters it was made with, by which load_result knows it again."""
+    replace_table(result, path)
+    write_mark(result.sparkSession, f"{path}/_params", fingerprint(params))
+    return path
+
+
+def load_result(spark: SparkSession, path: str, params: dict | None = None) -> DataFrame | None:
+    """A published result; None if there is none, or one of other parameters."""
+    if not exists(spark, f"{path}/{POINTER}"):
+        return None
+    if params is not None and read_mark(spark, f"{path}/_params") != fingerprint(params):
+        return None
+    return read_table(spark, path)
+
+
+def ranked_layout(result: DataFrame, n_genes: int | None = None, columns: tuple[str, ...] = ("statistic", "pvalue", "pvalue_adj", "logfoldchange")) -> DataFrame:
+    """(rank, a column per label): structs (gene_id, *columns) of each label's genes by rank, for export."""
+    rows = result if n_genes is None else result.where(F.col("rank") <= n_genes)
+    return rows.groupBy("rank").pivot("lab").agg(F.first(F.struct("gene_id", *[c for c in columns if c in result.columns])))
+
+
 def contiguity(obs: DataFrame, label: str, n_labels: int = 20) -> float:
     """Mean over the first labels by name of cells / span of cell ids: 1 if labels lie together."""
     span = obs.groupBy(F.col(label).cast("string").alias("lab")).agg((F.count("*") / (F.max("cell_id") - F.min("cell_id") + 1)).alias("c"))
@@ -115,11 +245,11 @@ def resumable(spark: SparkSession, path: str, labels: list[str], params: dict, c
     Each batch is one write into its own folder, listed only once it is whole; other parameters start anew.
     """
     mark = f"{path}/_params"
-    if force or (exists(spark, path) and (not exists(spark, mark) or spark.read.text(mark).first()[0] != fingerprint(params))):
+    if force or (exists(spark, path) and read_mark(spark, mark) != fingerprint(params)):
         f, p = fs(spark, path)
         f.delete(p, True)
     if not exists(spark, mark):
-        spark.createDataFrame([(fingerprint(params),)], "value string").coalesce(1).write.text(mark)
+        write_mark(spark, mark, fingerprint(params))
     f, p = fs(spark, path)
 
     def parts() -> list[str]:

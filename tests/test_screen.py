@@ -13,7 +13,7 @@ from screenloom import Screen
 from screenloom.functions import labels, special
 from screenloom.operators import differential, dimred, frames, nbglm, qc
 from screenloom.operators.groupstats import normalise
-from screenloom.plans import screen_queries
+from screenloom.plans import result_queries, screen_queries
 from screenloom.sources import store
 
 F1 = [[1, 0, 3, 0], [0, 2, 1, 0], [4, 0, 0, 1], [3, 1, 0, 0], [0, 0, 2, 2], [1, 0, 1, 3]]
@@ -63,6 +63,9 @@ def test_results_do_not_depend_on_partitions(screen):
 
 
 def test_namespace_rules(screen):
+    with pytest.raises(ValueError):
+        screen.tl.rank_genes_groups("perturbation", method="wilcoxon")
+    counts, screen = screen, screen.pp.normalize_total_log1p()
     out = screen.tl.rank_genes_groups("perturbation", method="Wilcox_Test").collect()
     assert {r["lab"] for r in out} == {"A", "B"}
     for bad, kind in (({"method": "wald"}, ValueError), ({"groupby": "perturbation"}, TypeError), ({"perturbations": ["none"]}, ValueError)):
@@ -168,13 +171,16 @@ def test_save_load_and_resume(spark, screen, tmp_path):
     assert store.result_path("a/b", "de", data_name="screenloom_x_de") == "a/screenloom_x_de"
 
 
-@pytest.mark.parametrize("name", sorted(screen_queries.SQL))
+QUERIES, SQL = screen_queries.QUERIES | result_queries.QUERIES, screen_queries.SQL | result_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "part", "customer", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
-    want = con.execute(screen_queries.SQL[name]).fetchdf()
-    got = screen_queries.QUERIES[name](spark, DIR)
+    want = con.execute(SQL[name]).fetchdf()
+    got = QUERIES[name](spark, DIR)
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda df: sorted(str(tuple(None if v != v else v for v in r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert key(got.toPandas()) == key(want)
