@@ -23,8 +23,8 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: A doc's features: hits by edits (0, 1, 2) in abuse, then in quotation; each as the bit length of its count.
 N_FEATURES = 6
 CACHE = 1 << 20
-#: Words whose match a task remembers.
-REMEMBERED = 1 << 19
+#: Words whose match, and words whose forms, a task remembers.
+REMEMBERED, FORMS_OF = 1 << 19, 1 << 16
 #: Lengths of the word beginnings that are tried as stems.
 STEM = (4, 5, 6, 7)
 
@@ -201,11 +201,13 @@ def learn_lexicon(rows: DataFrame, max_terms: int, min_places: int = 3, min_shar
             places: set[tuple[str, int]] = set()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = TOKEN.findall(text.lower())
-                if len(known) > CACHE:
+                if len(known) > FORMS_OF:
                     known.clear()
-                for w in set(words) - known.keys():
-                    known[w] = forms(w)
-                held["bad" if toxic else "clean"].update(set(chain.from_iterable(map(known.__getitem__, set(words)))))
+                own = set(words)
+                for w in own:
+                    if w not in known:
+                        known[w] = forms(w)
+                held["bad" if toxic else "clean"].update(set(chain.from_iterable(map(known.__getitem__, own))))
                 if toxic:
                     places |= {(w, xxhash.xxh64_intdigest(f"{p} {w} {n}") >> 1) for p, w, n in zip(["", *words], words, [*words[1:], ""])}
             yield _counted([(f, w, p, 0, 0) for w, p in places for f in forms(w)])
