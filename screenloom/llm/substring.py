@@ -1,10 +1,12 @@
 """Removal of repeated word passages by prefix-partitioned suffix trees.
 
 The suffixes of all documents, cut at the window length, are split by variable-length prefixes into groups that fit
-one task: common first words are extended by three more. In a group, suffixes that share a full window are one deep
-internal node of that group's suffix tree; the node's first leaf stays and the others are repeats. Whole suffixes
-never travel: 32-bit edge tags find nodes with leaves in more than one batch, then 128-bit keys of those leaves settle
-which is first.
+one task: the first word, and for common first words the whole window. Each batch of documents sorts its suffixes by
+prefix doubling over its own exact word numbers; suffixes that agree in a full window are the leaves of one deep
+internal node. A group merges the nodes of all batches: 32-bit edge tags first find nodes with leaves in more than one
+batch, then one leaf a batch and node travels with a 128-bit key. The first leaf of a node stays and the others are
+repeats. Neighbouring repeats with neighbouring first leaves join into maximal repeats, whose words are fetched from
+where the first leaf lies and compared before anything goes.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order_batches, pack_sorted, plain_text, unpack_sorted
+from .common import in_order_batches, materialise, pack_sorted, plain_text, unpack_sorted
 
 CELLS = 1 << 16
-LONG_PREFIX = 4
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 EMPTY_U64 = np.empty(0, np.uint64)
 
@@ -50,6 +52,12 @@ def _rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     return (sums[width:] - sums[:-width]) * back[: n - width + 1]
 
 
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs (first[i], second[i]); where second has ended, the text has too and the rank is not used."""
+    n = min(len(first), len(second))
+    return np.unique(first[:n] * (second.max(initial=0) + 1) + second[:n], return_inverse=True)[1]
+
+
 class Batch:
     """The words of a batch's documents in order of id (nulls first, then text)."""
 
@@ -78,9 +86,24 @@ class Batch:
             return self
         self.low, self.high = (_rolling(v, window, b)[self.starts] for v, b in zip((low, high), BASES, strict=True))
         self.cell = (low >> np.uint64(48)).astype(np.int64)[self.starts]
-        self.prefix = _rolling(low, min(LONG_PREFIX, window), BASES[1])[self.starts] >> np.uint64(32)
+        self.prefix = self.high >> np.uint64(32)
+        self.numbers = at
         return self
 
+    def node_of(self, window: int) -> np.ndarray:
+        """For each suffix in starts the rank of its first window words among all suffixes, by prefix doubling (exact)."""
+        if not len(self.starts):
+            return np.empty(0, np.int64)
+        rank, width, out, done = self.numbers, 1, None, 0
+        while True:
+            if window & width:
+                out = rank if out is None else _paired(out, rank[done:])
+                done += width
+            if 2 * width > window:
+                return out[self.starts]
+            rank = _paired(rank, rank[width:])
+            width *= 2
+
     def keys(self, groups: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """group << 32 | tag of every window."""
         base, parts = groups
@@ -124,6 +147,18 @@ def suffix_groups(docs: DataFrame, text_col: str, capacity: int) -> tuple[np.nda
     return base, parts
 
 
+def _packed_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _packed_bytes(values.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").astype(np.int64)
+
+
 def _split(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     group = (keys >> np.uint64(32)).astype(np.int64)
     at = np.flatnonzero(np.diff(group, prepend=-1))
@@ -136,8 +171,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     A word goes if some window of window consecutive words covers it whose word sequence also starts earlier: in a
     document of smaller id, or earlier in the same one. removed lists the ranges [start, end) of words that go. Null
     and empty texts have no words; shorter texts than a window stay whole (words joined by one space). Rows that
-    repeat an id count as documents of their own, in order of their text; null ids come first. An empty table gives
-    no rows; further columns of docs are ignored.
+    repeat an id count as documents of their own, in order of their text; null ids come first. Long texts are read
+    whole, within one batch. An empty table gives no rows; further columns of docs are ignored, whatever their names.
+    Passages with one key whose words differ stop the run; none is taken for a repeat.
     """
     groups = suffix_groups(docs, text_col, capacity)
     rows = in_order_batches(docs, id_col, text_col, batch_bytes)
@@ -161,60 +197,95 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         return pa.table({"batch": pa.array([b for b, _ in out], pa.int32()), "grp": pa.array([t.column("grp")[0].as_py()] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def leaves(mine: pa.Table, told: pa.Table) -> pa.Table:
-        """Windows that repeat in this batch are settled (grp null); those that another batch may hold too go to their group."""
+        """Leaves that repeat in this batch are settled (grp null); the first of nodes that another batch may hold too go to their group."""
         out: list[tuple[int | None, bytes, bytes]] = []
         if mine.num_rows:
             b = Batch(mine).hash(window)
-            keys = b.keys(groups)
-            order = np.argsort(keys, kind="stable")
-            ranked = keys[order]
+            keys, node = b.keys(groups), b.node_of(window)
             wanted = np.sort(np.concatenate([EMPTY_U64, *(unpack_sorted(x) | (np.uint64(g) << np.uint64(32)) for g, x in zip(told.column("grp").to_pylist(), told.column("blob").to_pylist(), strict=True))]))
-            met = np.zeros(len(ranked), bool)
+            met = np.zeros(len(keys), bool)
             if len(wanted):
-                met = wanted[np.minimum(np.searchsorted(wanted, ranked), len(wanted) - 1)] == ranked
-            local = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))[: len(ranked) + 1]
-            pick = met | local[1:] | local[:-1]
-            at, met, ranked = order[pick], met[pick], ranked[pick]
-            low, high = b.low[at], b.high[at]
-            by = np.lexsort((at, high, low, ranked))
-            at, met, ranked, low, high = at[by], met[by], ranked[by], low[by], high[by]
-            again = np.zeros(len(at), bool)
-            again[1:] = (low[1:] == low[:-1]) & (high[1:] == high[:-1])
-            out.append((None, pack_sorted(np.sort(b.starts[at[again]].astype(np.uint64))), b""))
-            first = met & ~again
-            at, ranked, low, high = at[first], ranked[first], low[first], high[first]
-            for g, i in zip(*_split(ranked), strict=True):
-                i = i[np.argsort(at[i])]
-                out.append((int(g), pack_sorted(b.starts[at[i]].astype(np.uint64)), low[i].tobytes() + high[i].tobytes()))
+                met = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+            # The suffixes of a node in order of their place: the first is its leaf here, the others repeat it.
+            first = np.zeros(len(node), bool)
+            first[np.unique(node, return_index=True)[1]] = True
+            out.append((None, pack_sorted(b.starts[~first].astype(np.uint64)), b""))
+            at = np.flatnonzero(first & met)
+            at = at[np.argsort(keys[at], kind="stable")]
+            for g, i in zip(*_split(keys[at]), strict=True):
+                i = np.sort(at[i])
+                out.append((int(g), pack_sorted(b.starts[i].astype(np.uint64)), b.low[i].tobytes() + b.high[i].tobytes()))
         who = mine.column("batch")[0].as_py() if mine.num_rows else 0
         return pa.table({"grp": pa.array([g for g, _, _ in out], pa.int64()), "batch": pa.array([who] * len(out), pa.int32()), "at": pa.array([x for _, x, _ in out], pa.binary()), "node": pa.array([x for _, _, x in out], pa.binary())})
 
     def settle(t: pa.Table) -> pa.Table:
+        """(batch, at, home, first): later leaves of a batch, and the batch and places of their nodes' first leaves."""
+        none = {"batch": pa.array([], pa.int32()), "at": pa.array([], pa.binary()), "home": pa.array([], pa.binary()), "first": pa.array([], pa.binary())}
         if t.column("grp")[0].as_py() is None:
-            return t.select(["batch", "at"])
+            k = t.num_rows
+            return pa.table({"batch": t.column("batch"), "at": t.column("at"), "home": pa.nulls(k, pa.binary()), "first": pa.nulls(k, pa.binary())})
         batch = np.array(t.column("batch").to_pylist(), np.int64)
         at = [unpack_sorted(x) for x in t.column("at").to_pylist()]
         node = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in t.column("node").to_pylist()]
         whose = np.repeat(np.arange(len(at)), [len(x) for x in at])
-        low, high = np.concatenate([x[0] for x in node]), np.concatenate([x[1] for x in node])
+        low, high, place = np.concatenate([x[0] for x in node]), np.concatenate([x[1] for x in node]), np.concatenate(at)
         by = np.lexsort((batch[whose], high, low))
-        again = np.zeros(len(by), bool)
-        again[1:] = (low[by][1:] == low[by][:-1]) & (high[by][1:] == high[by][:-1])
-        later = np.zeros(len(by), bool)
-        later[by] = again
-        ends = np.cumsum([len(x) for x in at])[:-1]
-        kept = [(int(b), pack_sorted(x[m])) for b, x, m in zip(batch, at, np.split(later, ends), strict=True) if m.any()]
-        return pa.table({"batch": pa.array([b for b, _ in kept], pa.int32()), "at": pa.array([x for _, x in kept], pa.binary())})
+        low, high, place, whose = low[by], high[by], place[by], whose[by]
+        new = np.concatenate((low[:1] == low[:1], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else by
+        later = np.flatnonzero(~new)
+        later = later[np.lexsort((place[later], whose[later]))]
+        cuts = np.flatnonzero(np.diff(whose[later], prepend=-1))
+        if not len(cuts):
+            return pa.table(none)
+        rows = []
+        for i in np.split(later, cuts[1:]):
+            rows.append((int(batch[whose[i[0]]]), pack_sorted(place[i]), _packed(batch[whose[head[i]]].astype("<u4")), _packed(place[head[i]].astype("<u4"))))
+        return pa.table({c: pa.array([r[k] for r in rows], none[c].type) for k, c in enumerate(none)})
+
+    def repeats(t: pa.Table) -> pa.Table:
+        """(home, batch, first, at, n): maximal repeats, n windows from at in batch as from first in home."""
+        held = [x for x in zip(*(t.column(c).to_pylist() for c in ("at", "home", "first")), strict=True) if x[1] is not None]
+        at = np.concatenate([EMPTY_U64, *(unpack_sorted(a) for a, _, _ in held)]).astype(np.int64)
+        home, first = (np.concatenate([np.empty(0, np.int64), *(_unpacked(x[k]) for x in held)]) for k in (1, 2))
+        by = np.argsort(at, kind="stable")
+        at, home, first = at[by], home[by], first[by]
+        new = np.flatnonzero(np.concatenate((at[:1] == at[:1], (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1] + 1) | (home[1:] != home[:-1]))))
+        n = np.diff(np.append(new, len(at)))
+        order = np.argsort(home[new], kind="stable")
+        new, n = new[order], n[order]
+        cuts = np.flatnonzero(np.diff(home[new], prepend=-1))
+        rows = [(int(home[i[0]]), _packed(first[i].astype("<u4")), _packed(at[i].astype("<u4")), _packed(k.astype("<u4"))) for i, k in zip(np.split(new, cuts[1:]), np.split(n, cuts[1:]), strict=True)] if len(cuts) else []
+        who = [t.column("batch")[0].as_py()] * len(rows)
+        return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array(who, pa.int32()), **{c: pa.array([r[k + 1] for r in rows], pa.binary()) for k, c in enumerate(("first", "at", "n"))}})
+
+    def fetch(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        """The words of the asked places, one joined text a batch that asks."""
+        out = []
+        if mine.num_rows and asked.num_rows:
+            words = Batch(mine).words
+            for first, n in zip(asked.column("first").to_pylist(), asked.column("n").to_pylist(), strict=True):
+                spans = zip(_unpacked(first).tolist(), _unpacked(n).tolist(), strict=True)
+                out.append(_packed_bytes(b"\n".join(b" ".join(words[i : i + k + window - 1]) for i, k in spans)))
+        return pa.table({"batch": asked.column("batch").slice(0, len(out)), "at": asked.column("at").slice(0, len(out)), "home": asked.column("n").slice(0, len(out)), "first": pa.array(out, pa.binary())})
 
     def cut(mine: pa.Table, told: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_text": pa.array([], pa.string())})
         b = Batch(mine)
         edge = np.zeros(len(b.words) + 1, np.int64)
-        for x in told.column("at").to_pylist():
-            at = unpack_sorted(x).astype(np.int64)
+        for at, n, text in zip(*(told.column(c).to_pylist() for c in ("at", "home", "first")), strict=True):
+            if text is None:
+                at = unpack_sorted(at).astype(np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + window, -1)
+                continue
+            at, n = _unpacked(at), _unpacked(n) + window - 1
+            spans = zip(at.tolist(), n.tolist(), strict=True)
+            if b"\n".join(b" ".join(b.words[i : i + k]) for i, k in spans) != zstandard.ZstdDecompressor().decompress(text):
+                raise RuntimeError("two different passages share a 128-bit key")
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + window, -1)
+            np.add.at(edge, at + n, -1)
         gone = np.cumsum(edge)[:-1] > 0
         n_removed, spans, texts = [], [], []
         for start, end in zip((b.ends - b.sizes).tolist(), b.ends.tolist(), strict=True):
@@ -231,5 +302,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     found = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(leaves, "grp long, batch int, at binary, node binary")
     # Settled rows of each batch keep a key of their own; they'd else meet in one group.
     own = F.when(F.col("grp").isNull(), -1 - F.col("batch")).otherwise(F.col("grp"))
-    settled = found.groupBy(own.alias("key")).applyInArrow(settle, "batch int, at binary")
-    return rows.groupBy("batch").cogroup(settled.groupBy("batch")).applyInArrow(cut, "id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
+    settled = found.groupBy(own.alias("key")).applyInArrow(settle, "batch int, at binary, home binary, first binary")
+    settled = materialise(settled, "settled")
+    asked = settled.where("home IS NOT NULL").groupBy("batch").applyInArrow(repeats, "home int, batch int, first binary, at binary, n binary")
+    fetched = rows.groupBy("batch").cogroup(asked.groupBy("home")).applyInArrow(fetch, "batch int, at binary, home binary, first binary")
+    told = settled.where("home IS NULL").unionByName(fetched)
+    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cut, "id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
