@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TURN = re.compile(r"<\|((?:[^\\<\[|]|\\.)*)\|>\n((?:[^\\<\[|]|\\.)*)<\|end\|>\n", re.DOTALL)
 RESETS = ("start", "edit", "regenerate")
+#: Characters of finished messages that leave a task at a time.
+MESSAGE_CHARS = 1 << 22
 
 
 def escape(text: Column) -> Column:
@@ -25,33 +27,66 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def turn_events(turns: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as the log of their making: a start and one delta each.
+def turn_events(turns: DataFrame, delta_chars: int = 256) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) as the log of their making: a start, then deltas of at most delta_chars.
 
     Turns are messages in order of turn (nulls first), then role and text; repeated rows are messages of their own.
+    The log is partitioned by conversation.
     """
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.row_number().over(same))
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("text"))))
-    return rows.select("conv_id", "turn", "copy", "role", kinds.alias("e")).select("conv_id", "turn", "copy", "role", "e.*")
-
-
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, copy, role, text): the final message of each (conv_id, turn, copy).
-
-    In order of seq, deltas append; start, edit and regenerate replace all text so far by their own; the last role
-    that is not null counts. Events of one seq apply by kind, then text. A message without events of text is empty.
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition("conv_id").withColumn("copy", F.row_number().over(same))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    deltas = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("seq"), F.lit("delta").alias("kind"), p.alias("text")))
+    start = F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text")))
+    return rows.select("conv_id", "turn", "copy", "role", F.explode(F.concat(start, deltas)).alias("e")).select("conv_id", "turn", "copy", "role", "e.*")
+
+
+def fold(events: DataFrame, together: bool = False) -> DataFrame:
+    """(conv_id, turn, copy, role, text): the final message of each (conv_id, turn, copy), in order.
+
+    The log is partitioned by conversation (together: it is already) and sorted by turn, message and seq; deltas
+    append; start, edit and regenerate replace all text so far by their own; the last role that is not null counts.
+    Events of one seq apply by kind, then text. A message without events of text is empty; null texts are empty. A
+    task holds one message at a time, so messages take memory for themselves only, and conversations none. An empty
+    log gives no rows; further columns are ignored, whatever their names.
     """
-    event = F.struct("seq", "kind", "text", "role")
-    per = events.groupBy("conv_id", "turn", "copy").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    kinds = dict(events.dtypes)
+    names = ("conv_id", "turn", "copy")
 
-    def step(acc: Column, e: Column) -> Column:
-        text = F.coalesce(e["text"], F.lit(""))
-        return F.struct(F.when(e["kind"].isin(*RESETS), F.array(text)).otherwise(F.array_append(acc["parts"], text)).alias("parts"), F.coalesce(e["role"], acc["role"]).alias("role"))
-
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("parts"), F.lit(None).cast("string").alias("role"))
-    done = per.withColumn("m", F.aggregate("log", start, step))
-    return done.select("conv_id", "turn", "copy", F.coalesce("m.role", F.lit("")).alias("role"), F.array_join("m.parts", "").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, role, parts = None, "", []
+        done: list[tuple] = []
+        size = 0
+        types: list[pa.DataType] = []
+        for b in batches:
+            types = [b.column(i).type for i in range(3)]
+            for conv, turn, copy, kind, text, who in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (conv, turn, copy) != key:
+                    if key is not None:
+                        done.append((*key, role, "".join(parts)))
+                        size += len(done[-1][-1])
+                    key, role, parts = (conv, turn, copy), "", []
+                    if size > MESSAGE_CHARS:
+                        yield _messages(done, types)
+                        done, size = [], 0
+                if kind in RESETS:
+                    parts = []
+                parts.append(text or "")
+                role = role if who is None else who
+        if key is not None:
+            done.append((*key, role, "".join(parts)))
+            yield _messages(done, types)
+
+    rows = events.select(*names, "kind", "text", "role", "seq")
+    rows = rows if together else rows.repartition("conv_id")
+    rows = rows.sortWithinPartitions(*names, "seq", "kind", "text")
+    return rows.drop("seq").mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", role string, text string")
+
+
+def _messages(done: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = zip(*done, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*types, pa.string(), pa.string()], strict=True)], names=["conv_id", "turn", "copy", "role", "text"])
 
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -64,10 +99,10 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     return messages.select("conv_id", "turn", "copy", F.concat(F.lit(OPEN), role, F.lit(CLOSE), text, F.lit(END)).alias("segment"), F.when(own, F.length(role) + len(OPEN + CLOSE)).otherwise(0).cast("long").alias("mask_start"), F.when(own, F.length(text)).otherwise(0).cast("long").alias("mask_chars"))
 
 
-def read_back(segments: DataFrame) -> DataFrame:
+def read_back(segments: DataFrame, together: bool = False) -> DataFrame:
     """Per conversation, parsed from the rendered segments: turns, their digest, the text under the mask, its digest.
 
-    A conversation's segments stream through one task in order; only digests and counts are held, so a conversation
+    together: the segments are partitioned by conversation already. A conversation's segments stream through one task in order; only digests and counts are held, so a conversation
     of any length needs constant memory.
     """
 
@@ -101,7 +136,8 @@ def read_back(segments: DataFrame) -> DataFrame:
         close()
         yield _rows(out)
 
-    ordered = segments.select("conv_id", "segment", "mask_start", "mask_chars", "turn", "copy").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "copy")
+    rows = segments.select("conv_id", "segment", "mask_start", "mask_chars", "turn", "copy")
+    ordered = (rows if together else rows.repartition("conv_id")).sortWithinPartitions("conv_id", "turn", "copy")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -105,6 +105,9 @@ def chosen_rows(docs: DataFrame, dropped: DataFrame, key: Column, id_col: str =
 
 def one_per_row(docs: DataFrame, what: Column, id_col: str = "doc_id") -> DataFrame:
     """Rows alike in id and in what leave one row; texts move only where an id does repeat."""
-    if docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
+    if docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs
-    return docs.withColumn("_what", what).dropDuplicates([id_col, "_what"]).drop("_what")
+    name = "what"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, what).dropDuplicates([id_col, name]).drop(name)

@@ -37,7 +37,8 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
 
     Payload bytes are grouped by digest and by the bytes themselves; two payloads with one digest stop the run. Null
     html is an empty payload, a null url an empty one; line breaks in urls are percent-encoded. Rows repeating an id
-    are records of their own. A null id is a response if its payload has no other id. Empty tables give empty tables.
+    are records of their own. A null id is a response if its payload has no other id. Payloads of any length are
+    stored whole. Empty tables give empty tables; further columns are ignored, whatever their names.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("record_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -58,11 +59,17 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
 
 
 def read_index(archive: Archive) -> DataFrame:
-    """(record_id, record_type, refers_to, header_sha1, payload_bytes, payload_sha1), the last two from the stored bytes."""
-    field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    parsed = archive.headers.select("record_id", "digest", field("WARC-Type").alias("record_type"), F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:([^>]*)>", 1).alias("refers_to"), F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]*)\r\n", 1).alias("header_sha1"))
+    """(record_id, record_type, refers_to, payload_bytes, payload_sha1, sound), parsed headers joined with stored bytes.
+
+    payload_bytes and payload_sha1 come from the stored bytes; sound says whether the header's digest is theirs and
+    its Content-Length that of the record's block: the payload of a response, nothing for a revisit.
+    """
+    field = lambda name, what: F.regexp_extract("header", rf"\r\n{name}: {what}\r\n", 1)
+    parsed = archive.headers.select("record_id", "digest", field("WARC-Type", r"([^\r\n]*)").alias("record_type"), field("WARC-Refers-To", "<urn:page:([^>]*)>").alias("refers_to"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("header_sha1"), field("Content-Length", "([0-9]+)").try_cast("long").alias("length"))
     stored = archive.payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_sha1"))
-    return parsed.join(stored, "digest").drop("digest")
+    block = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    sound = F.coalesce((F.col("header_sha1") == F.col("payload_sha1")) & (F.col("length") == block), F.lit(False))
+    return parsed.join(stored, "digest").select("record_id", "record_type", "refers_to", "payload_bytes", "payload_sha1", sound.alias("sound"))
 
 
 def read_records(archive: Archive) -> DataFrame:

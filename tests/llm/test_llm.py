@@ -256,11 +256,12 @@ def test_empty_tables_of_the_other_operators(spark):
 
 
 def test_chat_takes_nulls_ties_and_repeats(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "first"), (None, 2, "assistant", "a\r\n|>"), (2, 0, "assistant", "")]
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "first"), (None, 2, "assistant", "a\r\n|>"), (2, 0, "assistant", ""), (3, 0, "assistant", "long \\ " * 40_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.turn_events(turns)))).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"\nfirst\nuser\n\nuser\n\n").hexdigest()
     assert got[None]["loss_chars"] == 5 and got[None]["loss_sha256"] == hashlib.sha256(b"a\r\n|>").hexdigest()
+    assert got[3]["loss_chars"] == 280_000 and got[3]["loss_sha256"] == hashlib.sha256(b"long \\ " * 40_000).hexdigest()
     assert got[2]["loss_chars"] == 0 and got[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
@@ -279,8 +280,223 @@ def test_dedup_stages_keep_other_texts_of_repeated_and_missing_ids(spark):
     own = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
     want = [(1, "same text"), (2, "its own text"), (None, "no id one"), (None, "no id two"), (5, None), (7, long), (8, long + " more"), (8, "far from that")]
     assert own(left) == sorted(want, key=str) and left.columns == docs(spark, []).columns
-    assert own(corpus_pipeline.drop_near_copies(spark, left, DIR)) == sorted(want, key=str)
-    assert own(corpus_pipeline.drop_near_copies(spark, left.where("text <> 'far from that'"), DIR)) == sorted((x for x in want if x[0] not in (5, 8)), key=str)
+    # Decisions are by row: the near copy goes, the other text of its id stays.
+    assert own(corpus_pipeline.drop_near_copies(spark, left, DIR)) == sorted((x for x in want if x != (8, long + " more")), key=str)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated):
+        none = stage(spark, docs(spark, []), DIR)
+        assert none.columns == docs(spark, []).columns and none.count() == 0
+    assert corpus_pipeline.mix_sources(spark, docs(spark, []), DIR).count() == 0
+    assert corpus_pipeline.drop_toxic(spark, docs(spark, EDGE), DIR).count() == len(EDGE)
+    assert corpus_pipeline.drop_contaminated(spark, docs(spark, EDGE), DIR).count() == len(EDGE)
+    assert corpus_pipeline.mix_sources(spark, docs(spark, EDGE), DIR).count() == len(EDGE)
+
+
+def greedy_tiles(item, doc, width):
+    """Words of item that greedy string tiling covers, by trying every pair of places."""
+    used_i, used_j, covered = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in used_i and j + n not in used_j:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < width:
+            return covered
+        used_i |= set(range(i, i + n))
+        used_j |= set(range(j, j + n))
+        covered += n
+
+
+def test_tiling_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 4, n))
+    tests = [(i, line(rng.integers(1, 25))) for i in range(6)] + [(None, line(12)), (2, "same v1 v2"), (2, "same v1 v2")]
+    texts = [(i, line(rng.integers(0, 60))) for i in range(25)]
+    texts += [texts[3], (None, texts[4][1])]
+    bench = spark.createDataFrame(tests, "item_id long, text string")
+    some = docs(spark, texts).withColumn("contamination", F.lit("mine")).withColumn("_tiles", F.lit(1))
+    got = tiling.contamination(some, bench, width=3)
+    assert got.columns == [*some.columns, "contamination_"]
+    for r in got.collect():
+        doc, best = r["text"].split(), {}
+        for item_id, t in set(tests):
+            w = t.split()
+            c = greedy_tiles(w, doc, min(3, len(w)))
+            if c:
+                best[item_id, t] = (c / len(w), c)
+        c = r["contamination_"]
+        assert c["coverage"] == max((b[0] for b in best.values()), default=0.0)
+        assert c["n_tests"] == sum(b[0] >= 0.8 for b in best.values()) and c["contaminated"] == (c["coverage"] >= 0.8)
+        if best:
+            ids = [k[0] for k, b in best.items() if b[0] == c["coverage"]]
+            assert c["item_id"] == min((i for i in ids if i is not None), default=None)
+
+
+def test_substring_over_many_batches_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    passage = [f"p{i}" for i in range(70)]
+    texts = []
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 90))]
+        at = rng.integers(0, len(words) + 1)
+        cut = sorted(rng.integers(0, 71, 2))
+        texts.append((int(i), " ".join(words[:at] + (passage[cut[0] : cut[1]] if i % 2 else ["a"] * int(rng.integers(0, 60))) + words[at:])))
+    texts += [(500, texts[7][1]), (501, texts[7][1] + " tail"), (None, texts[9][1]), (7, "again " + texts[9][1])]
+    got = {(r["id"], r["n_words"], r["kept_text"]): r["n_removed"] for r in substring.remove_repeats(docs(spark, texts), window=5, batch_bytes=700, capacity=300).collect()}
+    seen, want = set(), {}
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        w, gone = t.split(), set()
+        for k in range(len(w) - 4):
+            key = tuple(w[k : k + 5])
+            if key in seen:
+                gone |= set(range(k, k + 5))
+            seen.add(key)
+        want[i, len(w), " ".join(x for k, x in enumerate(w) if k not in gone)] = len(gone)
+    assert got == want
+
+
+def test_trie_matches_levenshtein_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    terms = sorted({word(rng.integers(3, 13)) for _ in range(60)})
+    trie = toxic.Trie(terms)
+    for w in {word(rng.integers(1, 14)) for _ in range(1500)} | {t[:2] + "z" + t[3:] for t in terms}:
+        near = [(d, t) for t in terms if (d := distance(w, t)) <= toxic.edits_allowed(len(t))]
+        want = min(near, default=None)
+        if want and (want[0] == 0 or len(w) >= 4):
+            assert trie.near(w) == (want[1], want[0]), w
+        else:
+            assert trie.near(w) is None, w
+
+
+def test_kneser_ney_matches_a_plain_model(spark):
+    train, other = [b"abracadabra abrac", b"banana band abra"], [b"abra banana", b"xyz", b"", b"aaaa"]
+    pad = lambda t: bytes(4) + t
+    counts = {5: {}}
+    for t in train:
+        for i in range(len(t)):
+            g = pad(t)[i : i + 5]
+            counts[5][g] = counts[5].get(g, 0) + 1
+    for n in range(4, 0, -1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    cuts = {}
+    for n, c in counts.items():
+        k = [sum(v == i for v in c.values()) for i in range(5)]
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else 0.5
+        cuts[n] = [min(i, max(0.1, i - (i + 1) * y * k[i + 1] / k[i])) if k[i] else 0.5 for i in (1, 2, 3)]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / 256
+        of = {h: c for h, c in counts[n].items() if h[:-1] == g[:-1]}
+        if not of:
+            return p(g[1:])
+        cut = lambda c: cuts[n][min(c, 3) - 1]
+        c = counts[n].get(g)
+        return ((c - cut(c) if c else 0) + sum(map(cut, of.values())) * p(g[1:])) / sum(of.values())
+
+    texts = train + other
+    want = [np.exp(-sum(np.log(p(pad(t)[i : i + 5])) for i in range(len(t))) / max(1, len(t))) for t in texts]
+    model = quality.KneserNey(quality.count_grams(spark.createDataFrame([(bytearray(t),) for t in train], "data binary")))
+    rows = docs(spark, [(i, t.decode()) for i, t in enumerate(texts)])
+    got = {r["id"]: r["perplexity"] for r in quality.perplexities(rows, model, "doc_id", "text", (), 16).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
+def test_internal_names_may_be_columns(spark):
+    d = docs(spark, EDGE).select("*", *[F.lit("x").alias(c) for c in ("id", "_id", "key", "fp", "norm", "bucket", "slot", "order", "size", "out", "spans", "plain", "_what", "_gone", "_key", "data", "toxic", "own", "_lang")])
+    n = len(EDGE)
+    assert quality.quality(d, d.select("doc_id").limit(2)).count() == n
+    assert simhash.near_copies(d).count() == n and exact.exact_groups(d).count() == n and mix.mix(d).count() == n
+    assert pii.find_personal_data(d).count() == n and substring.remove_repeats(d).count() == n
+    assert toxic.fit(d, d.select("doc_id", F.lit(1).alias("toxic"))).terms == []
+    from screenloom.llm import common
+
+    assert common.one_per_row(d, F.col("text")).columns == d.columns
+    assert common.chosen_rows(d, d.select("doc_id", F.lit(1).alias("k")).limit(1), F.lit(2)).columns == d.columns
+
+
+def test_schedule_is_exact_and_balanced_in_every_prefix(spark):
+    quota = [600, 250, 100, 50]
+    slots = mix.schedule(spark, [0, 600, 850, 950], 1000).orderBy("slot").toPandas()
+    assert slots.line.value_counts().sort_index().tolist() == quota and slots.slot.is_unique
+    for n in (50, 137, 400, 777):
+        have = slots.head(n).line.value_counts().reindex(range(4), fill_value=0)
+        assert all(abs(have[i] - n * q / 1000) <= 12 for i, q in enumerate(quota))
+    for _, one in slots.groupby("line"):
+        assert one["rank"].tolist() == list(range(len(one)))
+    # Taken words of sources stay in proportion over the schedule: no source is read first.
+    d = pd.DataFrame({"i": range(400)})
+    got = mix.mix(docs(spark, [(int(i), f"w{i} " * 50) for i in d.i]), block=64).toPandas()
+    early = got.sort_values("first_slot").head(200).source.value_counts(normalize=True)
+    assert got.first_slot.notna().any() and early.min() > 0.1
+
+
+def test_addresses_with_zero_parts(spark):
+    text = "10.0.0.1 192.168.0.7 0.0.0.0 000.00.0.1 010.020.030.040 256.0.0.1 1.2.3.0256 8.8.8.8"
+    got = pii.find_personal_data(docs(spark, [(1, text)])).first()["spans"]
+    assert [s["value"] for s in got] == ["10.0.0.1", "192.168.0.7", "0.0.0.0", "000.00.0.1", "010.020.030.040", "8.8.8.8"]
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    people = ["an@x.org", "bo@y.org", "cy@z.org"]
+    rows = []
+    for i in range(60):
+        who = i % 5
+        words = [f"common{x}" for x in rng.integers(0, 6, 5)] + ([f"Mark{who}"] if rng.random() < 0.8 else []) + ([people[who]] if who < 3 and rng.random() < 0.7 else [])
+        rows.append((i, " ".join(rng.permutation([*words, f"only{i}"]).tolist())))
+    got = pii.find_personal_data(docs(spark, rows)).collect()
+    split = [(set(re.findall(r"\S+@\S+", t)), {w.rstrip("0123456789") + w[len(w.rstrip("0123456789")) :] for w in t.split() if "@" not in w}) for _, t in rows]
+    # A term has letters only, so words that end in a digit are none.
+    assert all(s["kind"] != 4 for r in got for s in r["all_spans"])
+    name = lambda k: "abcdefghij"[int(k)]
+    rows = [(i, re.sub(r"(Mark|common|only)([0-9]+)", lambda m: m[1] + "".join(map(name, m[2])), t)) for i, t in rows]
+    split = [(set(re.findall(r"\S+@\S+", t)), {w for w in t.split() if "@" not in w}) for _, t in rows]
+    named = set()
+    for e in people:
+        n_e = sum(e in s for s, _ in split)
+        for t in set().union(*(w for _, w in split)):
+            n_t, both = sum(t in w for _, w in split), sum(e in s and t in w for s, w in split)
+            if both >= 3 and both / n_t >= 0.5 and np.log(both / n_t * len(rows) / n_e) / np.log(len(rows) / n_e) >= 0.75:
+                named.add(t)
+    assert named
+    for r in pii.find_personal_data(docs(spark, rows)).collect():
+        found = [(s["start"], s["value"]) for s in r["all_spans"] if s["kind"] == 4]
+        assert found == [(m.start(), m[0]) for m in re.finditer(r"\S+", r["text"]) if m[0] in named]
+
+
+def test_records_have_their_length_and_digest(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").unionByName(spark.createDataFrame([(-1, "u", "é" * 400_000), (-2, "v", None)], "page_id long, url string, html string"))
+    archive = warc.write_archive(pages)
+    records = {r["record_id"]: bytes(r["record"]) for r in warc.read_records(archive).collect()}
+    index = {r["record_id"]: r for r in warc.read_index(archive).collect()}
+    for r in pages.collect():
+        head, _, rest = records[r["page_id"]].partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        payload = (r["html"] or "").encode()
+        response = fields["WARC-Type"] == "response"
+        assert rest == (payload if response else b"") + b"\r\n\r\n" and int(fields["Content-Length"]) == len(rest) - 4
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert index[r["page_id"]]["sound"] and index[r["page_id"]]["payload_bytes"] == len(payload)
+    broken = warc.Archive(archive.payloads, archive.headers.withColumn("header", F.regexp_replace("header", "Content-Length: ", "Content-Length: 1")))
+    assert not any(r["sound"] for r in warc.read_index(broken).collect())
 
 
 def test_pipeline_matches_brute_force(spark):
@@ -290,22 +506,23 @@ def test_pipeline_matches_brute_force(spark):
     scorer = queries.toxicity_model(spark, DIR).scorer()
     left = d[[scorer.score(t) < queries.TOXIC_AT for t in d.text]].sort_values("doc_id")
     left = left[~left.text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)).duplicated()]
-    fps = [simhash.fingerprint(t.encode(), 5) for t in left.text]
-    group = list(range(len(fps)))
-    for i, a in enumerate(fps):
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in left.text)]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
         for j in range(i):
-            if (a ^ fps[j]).bit_count() <= 4 and group[i] != group[j]:
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and group[i] != group[j]:
                 low, high = sorted((group[i], group[j]))
                 group = [low if g == high else g for g in group]
     left = left[[g == i for i, g in enumerate(group)]]
-    bench = pd.read_parquet(f"{DIR}/benchmark.parquet").text
-    seeds = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.findall(r"[^\W_]+", t.lower()) for t in bench)]
-    whole = {n for n, s in enumerate(seeds) if s}
+    bench = [re.findall(r"[^\W_]+", t.lower()) for t in pd.read_parquet(f"{DIR}/benchmark.parquet").text]
+    seeds = [(w, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in bench if len(w) >= 5]
 
     def clean(text):
         w = re.findall(r"[^\W_]+", text.lower())
         own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        return not any(seeds[n] <= own for n in whole)
+        # Tiles cover no word that no shared seed covers, so few seeds rule a test out.
+        return not any(5 * len(s & own) >= 0.8 * len(t) and greedy_tiles(t, w, 5) >= 0.8 * len(t) for t, s in seeds)
 
     left = left[left.text.map(clean)]
     got = corpus_pipeline.run(spark, DIR).toPandas()
