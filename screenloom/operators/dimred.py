@@ -1,16 +1,21 @@
-"""PCA from the sparse Gram matrix, nearest neighbours, connectivities and a small layout."""
+"""PCA from the Gram matrix or chunk by chunk, nearest neighbours, connectivities and UMAP."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-MAX_GENES = 15_000
+from ..sources.store import written
+
+MAX_GENES, COVARIANCE_GENES = 100_000, 15_000
 MAX_POINTS = 2_000_000
 
 
@@ -22,48 +27,153 @@ class Pca:
     variance_ratio: np.ndarray
 
 
-def gram(x: DataFrame) -> DataFrame:
-    """(g1, g2, s): sums over cells of products of the stored values, g1 <= g2."""
-    a = x.select("cell_id", F.col("gene_id").alias("g1"), F.col("value").alias("v1"))
-    b = x.select("cell_id", F.col("gene_id").alias("g2"), F.col("value").alias("v2"))
-    return a.join(b, "cell_id").where("g1 <= g2").groupBy("g1", "g2").agg(F.sum(F.col("v1") * F.col("v2")).alias("s"))
+def _placed(x: DataFrame, genes: DataFrame) -> tuple[DataFrame, list]:
+    """(cell_id, place, value) of the listed genes, whose places follow the order of their ids, and the ids."""
+    ids = [r["gene_id"] for r in genes.select("gene_id").distinct().orderBy("gene_id").limit(MAX_GENES + 1).collect()]
+    if len(ids) > MAX_GENES:
+        raise ValueError(f"more than {MAX_GENES} genes; mark the variable ones")
+    table = x.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), f"gene_id {dict(x.dtypes)['gene_id']}, place int")
+    return x.join(F.broadcast(table), "gene_id").select("cell_id", "place", F.col("value").cast("double").alias("value")), ids
+
+
+def gram_blocks(placed: DataFrame, n_genes: int, size: int = 1024, values_per_task: int = 1 << 22) -> DataFrame:
+    """(i, j, block): sums over cells of outer products of gene blocks i <= j, each size x size doubles as bytes.
+
+    A value travels once per block of genes, not once per other value of its cell; a task multiplies the dense blocks
+    of a chunk of cells, and the chunks' sums are added per pair of blocks.
+    """
+    n_blocks = max(1, -(-n_genes // size))
+    n_chunks = max(1, -(-placed.count() * n_blocks // values_per_task))
+    own = F.floor(F.col("place") / size).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    rows = placed.select("cell_id", "place", "value", own.alias("own"), other.alias("other"), F.pmod(F.xxhash64("cell_id"), F.lit(n_chunks)).cast("int").alias("chunk"))
+    rows = rows.select("chunk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cell_id", "place", "value")
+
+    def multiply(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        cells = np.unique(t.column("cell_id").to_numpy(), return_inverse=True)[1]
+        place, value = t.column("place").to_numpy(), t.column("value").to_numpy()
+        total = np.zeros((size, size))
+        order = np.argsort(cells, kind="stable")
+        edges = np.searchsorted(cells[order], np.arange(0, cells.max() + 1025, 1024))
+        for at, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = order[lo:hi]
+            wide = np.zeros((1024, 2 * size))
+            wide[cells[part] - 1024 * at, place[part] - np.where(place[part] // size == i, i, j - 1) * size] = value[part]
+            left = wide[:, :size]
+            total += left.T @ (left if i == j else wide[:, size:])
+        return pa.table({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "block": pa.array([total.tobytes()], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b) for b in t.column("block").to_pylist()], axis=0)
+        return pa.table({"i": t.column("i").slice(0, 1), "j": t.column("j").slice(0, 1), "block": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "i int, j int, block binary"
+    return rows.groupBy("i", "j", "chunk").applyInArrow(multiply, kind).groupBy("i", "j").applyInArrow(add, kind)
+
+
+def gram(x: DataFrame, size: int = 1024) -> DataFrame:
+    """(g1, g2, s): sums over cells of products of the stored values, g1 <= g2; pairs whose sum is 0 are left out."""
+    placed, ids = _placed(x, x)
+    kind = dict(x.dtypes)["gene_id"]
+    held = pa.array(ids, to_arrow_type(x.schema["gene_id"].dataType))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, block in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                s = np.frombuffer(block).reshape(size, size)
+                a, c = np.nonzero(np.triu(s) if i == j else s)
+                yield pa.RecordBatch.from_arrays([held.take(pa.array(a + i * size)), held.take(pa.array(c + j * size)), pa.array(s[a, c])], names=["g1", "g2", "s"])
+
+    return gram_blocks(placed, len(ids), size).mapInArrow(rows, f"g1 {kind}, g2 {kind}, s double")
+
+
+def _covariance(placed: DataFrame, n_genes: int, n: int, size: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, variances, loadings), largest first, from the Gram blocks; only genes x genes numbers reach the driver."""
+    full = -(-n_genes // size) * size
+    cov, mean = np.zeros((full, full)), np.zeros(n_genes)
+    for r in placed.groupBy("place").agg(F.sum("value").alias("s")).collect():
+        mean[r["place"]] = r["s"] / n
+    for r in gram_blocks(placed, n_genes, size).toLocalIterator():
+        block = np.frombuffer(r["block"]).reshape(size, size)
+        i, j = r["i"] * size, r["j"] * size
+        cov[i : i + size, j : j + size] = block
+        cov[j : j + size, i : i + size] = block.T
+    cov = (cov[:n_genes, :n_genes] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values, vectors = np.linalg.eigh(cov)
+    return mean, values[::-1], vectors[:, ::-1]
+
+
+def _merged(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray], k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Two (rows, mean, singular values times directions) as one, of rank k."""
+    n = a[0] + b[0]
+    shift = math.sqrt(a[0] * b[0] / n) * (a[1] - b[1])
+    s, v = np.linalg.svd(np.vstack((a[2], b[2], shift)), full_matrices=False)[1:]
+    return n, (a[0] * a[1] + b[0] * b[1]) / n, s[:k, None] * v[:k]
+
+
+def _incremental(placed: DataFrame, obs: DataFrame, n_genes: int, k: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(means, variances, loadings, total variance) by merging the leading directions of chunks of cells.
+
+    Exact if the data has rank k or less, else close. A task holds a chunk of cells as dense rows; k directions a
+    task reach the driver. Needs no gene by gene matrix.
+    """
+    n_parts = max(1, -(-obs.count() // chunk))
+    part = F.pmod(F.xxhash64("cell_id"), F.lit(n_parts)).cast("int")
+    cells = obs.select("cell_id", part.alias("part")).distinct()
+    rows = cells.join(placed, "cell_id", "left")
 
+    def one(t: pa.Table) -> pa.Table:
+        at = np.unique(t.column("cell_id").to_numpy(), return_inverse=True)[1]
+        place = t.column("place").to_numpy(zero_copy_only=False).astype(float)
+        wide, some = np.zeros((at.max() + 1, n_genes)), ~np.isnan(place)
+        wide[at[some], place[some].astype(int)] = t.column("value").to_numpy(zero_copy_only=False)[some]
+        mean = wide.mean(axis=0)
+        s, v = np.linalg.svd(wide - mean, full_matrices=False)[1:]
+        return pa.table({"n": [len(wide)], "square": [float((s * s).sum())], "mean": pa.array([mean.tobytes()], pa.binary()), "sv": pa.array([(s[:k, None] * v[:k]).tobytes()], pa.binary())})
 
-def pca(x: DataFrame, obs: DataFrame, var: DataFrame, n_comps: int = 50, highly_variable: bool = True) -> Pca:
+    held, inside, between = None, 0.0, 0.0
+    for r in rows.groupBy("part").applyInArrow(one, "n long, square double, mean binary, sv binary").toLocalIterator():
+        own = (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["sv"]).reshape(-1, n_genes))
+        if held is not None:
+            between += held[0] * own[0] / (held[0] + own[0]) * float(((held[1] - own[1]) ** 2).sum())
+        inside += r["square"]
+        held = own if held is None else _merged(held, own, k)
+    n, mean, sv = held
+    size = np.linalg.norm(sv, axis=1)
+    return mean, size**2 / max(n - 1, 1), (sv / np.maximum(size, 1e-300)[:, None]).T, (inside + between) / max(n - 1, 1)
+
+
+def pca(x: DataFrame, obs: DataFrame, var: DataFrame, n_comps: int = 50, highly_variable: bool = True, method: str = "auto") -> Pca:
     """Principal components of centred values (n - 1 variance); signs make the largest loading of each positive.
 
-    The Gram matrix is a grouped sum over cells; only genes x genes numbers reach the driver (at most MAX_GENES genes).
-    Genes not marked in var.highly_variable are left out if that column exists.
+    "covariance" takes the Gram matrix of at most MAX_GENES genes, "incremental" merges chunks of cells, "auto" is
+    covariance up to COVARIANCE_GENES genes. Genes not marked in var.highly_variable are left out if that column exists.
     """
+    if method not in ("auto", "covariance", "incremental"):
+        raise ValueError(f"unknown method {method}")
     if highly_variable and "highly_variable" in var.columns:
         var = var.where("highly_variable")
-    genes = [r["gene_id"] for r in var.select("gene_id").orderBy("gene_id").limit(MAX_GENES + 1).collect()]
-    if len(genes) > MAX_GENES:
-        raise ValueError(f"more than {MAX_GENES} genes; mark the variable ones")
-    own = x.join(var.select("gene_id"), "gene_id", "left_semi")
-    n, at = obs.count(), {g: i for i, g in enumerate(genes)}
-    mean, cov = np.zeros(len(genes)), np.zeros((len(genes), len(genes)))
-    for r in own.groupBy("gene_id").agg(F.sum("value").alias("s")).collect():
-        mean[at[r["gene_id"]]] = r["s"] / n
-    for r in gram(own).toLocalIterator():
-        i, j = at[r["g1"]], at[r["g2"]]
-        cov[i, j] = cov[j, i] = r["s"]
-    cov = (cov - n * np.outer(mean, mean)) / max(n - 1, 1)
-    values, vectors = np.linalg.eigh(cov)
+    placed, genes = _placed(x, var)
+    placed, n = written(placed, "placed"), obs.count()
     k = min(n_comps, len(genes))
-    values, vectors = np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
+    if method == "covariance" or (method == "auto" and len(genes) <= COVARIANCE_GENES):
+        mean, values, vectors = _covariance(placed, len(genes), n)
+        total = float(np.maximum(values, 0).sum())
+    else:
+        mean, values, vectors, total = _incremental(placed, obs, len(genes), k)
+    values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
     shift = (mean @ vectors).tolist()
     spark = x.sparkSession
-    table = spark.createDataFrame([(g, vectors[i].tolist()) for g, i in at.items()], f"gene_id {dict(var.dtypes)['gene_id']}, vec array<double>")
+    table = spark.createDataFrame([(g, i, vectors[i].tolist()) for i, g in enumerate(genes)], f"gene_id {dict(var.dtypes)['gene_id']}, place int, vec array<double>")
     # Component by component: long rows add up natively, whatever n_comps is.
-    long = own.join(table, "gene_id").select("cell_id", F.posexplode("vec").alias("pc", "w"), "value")
+    long = placed.join(table, "place").select("cell_id", F.posexplode("vec").alias("pc", "w"), "value")
     sums = long.groupBy("cell_id", "pc").agg(F.sum(F.col("w") * F.col("value")).alias("s")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pc", "s"))).alias("m"))
     centre = F.array(*[F.lit(v) for v in shift])
     score = F.transform(centre, lambda c, i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) - c)
     scores = obs.select("cell_id").join(sums, "cell_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>"))).select("cell_id", score.alias("vec"))
-    total = float(np.trace(cov))
-    return Pca(scores, table, values, values / total if total > 0 else values)
+    return Pca(scores, table.drop("place"), values, values / total if total > 0 else values)
 
 
 def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
@@ -90,6 +200,7 @@ def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
             for at in range(0, len(pdf), block):
                 some = pdf.iloc[at : at + block]
                 q = np.array(some["vec"].tolist(), float)
+                found = []
                 for src, v, rough in zip(some["cell_id"], q, norm - 2 * q @ own.T, strict=True):
                     # All points that may be as near as the k-th (whole groups of equal distance), and the point itself.
                     margin = slack * (norm + v @ v)
@@ -98,20 +209,12 @@ def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
                     c = np.flatnonzero(near)
                     d = np.sqrt(((own[c] - v) ** 2).sum(axis=1))
                     best = np.lexsort((own_ids[c], d, own_ids[c] != src))
-                    best = best[:k]
-                    yield pd.DataFrame({"src": src, "dst": own_ids[c][best], "distance": d[best], "nth": np.arange(len(best))})
+                    found.append((np.full(len(best[:k]), src), own_ids[c][best[:k]], d[best[:k]]))
+                yield pd.DataFrame({"src": np.concatenate([f[0] for f in found]), "dst": np.concatenate([f[1] for f in found]), "distance": np.concatenate([f[2] for f in found]), "nth": np.concatenate([np.arange(len(f[0])) for f in found])})
 
     return points.select("cell_id", "vec").mapInPandas(run, "src long, dst long, distance double, nth int")
 
 
-def neighbours_sql(points: DataFrame, k: int = 15) -> DataFrame:
-    """The same for few points, as a self join with a ranked window."""
-    a, b = points.select(F.col("cell_id").alias("src"), F.col("vec").alias("v")), points.select(F.col("cell_id").alias("dst"), F.col("vec").alias("w"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, e: s + e))
-    order = Window.partitionBy("src").orderBy((F.col("src") != F.col("dst")), "distance", "dst")
-    return a.crossJoin(b).select("src", "dst", d.alias("distance")).withColumn("nth", F.row_number().over(order) - 1).where(F.col("nth") < k)
-
-
 def connectivities(edges: DataFrame) -> DataFrame:
     """(src, dst, weight): exp(-distance / sigma), sigma the mean distance of the farthest neighbour, made symmetric by half sums."""
     last = edges.groupBy("src").agg(F.max("distance").alias("far")).agg(F.avg("far").alias("sigma"))
@@ -120,23 +223,69 @@ def connectivities(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg((F.sum("w") / 2).alias("weight"))
 
 
-def layout(edges: DataFrame, points: DataFrame, n_epochs: int = 200, seed: int = 0, max_points: int = 100_000) -> DataFrame:
-    """(cell_id, vec of 2): attraction along weighted edges, repulsion from random points, on the driver (checked size)."""
-    held = points.select("cell_id", "vec").limit(max_points + 1).toPandas().sort_values("cell_id", ignore_index=True)
-    if len(held) > max_points:
+def curve(min_dist: float = 0.5, spread: float = 1.0) -> tuple[float, float]:
+    """(a, b) for which 1 / (1 + a d**(2 b)) comes closest to 1 up to min_dist and an exponential fall of that spread beyond."""
+    d = np.linspace(0, 3 * spread, 300)[1:]
+    want = np.where(d < min_dist, 1.0, np.exp(-(d - min_dist) / spread))
+    p = np.array([0.0, 0.0])
+    for _ in range(200):
+        a, b = np.exp(p)
+        t = a * d ** (2 * b)
+        f = 1 / (1 + t)
+        slope = np.stack((-f * f * t, -f * f * t * 2 * b * np.log(d)), axis=1)
+        step = np.linalg.solve(slope.T @ slope + 1e-6 * np.eye(2), slope.T @ (want - f))
+        p = p + np.clip(step, -0.5, 0.5)
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(np.exp(p[0])), float(np.exp(p[1]))
+
+
+def spectral(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, rng: np.random.Generator, dims: int = 2, rounds: int = 200) -> np.ndarray:
+    """Leading non-constant eigenvectors of the normalised graph, by subspace iteration."""
+    degree = np.sqrt(np.maximum(np.bincount(a, w, n), 1e-12))
+    q = np.linalg.qr(np.column_stack((degree, rng.normal(size=(n, dims)))))[0]
+    for _ in range(rounds):
+        step = np.stack([np.bincount(a, w * (c / degree)[b], n) / degree for c in q.T], axis=1)
+        q = np.linalg.qr(0.5 * (step + q))[0]
+    return q[:, 1:] / np.maximum(np.abs(q[:, 1:]).max(axis=0), 1e-12)
+
+
+def umap(edges: DataFrame, points: DataFrame | None = None, min_dist: float = 0.5, spread: float = 1.0, n_epochs: int = 200, negatives: int = 5, seed: int = 0, max_points: int = 100_000) -> DataFrame:
+    """(cell_id, vec of 2): uniform manifold approximation of a weighted neighbour graph, on the driver (checked size).
+
+    Starts from the graph's spectral embedding, or the first two coordinates of points if given. In each epoch an edge
+    is drawn with its weight's share of the largest; its ends attract and negatives random points repel, by the
+    gradients of the cross entropy of edge weights and 1 / (1 + a d**(2 b)).
+    """
+    nodes = edges.select(F.col("src").alias("cell_id")).unionByName(edges.select(F.col("dst").alias("cell_id"))).distinct()
+    ids = np.sort(nodes.limit(max_points + 1).toPandas()["cell_id"].to_numpy())
+    if len(ids) > max_points:
         raise ValueError(f"more than {max_points} points")
-    ids, rng = held["cell_id"].to_numpy(), np.random.default_rng(seed)
-    pos = np.array([v[:2] for v in held["vec"]], float)
-    pos = 10 * (pos - pos.mean(axis=0)) / max(pos.std(), 1e-9) + rng.normal(0, 1e-4, pos.shape)
-    e = edges.where("src <> dst").toPandas()
-    a, b, w = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["weight"].to_numpy(float)
+    rng, e = np.random.default_rng(seed), edges.where("src <> dst").orderBy("src", "dst").toPandas()
+    i, j, w = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["weight"].to_numpy(float)
+    if points is not None:
+        held = points.toPandas().set_index("cell_id")["vec"].reindex(ids)
+        pos = np.array([v[:2] for v in held], float)
+        pos = pos / max(np.abs(pos).max(initial=0), 1e-12)
+    else:
+        pos = spectral(i, j, w, len(ids), rng)
+    pos = 10 * pos + rng.normal(0, 1e-4, pos.shape)
+    a, b = curve(min_dist, spread)
+    w = w / max(w.max(initial=0), 1e-12)
     for t in range(n_epochs):
+        use = np.flatnonzero(rng.random(len(w)) < w)
         rate = 1 - t / n_epochs
-        use = rng.random(len(w)) < w / max(w.max(initial=0), 1e-12)
-        d = pos[a[use]] - pos[b[use]]
-        pull = np.clip(-2 * d / (1 + (d * d).sum(axis=1, keepdims=True)), -4, 4)
-        np.add.at(pos, a[use], rate * pull)
-        far = rng.integers(0, len(ids), use.sum())
-        d = pos[a[use]] - pos[far]
-        np.add.at(pos, a[use], rate * np.clip(2 * d / ((0.001 + (d * d).sum(axis=1, keepdims=True)) * (1 + (d * d).sum(axis=1, keepdims=True))), -4, 4))
-    return points.sparkSession.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, pos, strict=True)], "cell_id long, vec array<double>")
+        d = pos[i[use]] - pos[j[use]]
+        r = np.maximum((d * d).sum(axis=1, keepdims=True), 1e-12)
+        pull = np.clip(-2 * a * b * r ** (b - 1) / (1 + a * r**b) * d, -4, 4)
+        move = np.zeros_like(pos)
+        np.add.at(move, i[use], pull)
+        np.add.at(move, j[use], -pull)
+        for _ in range(negatives):
+            d = pos[i[use]] - pos[rng.integers(0, len(ids), len(use))]
+            r = (d * d).sum(axis=1, keepdims=True)
+            np.add.at(move, i[use], np.clip(2 * b / ((0.001 + r) * (1 + a * r**b)) * d, -4, 4))
+        # Many edges meet in a point in one epoch: its moves are averaged over their number's square root.
+        n = np.maximum(np.bincount(np.concatenate((i[use], j[use])), minlength=len(ids)), 1)
+        pos = pos + rate * move / np.sqrt(n)[:, None]
+    return edges.sparkSession.createDataFrame([(int(c), p.tolist()) for c, p in zip(ids, pos, strict=True)], "cell_id long, vec array<double>")

@@ -156,8 +156,8 @@ class Preprocessing:
     def to_cell_major(self) -> Screen:
         return replace(self.s, x=store.by_cell(self.s.x))
 
-    def pca(self, n_comps: int = 50, use_highly_variable: bool = True) -> Screen:
-        p = dimred.pca(self.s.x, self.s.obs, self.s.var, n_comps, use_highly_variable)
+    def pca(self, n_comps: int = 50, use_highly_variable: bool = True, method: str = "auto") -> Screen:
+        p = dimred.pca(self.s.x, self.s.obs, self.s.var, n_comps, use_highly_variable, method)
         ratio = self.s.x.sparkSession.createDataFrame([(i, float(v), float(r)) for i, (v, r) in enumerate(zip(p.variance, p.variance_ratio, strict=True))], "pc int, variance double, ratio double")
         return self.s.with_slot(X_pca=p.scores, PCs=p.loadings, pca_variance=ratio)
 
@@ -233,10 +233,14 @@ class Tools:
     def compute_overlap(self, sets: DataFrame) -> DataFrame:
         return frames.overlap(sets)
 
-    def umap(self, seed: int = 0) -> Screen:
+    def umap(self, init: str = "spectral", **options: float) -> Screen:
+        """The graph laid out from its spectral embedding, or from X_pca ("pca")."""
         if "connectivities" not in self.s.slots:
             raise ValueError("no neighbour graph")
-        return self.s.with_slot(X_umap=dimred.layout(self.s.slots["connectivities"], self.s.slots["X_pca"], seed=seed))
+        if init not in ("spectral", "pca"):
+            raise ValueError(f"unknown init {init}")
+        start = self.s.slots["X_pca"] if init == "pca" else None
+        return self.s.with_slot(X_umap=dimred.umap(self.s.slots["connectivities"], start, **options))
 
 
 @dataclass(frozen=True)

@@ -209,8 +209,11 @@ def test_neighbours_of_many_equal_vectors(spark):
     assert all([got[i, n] for n in range(1, 5)] == [j for j in copies if j != i][:4] for i in copies)
     # Whole coordinates: distances are exact, and many are equal though the vectors differ.
     grid = spark.createDataFrame([((i * 7) % 121, [float(i % 11), float(i // 11)]) for i in range(121)], "cell_id long, vec array<double>")
-    order = ["src", "nth"]
-    assert dimred.neighbours(grid, 3).orderBy(*order).collect() == dimred.neighbours_sql(grid, 3).select("src", "dst", "distance", "nth").orderBy(*order).collect()
+    place = {(i * 7) % 121: (i % 11, i // 11) for i in range(121)}
+    found = {(r["src"], r["nth"]): (r["dst"], r["distance"]) for r in dimred.neighbours(grid, 3).collect()}
+    for i, (x, y) in place.items():
+        best = sorted((j != i, math.hypot(x - p, y - q), j) for j, (p, q) in place.items())[:3]
+        assert [found[i, n] for n in range(3)] == [(j, pytest.approx(d)) for _, d, j in best]
 
 
 def test_dispersion_trend_and_priors_of_all_pairs(spark):
@@ -232,3 +235,193 @@ def test_dispersion_trend_and_priors_of_all_pairs(spark):
     table = spark.createDataFrame(list(zip(b.tolist(), se.tolist(), strict=True)), "b double, s double")
     scale = nbglm.prior_scale(lambda of: nbglm.merged(table, of))
     assert scale == pytest.approx(math.sqrt((b**2 - se**2).mean())) and nbglm.prior_scale(nbglm.held_total(b, se)) == pytest.approx(scale)
+
+
+def test_gram_blocks_match_numpy(spark):
+    rng = np.random.default_rng(12)
+    y = np.where(rng.random((300, 23)) < 0.3, rng.normal(size=(300, 23)), 0.0)
+    x = store.from_dense(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y)], "cell_id long, values array<double>"))
+    got = {(r["g1"], r["g2"]): r["s"] for r in dimred.gram(x, size=8).collect()}
+    want = y.T @ y
+    assert all(got[i, j] == pytest.approx(want[i, j]) for i in range(23) for j in range(i, 23)) and len(got) == 23 * 12
+
+
+def test_incremental_pca_of_low_rank_data_is_exact(spark):
+    rng = np.random.default_rng(13)
+    y = rng.normal(size=(2500, 4)) @ rng.normal(size=(4, 30)) + rng.normal(size=30)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y)], "cell_id long, values array<double>")
+    x, var = store.from_dense(rows), spark.createDataFrame([(i,) for i in range(30)], "gene_id int")
+    a, b = (dimred.pca(x, rows.select("cell_id"), var, 4, method=m) for m in ("covariance", "incremental"))
+    assert b.variance == pytest.approx(a.variance) and b.variance_ratio == pytest.approx(a.variance_ratio)
+    left, right = (np.array([r["vec"] for r in p.scores.orderBy("cell_id").collect()]) for p in (a, b))
+    assert np.allclose(left, right, atol=1e-8)
+    with pytest.raises(ValueError):
+        dimred.pca(x, rows, var, 4, method="other")
+
+
+def test_umap_keeps_clusters_apart(spark):
+    rng = np.random.default_rng(14)
+    y = np.concatenate([rng.normal(size=(60, 5)), rng.normal(size=(60, 5)) + 12])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "cell_id long, vec array<double>")
+    edges = dimred.connectivities(dimred.neighbours(points, 10))
+    for start in (None, points):
+        out = np.array([r["vec"] for r in dimred.umap(edges, start).orderBy("cell_id").collect()])
+        apart = np.linalg.norm(out[:60].mean(axis=0) - out[60:].mean(axis=0))
+        assert np.isfinite(out).all() and apart > 1.5 * max(out[:60].std(), out[60:].std())
+    assert dimred.umap(edges).collect() == dimred.umap(edges).collect()
+    assert dimred.curve(0.1, 1.0) == (pytest.approx(1.577, abs=0.01), pytest.approx(0.895, abs=0.01))
+
+
+def counts_screen(spark, seed=3, n=240, genes=12):
+    rng = np.random.default_rng(seed)
+    label = np.array(["ctrl", "A", "B"])[np.arange(n) % 3]
+    depth = rng.uniform(0.5, 2.0, n)
+    mean = rng.uniform(4, 40, genes)[None, :] * depth[:, None]
+    mean[label == "A", 0] *= 3
+    y = rng.poisson(rng.gamma(4, mean / 4))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "cell_id long, values array<double>")
+    obs = spark.createDataFrame([(i, str(label[i])) for i in range(n)], "cell_id long, lab string")
+    var = spark.createDataFrame([(i,) for i in range(genes)], "gene_id int")
+    factors = spark.createDataFrame([(i, float(d)) for i, d in enumerate(depth)], "cell_id long, size_factor double")
+    return store.from_dense(rows), obs, var, factors, y, label, depth
+
+
+def test_frozen_control_satisfies_its_score(spark):
+    x, obs, var, factors, y, label, depth = counts_screen(spark)
+    out = nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=factors, freeze_control=True, min_mu=0)
+    for r in out.collect():
+        a, own, g = r["dispersion"], label == r["lab"], r["gene_id"]
+        score = lambda at, b: (((y[at, g] - (mu := np.exp(b) * depth[at])) / (1 + a * mu)).sum()) / y[at, g].sum()
+        assert abs(score(label == "ctrl", r["intercept"])) < 1e-5 and abs(score(own, r["intercept"] + r["logfoldchange_raw_ln"])) < 1e-5
+    top = {r["gene_id"] for r in out.where("lab = 'A' AND rank = 1").collect()}
+    assert top == {0}
+
+
+def test_model_scopes_and_dispersions(spark):
+    x, obs, var, factors, y, label, depth = counts_screen(spark)
+    run = lambda **o: {(r["lab"], r["gene_id"]): r for r in nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=factors, **o).collect()}
+    wide = run(dispersion_scope="global")
+    mu = depth[:, None] * y.sum(axis=0) / depth.sum()
+    raw = (((y - mu) ** 2 - y) / mu**2).sum(axis=0) / (len(y) - 1)
+    for (lab, g), r in wide.items():
+        assert r["dispersion_raw"] == pytest.approx(raw[g]) and r["dispersion"] == pytest.approx(math.sqrt(raw[g] * r["dispersion_trend"]))
+    pulled, grid = run(shrink_method="eb"), run(dispersion_method="cox-reid", shrink_dispersion=False)
+    assert all(1e-3 <= r["dispersion"] <= 1e2 for r in grid.values())
+    for r in pulled.values():
+        low, high = sorted((r["dispersion_raw"], r["dispersion_trend"]))
+        assert low * (1 - 1e-9) <= r["dispersion"] <= high * (1 + 1e-9)
+    own = nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factor_scope="comparison")
+    assert own.where("lab = 'A' AND rank = 1").first()["gene_id"] == 0
+    for bad in ({"dispersion_scope": "cell"}, {"shrink_method": "none"}, {"freeze_control": True, "covariates": ("lab",)}, {"max_cells": 10}):
+        with pytest.raises(ValueError):
+            run(**bad)
+    with pytest.raises(ValueError):
+        nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=factors.limit(3))
+    assert nbglm.deviance(np.array([3.0, 0.0]), np.array([3.0, 1e-12]), 0.5) == pytest.approx(0, abs=1e-9)
+
+
+def test_outliers_are_replaced(spark):
+    x, obs, var, factors, y, label, depth = counts_screen(spark, 5)
+    at = int(np.flatnonzero(label == "B")[0])
+    x = x.withColumn("value", F.when((F.col("cell_id") == at) & (F.col("gene_id") == 4), 50_000.0).otherwise(F.col("value")))
+    run = lambda **o: nbglm.nb_glm_test(x, obs, var, "lab", "ctrl", size_factors=factors, **o).where("lab = 'B' AND gene_id = 4").first()
+    assert abs(run(replace_outliers=True)["logfoldchange"]) < 0.6 < abs(run()["logfoldchange"])
+
+
+def test_log_gamma_and_error_function():
+    v = np.concatenate([np.logspace(-6, 9, 500), np.arange(1, 30)])
+    assert np.allclose(special.lgamma(v), [math.lgamma(t) for t in v], rtol=1e-12, atol=1e-12)
+    z = np.linspace(0, 25, 700)
+    assert np.allclose(special.erfc(z), [math.erfc(t) for t in z], rtol=1e-11, atol=0)
+
+
+def test_versions_layouts_slices_and_results(spark, screen, tmp_path):
+    path = str(tmp_path / "s")
+    screen.save(path, "genes")
+    assert store.storage_format(spark, path) == "genes"
+    held = Screen.load(spark, path)
+    assert Screen.of((held.x, held.obs, held.var)).x.count() == Screen.of(screen).x.count()
+    for _ in range(3):
+        screen.save(path, "cells")
+    assert store.storage_format(spark, path) == "cells" and len([p for p in (tmp_path / "s" / "x").iterdir() if p.name.startswith("v-")]) == 2
+    assert Screen.of(path, spark).x.count() == screen.x.count()
+    for bad in (5, (1, 2, 3)):
+        with pytest.raises(TypeError):
+            Screen.of(bad)
+    with pytest.raises(ValueError):
+        screen.write_obs(path, screen.obs.withColumn("cell_id", F.col("cell_id") + 1))
+    screen.write_obs(path, screen.obs.withColumn("extra", F.lit(1)))
+    assert "extra" in Screen.load_metadata(spark, path, "obs").columns and "obs" in screen.preview(2)
+    screen.write_slot(path, "uns", spark.createDataFrame([("a", "1")], "key string, value string"))
+    assert Screen.load(spark, path).slots["uns"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        Screen.load_metadata(spark, path + "-none", "obs")
+    with pytest.raises(ValueError):
+        screen.write_slot(path, "x", screen.x)
+
+    ordered = str(tmp_path / "sorted")
+    store.write_sorted(screen.x, screen.obs, screen.var, ordered, "perturbation", "ctrl")
+    with pytest.raises(ValueError):
+        store.write_sorted(screen.x, screen.obs, screen.var, ordered, "perturbation", "ctrl")
+    assert store.storage_format(spark, ordered) == "sorted" and store.label_bounds(spark, ordered, "B") == (4, 6)
+    assert store.label_bounds(spark, path, "B") is None
+    with pytest.raises(KeyError):
+        store.label_bounds(spark, ordered, "Z")
+    own = lambda d: sorted(map(tuple, d.select("cell_id", "gene_id", "value").collect()))
+    assert own(store.label_slice(spark, ordered, "B", "perturbation")) == own(store.label_slice(spark, path, "B", "perturbation")) == own(screen.x.where("cell_id >= 4"))
+
+    result = screen.pp.normalize_total_log1p().tl.rank_genes_groups("perturbation", method="t-test")
+    saved = screen.tl.save_result(result, path, "ttest", {"min": 1})
+    assert saved.endswith("screenloom_t_test") and screen.tl.load_result(path, "t-test", {"min": 1}).count() == result.count()
+    assert screen.tl.load_result(path, "t-test", {"min": 2}) is None and screen.tl.load_result(path, "wilcoxon") is None
+    wide = store.ranked_layout(result, 2).orderBy("rank").collect()
+    first = result.where("rank = 1 AND lab = 'A'").first()
+    assert [r["rank"] for r in wide] == [1, 2] and wide[0]["A"]["gene_id"] == first["gene_id"]
+
+
+def test_blocks_of_a_matrix(screen):
+    parts = [(a, b, rows.count()) for a, b, rows in store.iter_blocks(screen.x, "cell_id", 4)]
+    assert parts == [(0, 4, sum(v > 0 for r in F1[:4] for v in r)), (4, 8, sum(v > 0 for r in F1[4:] for v in r))]
+    assert [a for a, _, _ in store.iter_blocks(screen.x, "gene_id", 3)] == [0, 3]
+
+
+def test_profiler_reads_time_and_memory():
+    from screenloom.functions.profiling import Profiler
+
+    p = Profiler(interval=0.001, trace=True)
+    with p.section("held"):
+        data = bytearray(50 << 20)
+        data[::4096] = b"x" * len(data[::4096])
+    with pytest.raises(ValueError), p.section("failed"):
+        raise ValueError
+    assert [s.name for s in p.sections] == ["held", "failed"] and p.sections[0].python_mb > 45 and p.sections[0].peak_mb > 50
+    assert p.report().startswith("held: ")
+
+
+def test_pseudobulk_refuses_unknown_labels(screen):
+    with pytest.raises(ValueError):
+        screen.pb.pseudobulk("perturbation", perturbations=["A", "none"])
+    with pytest.raises(ValueError):
+        screen.pb.pseudobulk("perturbation", baseline_count=0)
+    assert {r["lab"] for r in screen.pb.pseudobulk("perturbation", perturbations=["A"]).collect()} == {"A"}
+
+
+def test_demo_screen_and_genes_to_symbols(spark):
+    x, obs, var = store.demo_screen(spark, 300, 40, 3)
+    share = obs.where("perturbation = 'ctrl'").count() / 300
+    assert obs.count() == 300 and var.count() == 40 and 0.2 < share < 0.4 and x.where("value <= 0").isEmpty()
+    means = dict(differential.average_log_expression(x, obs, var, "perturbation", "ctrl").where("lab = 'KO1'").select("gene_id", "effect").collect())
+    assert all(means[g] > 1 for g in range(5)) and abs(means[30]) < 1
+    mapping = spark.createDataFrame([("gene1", "S1")], "id string, symbol string")
+    names = {r["gene_id"]: r["gene_name"] for r in labels.map_genes(var, mapping, "gene_name").collect()}
+    assert names[1] == "S1" and names[2] == "gene2"
+    with pytest.raises(ValueError):
+        labels.map_genes(var, mapping, "gene_name", "error")
+
+
+def test_full_shrinkage_falls_back_on_a_grid():
+    rng = np.random.default_rng(3)
+    y = np.concatenate([rng.poisson(20, 50), rng.poisson(40, 50)]).astype(float)
+    mark = np.repeat([0.0, 1.0], 50)
+    b, se = nbglm.posterior_mode(y, mark, np.zeros(100), 0.1, 0.5, math.log(20), math.log(2))
+    assert 0 < b < math.log(2) and 0 < se < 0.2
