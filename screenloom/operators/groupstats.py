@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,16 +17,16 @@ def library_sizes(x: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def normalise(x: DataFrame, target: float = 1e4, total: bool = True, log: bool = True) -> DataFrame:
-    """Values scaled to target per cell, then ln(1 + v). The library sums meet x again on cell_id, its own partitioning."""
+    """Values scaled to target per cell, then ln(1 + v). A cell's values meet once, in a window that adds them up."""
     if not (total or log):
         raise ValueError("nothing to do")
-    out = x
+    value = F.col("value")
     if total:
-        lib = x.groupBy("cell_id").agg(F.sum("value").alias("library"))
-        out = x.join(lib, "cell_id").withColumn("value", F.coalesce(F.try_divide(F.col("value") * F.lit(float(target)), F.col("library")), F.lit(0.0))).drop("library")
+        library = F.sum("value").over(Window.partitionBy("cell_id"))
+        value = F.coalesce(F.try_divide(value * F.lit(float(target)), library), F.lit(0.0))
     if log:
-        out = out.withColumn("value", F.log(F.lit(1.0) + F.col("value")))
-    return out.select("cell_id", "gene_id", "value")
+        value = F.log(F.lit(1.0) + value)
+    return x.select("cell_id", "gene_id", value.alias("value"))
 
 
 def is_count_like(x: DataFrame) -> bool:

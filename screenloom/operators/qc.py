@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .groupstats import library_sizes
 
 
 @dataclass(frozen=True)
 class QualityControl:
-    """Lazy results: cells (cell_id, lab, n_genes, keep), genes (gene_id, n_cells, keep), and the kept x, obs and var."""
+    """cells (cell_id, lab, n_genes, keep), genes (gene_id, n_cells, keep), and the kept x, obs and var."""
 
     cells: DataFrame
     genes: DataFrame
@@ -42,9 +43,11 @@ def filter_genes(x: DataFrame, var: DataFrame, min_cells: int = 100, cells: Data
 
 
 def quality_control(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, min_genes: int = 100, min_cells_per_label: int = 50, min_cells_per_gene: int = 100) -> QualityControl:
+    """Cells, then labels by kept cells, then genes by kept cells. The narrow table of cells is written once; x is read
+    for it, for the genes, and for the kept values."""
     first = filter_cells(x, obs, min_genes)
     second = filter_labels(obs, label, control, min_cells_per_label, first)
-    cells = second.join(first.select("cell_id", "n_genes"), "cell_id").select("cell_id", "lab", "n_genes", "keep")
+    cells = written(second.join(first.select("cell_id", "n_genes"), "cell_id").select("cell_id", "lab", "n_genes", "keep"), "qc-cells")
     genes = filter_genes(x, var, min_cells_per_gene, cells)
     kept_cells, kept_genes = cells.where("keep").select("cell_id"), genes.where("keep").select("gene_id")
     kept = x.join(kept_cells, "cell_id", "left_semi").join(kept_genes, "gene_id", "left_semi")
