@@ -106,8 +106,7 @@ def terms_of(plain: Column) -> Column:
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, min_disclosure: float, min_share: float) -> DataFrame:
     """(term, entity, share, disclosure): terms that reveal a protected entity.
 
-    found: (text, spans, plain) of texts with base spans; texts: (plain, entities) of all, plain being the text without
-    entities. With probabilities counted over all texts (rows), what a term t tells of an entity e is their pointwise
+    found: (text, spans, plain) of texts with base spans; texts: (plain) of all, plain being the text without entities. With probabilities counted over all texts (rows), what a term t tells of an entity e is their pointwise
     mutual information log p(e | t) / p(e), and disclosure is its share of all there is to tell, -log p(e): 1 if the
     term implies the entity, 0 if it says nothing. A term is named if disclosure is at least min_disclosure, share,
     which is p(e | t), at least min_share, and the pair occurs in at least support different texts (so copies of one
@@ -118,14 +117,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, min_discl
     of_entity = of_entity.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("copies"))
     # No pair occurs in more texts than its entity does.
     often = if_small(of_entity.where(F.col("copies") >= support).select("entity", "n_entity"), "entities")
-    # Texts with the term and any entity are at most all texts with it: terms that fail on them fail with each entity.
-    words = texts.select(F.explode(terms_of(F.col("plain"))).alias("term"), "entities")
-    counts = words.groupBy("term").agg(F.count("*").alias("n_texts"), F.count_if("entities").alias("n_any"))
-    likely = if_small(counts.where((F.col("n_any") >= support) & (F.col("n_any") >= min_share * F.col("n_texts"))).select("term", "n_texts"), "terms", 1 << 18)
-    own = held.select("plain", "copy", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
-    pairs = own.select("copy", "entity", F.explode(terms_of(F.col("plain"))).alias("term")).join(likely.select("term"), "term", "left_semi")
+    own = held.select("plain", "copy", F.explode("entities").alias("entity")).join(often.select("entity"), "entity", "left_semi")
+    pairs = own.select("copy", "entity", F.explode(terms_of(F.col("plain"))).alias("term"))
     both = pairs.groupBy("term", "entity", "copy").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("copies"))
-    both = materialise(both.where(F.col("copies") >= support), "pairs").join(likely, "term").join(often, "entity")
+    both = materialise(both.where(F.col("copies") >= support).select("term", "entity", "n_both"), "pairs")
+    # Only terms of such pairs are counted over all texts.
+    asked = if_small(both.select("term").distinct(), "terms", 1 << 18)
+    counts = texts.select(F.explode(terms_of(F.col("plain"))).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_texts"))
+    if both.isEmpty():
+        counts = asked.select("term", F.lit(0).cast("long").alias("n_texts"))
+    both = both.join(counts, "term").join(often, "entity")
     n_all = texts.count()
     share = F.col("n_both") / F.col("n_texts")
     all_of_it = -F.log(F.col("n_entity") / F.lit(n_all))
@@ -146,7 +147,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = with_base.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
     found = materialise(with_base.where(F.size("spans") > 0), "entities")
     found = found.withColumn("plain", without_entities(F.col("text"), F.col("spans")))
-    terms = disclosing_terms(found, plain.select("plain", (F.size("spans") > 0).alias("entities")), support, min_disclosure, min_share)
+    terms = disclosing_terms(found, plain.select("plain"), support, min_disclosure, min_share)
     terms = if_small(terms.select("term").distinct(), "disclosing", 1 << 18)
     if terms.isEmpty():
         return with_base.select("id", "text", "spans", F.col("spans").alias("all_spans"))
