@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_p, t_p
-from .groupstats import against_control, group_stats, is_count_like, labelled, log2_fold, low_expression, normalise
+from .groupstats import against_control, group_stats, is_count_like, label_sizes, labelled, log2_fold, low_expression, normalise
 from .multitest import adjust
 
+#: Up to this many labels, rank sums repeat the control's histogram per label in one plan.
+WINDOW_LABELS = 16
+
 
 def average_log_expression(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, target: float = 1e4) -> DataFrame:
     """(lab, gene_id, perturbation_mean, control_mean, effect): means of ln(1 + normalised counts) over all cells."""
@@ -72,86 +77,90 @@ def ranked(d: DataFrame, by: str = "statistic") -> DataFrame:
     return d.withColumn("rank", F.row_number().over(order))
 
 
-def wilcoxon_statistics(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, tie_correct: bool = True, min_cells_expressed: int = 0, **thresholds: float) -> DataFrame:
-    """(lab, gene_id, u_stat, statistic, effect, logfoldchange, pts, pts_rest, tested) from value histograms.
-
-    Ranks average ties; the zeros of a gene are one tie group and are counted, never sorted. Only (gene, label, value)
-    counts travel. The control's histogram of a gene is repeated once per label: with very many labels take
-    wilcoxon_blocks.
-    """
-    stats = group_stats(x, obs, var, label).withColumn("mean", F.col("s1") / F.col("n")).withColumn("pct", F.col("nnz") / F.col("n"))
-    d = against_control(stats, control, ("n", "nnz", "mean", "pct"))
+def rank_sums(x: DataFrame, obs: DataFrame, label: str, control: str, d: DataFrame) -> DataFrame:
+    """(lab, gene_id, r, ties) of the pairs d, as windows over value histograms; the control's is repeated per label."""
     h = labelled(x, obs, label).groupBy("gene_id", "lab", "value").agg(F.count("*").cast("double").alias("k"))
-    pairs = d.select("lab", "gene_id")
     zero = F.lit(0.0)
     base = h.where(F.col("lab") == control).select("gene_id", "value", F.col("k").alias("kc"))
-    parts = base.join(pairs, "gene_id").select("lab", "gene_id", "value", "kc", zero.alias("kp"))
+    parts = base.join(d.select("lab", "gene_id"), "gene_id").select("lab", "gene_id", "value", "kc", zero.alias("kp"))
     parts = parts.unionByName(h.where(F.col("lab") != control).select("lab", "gene_id", "value", zero.alias("kc"), F.col("k").alias("kp")))
     parts = parts.unionByName(d.select("lab", "gene_id", zero.alias("value"), (F.col("n_c") - F.col("nnz_c")).alias("kc"), (F.col("n") - F.col("nnz")).alias("kp")))
     t = parts.groupBy("lab", "gene_id", "value").agg(F.sum("kc").alias("kc"), F.sum("kp").alias("kp"))
     k = F.col("kc") + F.col("kp")
     upto = F.sum(k).over(Window.partitionBy("lab", "gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     t = t.withColumn("upto", upto)
-    sums = t.groupBy("lab", "gene_id").agg(F.sum(F.col("kp") * (F.col("upto") - k + (k + 1) / F.lit(2.0))).alias("r"), F.sum(k * k * k - k).alias("ties"))
-    d = d.join(sums, ["lab", "gene_id"])
-    N = F.col("n") + F.col("n_c")
-    tie = 1 - F.col("ties") / (N * N * N - N) if tie_correct else F.lit(1.0)
-    spread = F.sqrt(tie * F.col("n") * F.col("n_c") * (N + 1) / F.lit(12.0))
-    low = low_expression(F.col("pct_c"), F.col("mean_c"), F.col("pct"), F.col("mean"), **thresholds)
-    u = F.col("r") - F.col("n") * (F.col("n") + 1) / F.lit(2.0)
-    z = F.coalesce(F.try_divide(F.col("r") - F.col("n") * (N + 1) / F.lit(2.0), spread), F.lit(0.0))
-    d = d.withColumn("tested", ~low & (F.col("nnz") + F.col("nnz_c") >= min_cells_expressed))
-    shown = lambda c: F.when(F.col("tested"), c)
-    return d.select("lab", "gene_id", shown(u).alias("u_stat"), shown(z).alias("statistic"), shown(u / (F.col("n") * F.col("n_c")) - 0.5).alias("effect"), shown(log2_fold(F.col("mean"), F.col("mean_c"))).alias("logfoldchange"), F.col("pct").alias("pts"), F.col("pct_c").alias("pts_rest"), "tested")
-
-
-def wilcoxon_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, correction: str = "benjamini-hochberg", normalise_counts: bool = False, **options: float) -> DataFrame:
-    """Rank-sum statistics with p-values, adjusted p-values and rank. Raw counts raise ValueError unless normalise_counts."""
-    out = wilcoxon_statistics(log_values(x, normalise_counts), obs, var, label, control, **options)
-    return ranked(adjust(out.withColumn("pvalue", normal_p(F.col("statistic"))), correction))
+    return t.groupBy("lab", "gene_id").agg(F.sum(F.col("kp") * (F.col("upto") - k + (k + 1) / F.lit(2.0))).alias("r"), F.sum(k * k * k - k).alias("ties"))
 
 
-def wilcoxon_blocks(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, tie_correct: bool = True) -> DataFrame:
-    """(lab, gene_id, u_stat, statistic): the same ranks gene by gene, the control's histogram used once per gene.
+def rank_sums_by_gene(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str) -> DataFrame:
+    """The same of all pairs, gene by gene: the control's histogram is sorted once and each label's values looked up in it.
 
     A task holds the (label, value, count) histogram of one gene.
     """
-    import numpy as np
-    import pandas as pd
-
-    sizes = {r["lab"]: r["n"] for r in obs.groupBy(F.col(label).cast("string").alias("lab")).agg(F.count("*").cast("double").alias("n")).collect()}
+    sizes = {r["lab"]: r["n"] for r in label_sizes(obs, label).where("lab IS NOT NULL").collect()}
     hist = labelled(x, obs, label).groupBy("gene_id", "lab", "value").agg(F.count("*").cast("double").alias("k"))
+    # Genes without values, and the control, have a row as well.
+    some = var.select("gene_id", F.lit(control).alias("lab"), F.lit(0.0).alias("value"), F.lit(0.0).alias("k"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gene = pdf["gene_id"].iloc[0]
-        by = dict(tuple(pdf.groupby("lab")))
-        empty = pdf.iloc[:0]
+    def one(t: pa.Table) -> pa.Table:
+        lab, value, k = t.column("lab").to_numpy(zero_copy_only=False).astype(str), t.column("value").to_numpy(), t.column("k").to_numpy()
+        order = np.lexsort((value, lab))
+        names, at = np.unique(lab[order], return_index=True)
+        spans = dict(zip(names.tolist(), np.split(order, at[1:]), strict=True))
 
-        def whole(lab: str) -> tuple[np.ndarray, np.ndarray]:
-            own = by.get(lab, empty)
-            v, k = np.append(own["value"].to_numpy(float), 0.0), np.append(own["k"].to_numpy(float), 0.0)
-            k[-1] = sizes[lab] - k.sum()
-            o = np.argsort(v)
-            return v[o], k[o]
+        def whole(name: str) -> tuple[np.ndarray, np.ndarray]:
+            """Values and counts with the implicit zeros."""
+            own = spans.get(name, order[:0])
+            v, n = np.append(value[own], 0.0), np.append(k[own], 0.0)
+            n[-1] = sizes[name] - n.sum()
+            o = np.argsort(v, kind="stable")
+            return v[o], n[o]
 
         cv, ck = whole(control)
-        before = np.concatenate(([0.0], np.cumsum(ck)))
+        cv, first = np.unique(cv, return_index=True)
+        ck = np.add.reduceat(ck, first)
+        before, cubes = np.concatenate(([0.0], np.cumsum(ck))), float((ck**3 - ck).sum())
         rows = []
-        for lab in sizes:
-            if lab == control:
+        for name in sizes:
+            if name == control:
                 continue
-            pv, pk = whole(lab)
+            pv, pk = whole(name)
             lo, hi = np.searchsorted(cv, pv), np.searchsorted(cv, pv, side="right")
-            own = np.concatenate(([0.0], np.cumsum(pk)))[:-1]
-            tied = before[hi] - before[lo]
+            tied, own = before[hi] - before[lo], np.concatenate(([0.0], np.cumsum(pk)))[:-1]
             r = float((pk * (before[lo] + own + (tied + pk + 1) / 2)).sum())
-            both = np.concatenate((tied + pk, ck[~np.isin(cv, pv)]))
-            n, m = sizes[lab], sizes[control]
-            N = n + m
-            tie = 1 - float((both**3 - both).sum()) / (N**3 - N) if tie_correct else 1.0
-            sd = np.sqrt(max(tie, 0) * n * m * (N + 1) / 12)
-            rows.append((lab, gene, r - n * (n + 1) / 2, (r - n * (N + 1) / 2) / sd if sd > 0 else 0.0))
-        return pd.DataFrame(rows, columns=["lab", "gene_id", "u_stat", "statistic"])
+            # Ties of the control alone, put right where the label has the value too.
+            rows.append((name, r, cubes + float(((tied + pk) ** 3 - (tied + pk) - (tied**3 - tied)).sum())))
+        gene = t.column("gene_id").slice(0, 1).take(pa.array([0] * len(rows), pa.int32()))
+        return pa.table({"lab": pa.array([x[0] for x in rows], pa.string()), "gene_id": gene, "r": pa.array([x[1] for x in rows], pa.float64()), "ties": pa.array([x[2] for x in rows], pa.float64())})
 
-    some = var.select("gene_id", F.lit(control).alias("lab"), F.lit(0.0).alias("value"), F.lit(0.0).alias("k"))
-    return hist.unionByName(some.select(hist.columns)).groupBy("gene_id").applyInPandas(one, f"lab string, gene_id {dict(var.dtypes)['gene_id']}, u_stat double, statistic double")
+    return hist.unionByName(some.select(hist.columns)).groupBy("gene_id").applyInArrow(one, f"lab string, gene_id {dict(var.dtypes)['gene_id']}, r double, ties double")
+
+
+def wilcoxon_statistics(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, tie_correct: bool = True, min_cells_expressed: int = 0, by_gene: bool | None = None, **thresholds: float) -> DataFrame:
+    """(lab, gene_id, u_stat, statistic, effect, logfoldchange, pts, pts_rest, tested) from value histograms.
+
+    Ranks average ties; the zeros of a gene are one tie group and are counted, never sorted. Only (gene, label, value)
+    counts travel. by_gene takes rank_sums_by_gene, which reads the control once per gene; left out, it is taken for
+    more than WINDOW_LABELS labels. Both give the same numbers.
+    """
+    stats = group_stats(x, obs, var, label).withColumn("mean", F.col("s1") / F.col("n")).withColumn("pct", F.col("nnz") / F.col("n"))
+    d = against_control(stats, control, ("n", "nnz", "mean", "pct"))
+    if by_gene is None:
+        by_gene = label_sizes(obs, label).count() > WINDOW_LABELS
+    sums = rank_sums_by_gene(x, obs, var, label, control) if by_gene else rank_sums(x, obs, label, control, d)
+    d = d.join(sums, ["lab", "gene_id"])
+    N = F.col("n") + F.col("n_c")
+    tie = F.greatest(1 - F.col("ties") / (N * N * N - N), F.lit(0.0)) if tie_correct else F.lit(1.0)
+    spread = F.sqrt(tie * F.col("n") * F.col("n_c") * (N + 1) / F.lit(12.0))
+    low = low_expression(F.col("pct_c"), F.col("mean_c"), F.col("pct"), F.col("mean"), **thresholds)
+    u = F.col("r") - F.col("n") * (F.col("n") + 1) / F.lit(2.0)
+    z = F.coalesce(F.try_divide(F.col("r") - F.col("n") * (N + 1) / F.lit(2.0), spread), F.lit(0.0))
+    d = d.withColumn("tested", ~low & (F.col("nnz") + F.col("nnz_c") >= min_cells_expressed))
+    shown = lambda c: F.when(F.col("tested"), c)
+    return d.select("lab", "gene_id", shown(u).alias("u_stat"), shown(z).alias("statistic"), shown(u / (F.col("n") * F.col("n_c")) - 0.5).alias("effect"), shown(log2_fold(F.col("mean"), F.col("mean_c"))).alias("logfoldchange"), F.col("pct").alias("pts"), F.col("pct_c").alias("pts_rest"), "tested")
+
+
+def wilcoxon_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str, correction: str = "benjamini-hochberg", normalise_counts: bool = False, **options: float) -> DataFrame:
+    """Rank-sum statistics with p-values, adjusted p-values and rank. Raw counts raise ValueError unless normalise_counts."""
+    out = wilcoxon_statistics(log_values(x, normalise_counts), obs, var, label, control, **options)
+    return ranked(adjust(out.withColumn("pvalue", normal_p(F.col("statistic"))), correction))

@@ -144,6 +144,29 @@ def _incremental(placed: DataFrame, obs: DataFrame, n_genes: int, k: int, chunk:
     return mean, size**2 / max(n - 1, 1), (sv / np.maximum(size, 1e-300)[:, None]).T, (inside + between) / max(n - 1, 1)
 
 
+def project(placed: DataFrame, obs: DataFrame, vectors: np.ndarray, centre: np.ndarray, values_per_task: int = 1 << 20) -> DataFrame:
+    """(cell_id, vec): every cell's values times the vectors, less centre. A task takes a chunk of cells; the vectors,
+    at most MAX_GENES rows of n_comps numbers, go to each executor once."""
+    n_chunks = max(1, -(-placed.count() // values_per_task))
+    chunk = F.pmod(F.xxhash64("cell_id"), F.lit(n_chunks)).cast("int")
+    shared = placed.sparkSession.sparkContext.broadcast((vectors, centre))
+
+    def run(t: pa.Table) -> pa.Table:
+        v, c = shared.value
+        cells, first, at = np.unique(t.column("cell_id").to_numpy(), return_index=True, return_inverse=True)
+        out, place, value = np.zeros((len(cells), len(c))), t.column("place").to_numpy(), t.column("value").to_numpy()
+        for i in range(0, len(at), 1 << 14):
+            part = slice(i, i + (1 << 14))
+            np.add.at(out, at[part], value[part, None] * v[place[part]])
+        rows = pa.FixedSizeListArray.from_arrays(pa.array((out - c).ravel()), len(c)).cast(pa.list_(pa.float64()))
+        return pa.table({"cell_id": t.column("cell_id").take(pa.array(first)), "vec": rows})
+
+    kind = dict(placed.dtypes)["cell_id"]
+    found = placed.withColumn("chunk", chunk).groupBy("chunk").applyInArrow(run, f"cell_id {kind}, vec array<double>")
+    empty = F.array(*[F.lit(-v) for v in centre.tolist()])
+    return obs.select("cell_id").join(found, "cell_id", "left").select("cell_id", F.coalesce("vec", empty).alias("vec"))
+
+
 def pca(x: DataFrame, obs: DataFrame, var: DataFrame, n_comps: int = 50, highly_variable: bool = True, method: str = "auto") -> Pca:
     """Principal components of centred values (n - 1 variance); signs make the largest loading of each positive.
 
@@ -164,16 +187,9 @@ def pca(x: DataFrame, obs: DataFrame, var: DataFrame, n_comps: int = 50, highly_
         mean, values, vectors, total = _incremental(placed, obs, len(genes), k)
     values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
-    shift = (mean @ vectors).tolist()
-    spark = x.sparkSession
-    table = spark.createDataFrame([(g, i, vectors[i].tolist()) for i, g in enumerate(genes)], f"gene_id {dict(var.dtypes)['gene_id']}, place int, vec array<double>")
-    # Component by component: long rows add up natively, whatever n_comps is.
-    long = placed.join(table, "place").select("cell_id", F.posexplode("vec").alias("pc", "w"), "value")
-    sums = long.groupBy("cell_id", "pc").agg(F.sum(F.col("w") * F.col("value")).alias("s")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pc", "s"))).alias("m"))
-    centre = F.array(*[F.lit(v) for v in shift])
-    score = F.transform(centre, lambda c, i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) - c)
-    scores = obs.select("cell_id").join(sums, "cell_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>"))).select("cell_id", score.alias("vec"))
-    return Pca(scores, table.drop("place"), values, values / total if total > 0 else values)
+    table = x.sparkSession.createDataFrame([(g, vectors[i].tolist()) for i, g in enumerate(genes)], f"gene_id {dict(var.dtypes)['gene_id']}, vec array<double>")
+    scores = project(placed, obs, vectors, mean @ vectors)
+    return Pca(scores, table, values, values / total if total > 0 else values)
 
 
 def neighbours(points: DataFrame, k: int = 15) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,19 @@ def is_count_like(x: DataFrame) -> bool:
     return x.where(F.col("value") != F.rint("value")).isEmpty() and not x.isEmpty()
 
 
+def exact_median(values: DataFrame) -> float | None:
+    """Exact median of column v: approximate percentiles bracket it, and only the different values between reach the driver."""
+    r = values.agg(F.count("v").alias("n"), F.percentile_approx("v", [0.499, 0.501], 10_000).alias("q")).first()
+    if not r["n"]:
+        return None
+    low, high = r["q"]
+    below = values.where(F.col("v") < low).count()
+    between = values.where(F.col("v").between(low, high)).groupBy("v").count().toPandas().sort_values("v")
+    upto = below + between["count"].cumsum().to_numpy()
+    mid = [float(between["v"].to_numpy()[np.searchsorted(upto, i, "right")]) for i in ((r["n"] - 1) // 2, r["n"] // 2)]
+    return sum(mid) / 2
+
+
 def labelled(x: DataFrame, obs: DataFrame, label: str) -> DataFrame:
     return x.join(obs.select("cell_id", F.col(label).cast("string").alias("lab")), "cell_id")
 

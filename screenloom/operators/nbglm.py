@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.special import f_quantile, lgamma, normal_two_sided, trigamma
 from ..sources.store import written
 from .differential import ranked
-from .groupstats import against_control, group_stats, labelled, low_expression
+from .groupstats import against_control, exact_median, group_stats, labelled, low_expression
 from .multitest import adjust
 from .size_factors import comparison_size_factors, deseq_size_factors, given_size_factors, sparse_size_factors
 
@@ -131,19 +131,6 @@ def merged(table: DataFrame, of: Callable[..., np.ndarray], merge: Callable = np
     return functools.reduce(merge, found) if found else None
 
 
-def exact_median(values: DataFrame) -> float | None:
-    """Exact median of column v: approximate percentiles bracket it, and only the different values between reach the driver."""
-    r = values.agg(F.count("v").alias("n"), F.percentile_approx("v", [0.499, 0.501], 10_000).alias("q")).first()
-    if not r["n"]:
-        return None
-    low, high = r["q"]
-    below = values.where(F.col("v") < low).count()
-    between = values.where(F.col("v").between(low, high)).groupBy("v").count().toPandas().sort_values("v")
-    upto = below + between["count"].cumsum().to_numpy()
-    mid = [float(between["v"].to_numpy()[np.searchsorted(upto, i, "right")]) for i in ((r["n"] - 1) // 2, r["n"] // 2)]
-    return sum(mid) / 2
-
-
 def usable(mean: np.ndarray, disp: np.ndarray) -> np.ndarray:
     return np.isfinite(mean) & np.isfinite(disp) & (mean > 0) & (disp > 10 * MIN_ALPHA)
 

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .groupstats import exact_median
+
+
+def _filled(obs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(cell_id, m): cells without a ratio get the median of the others, or 1 if there is none."""
+    ratios = written(ratios, "ratios")
+    middle = exact_median(ratios.select(F.col("m").alias("v")))
+    return obs.select("cell_id").join(ratios, "cell_id", "left").select("cell_id", F.coalesce("m", F.lit(1.0 if middle is None else middle)).alias("m"))
+
 
 def _finish(obs: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Cells without a ratio get the median of the others (1 if there is none); then the geometric mean becomes 1."""
-    mid = ratios.agg(F.percentile("m", F.lit(0.5)).alias("fill"))
-    filled = obs.select("cell_id").join(ratios, "cell_id", "left").crossJoin(F.broadcast(mid)).select("cell_id", F.coalesce("m", "fill", F.lit(1.0)).alias("m"))
+    """Filled ratios, scaled to a geometric mean of 1."""
+    filled = _filled(obs, ratios)
     scale = filled.agg(F.exp(F.avg(F.log("m"))).alias("scale"))
     return filled.crossJoin(F.broadcast(scale)).select("cell_id", (F.col("m") / F.col("scale")).alias("size_factor"))
 
@@ -59,7 +68,4 @@ def given_size_factors(obs: DataFrame, factors: DataFrame, scale: bool = True) -
     if not obs.select("cell_id").join(factors, "cell_id", "left_anti").isEmpty():
         raise ValueError("cells without a size factor")
     ratios = factors.select("cell_id", ok.alias("m")).where("m IS NOT NULL")
-    if scale:
-        return _finish(obs, ratios)
-    mid = ratios.agg(F.percentile("m", F.lit(0.5)).alias("fill"))
-    return obs.select("cell_id").join(ratios, "cell_id", "left").crossJoin(F.broadcast(mid)).select("cell_id", F.coalesce("m", "fill").alias("size_factor"))
+    return _finish(obs, ratios) if scale else _filled(obs, ratios).withColumnRenamed("m", "size_factor")

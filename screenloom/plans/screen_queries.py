@@ -65,7 +65,8 @@ def _wilcoxon(spark: SparkSession, d: str, bind: Callable) -> DataFrame:
 
 
 def wilcoxon_by_gene(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(differential.wilcoxon_blocks(*dense(spark, d)), "u_stat", "statistic")
+    out = differential.wilcoxon_statistics(*dense(spark, d), by_gene=True, min_pct_ctrl=0, min_pct_pert=0, min_mean_ctrl=0, min_mean_pert=0)
+    return rounded(out.select("lab", "gene_id", "u_stat", "statistic"), "u_stat", "statistic")
 
 
 def bh_adjustment(spark: SparkSession, d: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_t_test_refuses_counts_and_wilcoxon_forms_agree(screen):
     with pytest.raises(ValueError):
         differential.t_test(screen.x, screen.obs, screen.var, "perturbation", "ctrl")
     a = differential.wilcoxon_statistics(screen.x, screen.obs, screen.var, "perturbation", "ctrl", min_pct_ctrl=0, min_pct_pert=0, min_mean_ctrl=0, min_mean_pert=0)
-    b = differential.wilcoxon_blocks(screen.x, screen.obs, screen.var, "perturbation", "ctrl")
+    b = differential.wilcoxon_statistics(screen.x, screen.obs, screen.var, "perturbation", "ctrl", by_gene=True, min_pct_ctrl=0, min_pct_pert=0, min_mean_ctrl=0, min_mean_pert=0)
     left = {(r["lab"], r["gene_id"]): (r["u_stat"], r["statistic"]) for r in a.collect()}
     assert left == {(r["lab"], r["gene_id"]): (r["u_stat"], pytest.approx(r["statistic"])) for r in b.collect()}
     for (lab, g), (u, _) in left.items():
