@@ -1,41 +1,19 @@
-"""Shared pieces of the training-data operators: shared-folder tables, ordered batches, packed integer blobs."""
+"""Shared pieces of the training-data operators: small tables, ordered batches, packed integer blobs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written as materialise
+
 #: A word is a maximal run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one is made only where none is named on a local master."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    own = tempfile.mkdtemp(prefix="screenloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plain_text(col: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -90,12 +68,6 @@ def if_small(ids: DataFrame, name: str, max_rows: int = 1 << 21) -> DataFrame:
     return F.broadcast(held) if held.count() <= max_rows else held
 
 
-def chosen_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids in dropped (nulls there drop nothing). The id table is broadcast if it is small, else joined by key."""
-    gone = if_small(dropped.select(F.col(dropped.columns[0]).alias("_gone")).where("_gone IS NOT NULL"), "dropped")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-
-
 def chosen_rows(docs: DataFrame, dropped: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows of dropped (id, key): rows that share an id, or have none, are told apart by their key."""
     i, k = dropped.columns
