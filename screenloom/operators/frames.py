@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,39 @@ def tidy(result: DataFrame, groups: str | list[str] | None = None, n_genes: int
     return out.where(F.col("rank") <= n_genes) if n_genes else out
 
 
+class Results(Mapping):
+    """A result by label: results["A"] is the label's rows in order of rank, nothing is read before an action."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    @cached_property
+    def labels(self) -> list[str]:
+        return sorted(r["lab"] for r in self.table.select("lab").distinct().collect())
+
+    def __getitem__(self, lab: str) -> DataFrame:
+        if lab not in self.labels:
+            raise KeyError(lab)
+        return self.table.where(F.col("lab") == lab).orderBy("rank")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.labels)
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+
+def summary_of_tests(result: DataFrame, max_p: float = 0.05, effect: str = "effect") -> DataFrame:
+    """(lab, genes, tested, significant, up, down): how many genes of each label were tested and passed."""
+    sig = F.coalesce(F.col("pvalue_adj") < max_p, F.lit(False))
+    return result.groupBy("lab").agg(F.count("*").alias("genes"), F.count("pvalue").alias("tested"), F.count_if(sig).alias("significant"), F.count_if(sig & (F.col(effect) > 0)).alias("up"), F.count_if(sig & (F.col(effect) < 0)).alias("down"))
+
+
+def with_names(result: DataFrame, var: DataFrame, column: str = "gene_name") -> DataFrame:
+    """result with the name of each gene; genes unknown to var have none."""
+    return result.join(var.select("gene_id", F.col(column).alias("gene")), "gene_id", "left")
+
+
 def volcano(result: DataFrame, p: str = "pvalue_adj", fold: str = "logfoldchange", max_p: float = 0.05, min_fold: float = 1.0) -> DataFrame:
     score = -F.log10(F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(1e-300)))
     sig = (F.col(p) < max_p) & (F.abs(F.col(fold)) >= min_fold)

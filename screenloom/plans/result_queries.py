@@ -53,6 +53,17 @@ def tidy_groups(spark: SparkSession, d: str) -> DataFrame:
     return frames.tidy(t_test(spark, d), ["MACHINERY", "FURNITURE"], 3).select("lab", "gene_id", "rank")
 
 
+def summary_of_tests(spark: SparkSession, d: str) -> DataFrame:
+    return frames.summary_of_tests(whole_t_test(spark, d), 0.5)
+
+
+def named_genes(spark: SparkSession, d: str) -> DataFrame:
+    """The first genes of every label of the sparse Welch test, by their part's name."""
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("gene_name"))
+    first = frames.tidy(differential.ranked(_welch(spark, d, sparse)), None, 4)
+    return frames.with_names(first.select("lab", "gene_id", F.col("rank").cast("long").alias("rank")), names)
+
+
 def auroc(spark: SparkSession, d: str) -> DataFrame:
     both = _wilcoxon(spark, d, dense).select("lab", "gene_id", "statistic").join(_welch(spark, d, dense).select("lab", "gene_id", F.col("effect").alias("e")), ["lab", "gene_id"])
     return rounded(frames.auroc(both.withColumn("up", F.col("e") > 0), "statistic", "up"), "auroc")
@@ -208,6 +219,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "volcano": volcano,
     "top_genes": top_genes,
     "tidy_groups": tidy_groups,
+    "test_summary": summary_of_tests,
+    "named_genes": named_genes,
     "auroc": auroc,
     "top_overlap": top_overlap,
     "largest_difference": largest_difference,
@@ -297,6 +310,10 @@ SELECT lab, gene_id, round(fold, 4) + 0.0 AS logfoldchange, round(-log10(greates
        CASE WHEN significant AND fold > 0 THEN 'up' WHEN significant THEN 'down' ELSE 'none' END AS direction FROM v""",
     "top_genes": f"WITH {_T_TEST} SELECT lab, gene_id, statistic FROM res WHERE lab = 'MACHINERY' AND statistic IS NOT NULL ORDER BY statistic DESC, gene_id LIMIT 7",
     "tidy_groups": f"WITH {_T_TEST} SELECT lab, gene_id, rank FROM res WHERE lab IN ('MACHINERY', 'FURNITURE') AND rank <= 3",
+    "test_summary": f"""WITH {_T_TEST}, e AS (SELECT lab, p, coalesce(q < 0.5, false) AS sig, CASE WHEN shown THEN mean - mean_c END AS effect FROM adj)
+SELECT lab, count(*) AS genes, count(p) AS tested, count(CASE WHEN sig THEN 1 END) AS significant, count(CASE WHEN sig AND effect > 0 THEN 1 END) AS up, count(CASE WHEN sig AND effect < 0 THEN 1 END) AS down FROM e GROUP BY lab""",
+    "named_genes": f"""WITH w AS ({BASE_SQL['welch_sparse']}), i AS (SELECT lab, gene_id, row_number() OVER (PARTITION BY lab ORDER BY abs(statistic) DESC NULLS LAST, gene_id) AS rank FROM w)
+SELECT i.lab, i.gene_id, i.rank, p_name AS gene FROM i LEFT JOIN part ON p_partkey = i.gene_id WHERE rank <= 4""",
     "auroc": f"""WITH {_PAIR}, j AS (SELECT a.lab, a.statistic, b.effect > 0 AS up FROM a JOIN b ON a.lab = b.lab AND a.gene_id = b.gene_id WHERE a.statistic IS NOT NULL),
 k AS (SELECT *, rank() OVER (PARTITION BY lab ORDER BY statistic) + (count(*) OVER (PARTITION BY lab, statistic) - 1) / 2e0 AS rk FROM j),
 n AS (SELECT lab, sum(CASE WHEN up THEN rk END) AS s, count(CASE WHEN up THEN 1 END)::DOUBLE AS pos, count(CASE WHEN NOT up THEN 1 END)::DOUBLE AS neg FROM k GROUP BY lab)

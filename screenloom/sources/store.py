@@ -240,10 +240,17 @@ def fingerprint(params: dict) -> str:
     return json.dumps(params, sort_keys=True, default=str)
 
 
-def resumable(spark: SparkSession, path: str, labels: list[str], params: dict, compute: Callable[[list[str]], DataFrame], batch: int = 100, force: bool = False) -> DataFrame:
+def checkpoint_interval(n_labels: int) -> int:
+    """Labels between two writes of a run: 1, 10 or 50 for fewer than 100, fewer than 1000, or more labels."""
+    return 1 if n_labels < 100 else 10 if n_labels < 1000 else 50
+
+
+def resumable(spark: SparkSession, path: str, labels: list[str], params: dict, compute: Callable[[list[str]], DataFrame], batch: int | None = None, force: bool = False, skip_failed: bool = False) -> DataFrame:
     """A result by label, computed in batches of labels; a rerun with the same parameters does what is missing.
 
-    Each batch is one write into its own folder, listed only once it is whole; other parameters start anew.
+    Each batch (checkpoint_interval labels unless given) is one write into its own folder, listed only once it is
+    whole; other parameters start anew. With skip_failed a batch that fails is tried label by label, and labels that
+    fail again are noted in _failed (failed_labels) and tried anew by the next run; else the error is raised.
     """
     mark = f"{path}/_params"
     if force or (exists(spark, path) and read_mark(spark, mark) != fingerprint(params)):
@@ -257,14 +264,36 @@ def resumable(spark: SparkSession, path: str, labels: list[str], params: dict, c
         found = [s.getPath().toString() for s in f.listStatus(p) if s.getPath().getName().startswith("part-of-")]
         return [x for x in found if exists(spark, f"{x}/_SUCCESS")]
 
+    def write(some: list[str]) -> None:
+        compute(some).write.parquet(f"{path}/part-of-{uuid.uuid4().hex}")
+
     done = parts()
     have = {r["lab"] for r in spark.read.parquet(*done).select("lab").distinct().collect()} if done else set()
-    left = [c for c in labels if c not in have]
-    for i in range(0, len(left), batch):
-        compute(left[i : i + batch]).write.parquet(f"{path}/part-of-{uuid.uuid4().hex}")
+    left, failed = [c for c in labels if c not in have], []
+    step = batch or checkpoint_interval(len(labels))
+    for i in range(0, len(left), step):
+        some = left[i : i + step]
+        try:
+            write(some)
+        except Exception:
+            if not skip_failed:
+                raise
+            for one in some:
+                try:
+                    write([one])
+                except Exception:  # noqa: BLE001
+                    failed.append(one)
+    write_mark(spark, f"{path}/_failed", json.dumps(failed))
+    if failed and not parts():
+        raise RuntimeError(f"every label failed: {failed}")
     return spark.read.parquet(*parts())
 
 
+def failed_labels(spark: SparkSession, path: str) -> list[str]:
+    """Labels that the last run of resumable could not do."""
+    return json.loads(read_mark(spark, f"{path}/_failed") or "[]")
+
+
 def demo_screen(spark: SparkSession, n_cells: int = 400, n_genes: int = 100, n_labels: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(x, obs, var) of a made-up screen: 30 % control cells; each label raises five genes."""
     rng = np.random.default_rng(seed)

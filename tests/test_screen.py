@@ -425,3 +425,43 @@ def test_full_shrinkage_falls_back_on_a_grid():
     mark = np.repeat([0.0, 1.0], 50)
     b, se = nbglm.posterior_mode(y, mark, np.zeros(100), 0.1, 0.5, math.log(20), math.log(2))
     assert 0 < b < math.log(2) and 0 < se < 0.2
+
+
+def test_failed_labels_are_noted_and_tried_again(spark, tmp_path):
+    path, broken = str(tmp_path / "run"), {"B", "D"}
+
+    def compute(some):
+        if broken & set(some):
+            raise RuntimeError("no")
+        return spark.createDataFrame([(c, 1) for c in some], "lab string, v int")
+
+    with pytest.raises(RuntimeError):
+        store.resumable(spark, str(tmp_path / "other"), ["B"], {}, compute)
+    assert store.resumable(spark, path, list("ABCDE"), {}, compute, batch=2, skip_failed=True).count() == 3
+    assert store.failed_labels(spark, path) == ["B", "D"]
+    broken.clear()
+    assert store.resumable(spark, path, list("ABCDE"), {}, compute, skip_failed=True).count() == 5 and store.failed_labels(spark, path) == []
+    assert [store.checkpoint_interval(n) for n in (5, 100, 999, 1000)] == [1, 10, 10, 50]
+
+
+def test_compressed_runs_of_rows_and_columns():
+    from screenloom.sources.annotated import compressed
+
+    y = np.array(F1, float)
+    rows = [list(map(float, r)) for r in F1]
+    data, indices, edges = [], [], [0]
+    for r in rows[2:5]:
+        at = np.flatnonzero(r)
+        data += [r[i] for i in at] + [0.0]
+        indices += [*at, 0]
+        edges.append(len(data))
+    got = sorted(compressed(np.array(data), np.array(indices), np.array(edges), 2, False))
+    assert got == sorted((i, j, y[i, j]) for i in range(2, 5) for j in range(4) if y[i, j])
+    assert {(j, i) for i, j, _ in got} == {(i, j) for i, j, _ in compressed(np.array(data), np.array(indices), np.array(edges), 2, True)}
+
+
+def test_results_by_label(screen):
+    out = frames.Results(screen.pp.normalize_total_log1p().tl.rank_genes_groups("perturbation", method="t-test"))
+    assert list(out) == ["A", "B"] and len(out) == 2 and [r["rank"] for r in out["A"].collect()] == [1, 2, 3, 4]
+    with pytest.raises(KeyError):
+        out["C"]
