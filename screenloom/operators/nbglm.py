@@ -412,8 +412,8 @@ def nb_glm_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, contro
         y, rows = cells.counts(pdf["cell_id"].to_numpy(), pdf["value"].to_numpy(float)), []
         for lab, gene in zip(want["lab"], want["gene_id"], strict=True):
             at, d, off, _ = cells.pair(lab)
-            _, a, mu, _, _ = irls(y[at], d, off, dispersion, min_mu)
-            if dispersion is None and dispersion_method == "cox-reid":
+            _, a, mu, _, _ = irls(y[at], d, off, None, min_mu)
+            if dispersion_method == "cox-reid":
                 a = cox_reid_dispersion(y[at], d, mu)
             rows.append((lab, gene, float((y[at] / np.exp(off)).mean()), a))
         return pd.DataFrame(rows, columns=["lab", "gene_id", "base_mean", "dispersion_raw"])
@@ -421,15 +421,15 @@ def nb_glm_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, contro
     pairs = written(pairs, "pairs")
     todo = pairs.where("tested").select("lab", "gene_id")
     counts = x.select("cell_id", "gene_id", "value")
-    wide = dispersion_scope == "global" or (freeze_control and dispersion is None)
-    if wide and dispersion is None:
+    wide = dispersion is None and (dispersion_scope == "global" or freeze_control)
+    if wide:
         by_gene, line = global_dispersion(x, factors, var, trend)
         raw, fixed = todo.join(by_gene, "gene_id"), True
-    elif freeze_control or (dispersion is not None and not cook_filter):
+    elif dispersion is not None:
         raw, line, fixed = todo.select("lab", "gene_id", F.lit(1.0).alias("base_mean"), F.lit(float(dispersion)).alias("dispersion_raw")), None, True
     else:
         raw = written(counts.groupBy("gene_id").cogroup(todo.groupBy("gene_id")).applyInPandas(moments, f"lab string, gene_id {kind}, base_mean double, dispersion_raw double"), "dispersions")
-        line, fixed = fit_trend(Pairs(raw), trend), dispersion is not None
+        line, fixed = fit_trend(Pairs(raw), trend), False
     shrinking = shrink_dispersion and not fixed
     variance = prior_variance(Pairs(raw), line, cells.n) if shrinking and shrink_method == "map" else None
     shrunk = empirical_bayes(Pairs(raw), line) if shrinking and shrink_method == "eb" else None
@@ -440,7 +440,7 @@ def nb_glm_test(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, contro
             at, d, off, n_control = cells.pair(r.lab)
             own, alpha = y[at], r.dispersion_raw
             t = max(float(line(np.array([r.base_mean]))[0]), MIN_ALPHA) if line else None
-            if wide and dispersion is None:
+            if wide:
                 alpha = math.sqrt(alpha * t)
             elif variance is not None:
                 _, _, mu, _, _ = irls(own, d, off, alpha, min_mu)
