@@ -71,7 +71,7 @@ def if_small(ids: DataFrame, name: str, max_rows: int = 1 << 21) -> DataFrame:
 def chosen_rows(docs: DataFrame, dropped: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows of dropped (id, key): rows that share an id, or have none, are told apart by their key."""
     i, k = dropped.columns
-    gone = if_small(dropped.select(F.col(i).alias("_gone"), F.col(k).alias("_key")), "dropped")
+    gone = if_small(dropped.select(F.col(i).alias("_gone"), F.col(k).alias("_key")), "dropped", 1 << 20)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (key == gone["_key"]), "left_anti")
 
 
