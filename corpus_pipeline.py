@@ -11,7 +11,7 @@ from screenloom.llm.queries import TOXIC_AT, table, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays under the query's threshold."""
+    """Documents whose toxicity stays under the query's threshold. Null and empty texts stay; an empty table stays empty."""
     score = toxic.score(toxicity_model(spark, sf_dir))
     return docs.where(score < TOXIC_AT)
 
@@ -39,13 +39,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item covers to 0.8 or more by tiles of five words."""
+    """Documents that cover no benchmark item to 0.8 or more by tiles of five words. Null and empty texts stay."""
     found = tiling.contamination(docs, table(spark, sf_dir, "benchmark"), width=5, min_coverage=0.8)
-    return found.where(~F.col("contamination.contaminated")).select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])["contaminated"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that is left."""
+    """What the mix takes of each document that is left; null texts have no words. An empty table stays empty."""
     return mix.mix(docs).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
