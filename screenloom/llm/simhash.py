@@ -152,8 +152,8 @@ def _member(wanted: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return at[wanted[np.minimum(np.searchsorted(wanted, tags[at]), len(wanted) - 1)] == tags[at]]
 
 
-def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members (places in raw) that share a variant.
+def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between members (places in raw) that share a variant, and the bits their ends differ in (0 without a limit).
 
     Without a limit: each member and the least it reaches. With one, the members of a variant within limit of its
     least member are linked to it; the others start over among themselves until none is left, so a group of copies is
@@ -175,7 +175,7 @@ def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None)
         if words is not None:
             for at in range(0, len(pair), 1 << 16):
                 part = slice(at, at + (1 << 16))
-                near[part] = np.bitwise_count(words[x[part]] ^ words[c[part]]).sum(axis=1, dtype=np.int64) <= limit
+                near[part] = _apart(words, x[part], c[part]) <= limit
         near &= x != c
         a.append(x[near])
         b.append(c[near])
@@ -187,13 +187,19 @@ def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None)
     if limit is None:
         root = least_reachable(n, a, b)
         a = np.flatnonzero(root != np.arange(n))
-        return a, root[a]
+        return a, root[a], np.zeros(len(a), np.int64)
     pair = np.unique(a * n + b)
-    return pair // n, pair % n
+    a, b = pair // n, pair % n
+    parts = [_apart(words, a[i : i + (1 << 16)], b[i : i + (1 << 16)]) for i in range(0, len(a), 1 << 16)]
+    return a, b, np.concatenate([np.empty(0, np.int64), *parts])
+
+
+def _apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
 
 
 def links(fps: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b) links between distinct fingerprints (column fp, binary); without a limit they connect all that meet.
+    """(a, b, apart) links between distinct fingerprints (column fp, binary); without a limit they connect all that meet.
 
     Every lane makes all variants within half the radius; two lanes are within the radius exactly if they share one.
     Owners of variant ranges first compare short tags, sent as sorted packed blobs, and tell each batch which tags
@@ -236,15 +242,15 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         batches = np.array(t.column("batch").to_pylist())
         return pa.table({"batch": pa.array(batches[whose[at]] if len(at) else [], pa.int32()), "owner": pa.array([t.column("owner")[0].as_py()] * len(at), pa.int32()), "tags": pa.array([pack_sorted(x) for x in np.split(tag, at[1:])] if len(at) else [], pa.binary())})
 
-    def rows_of(a: list, b: list, far: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
+    def rows_of(a: list, b: list, apart: list, far: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
         k, m = len(a), len(far)
-        cols = {"a": pa.array([*a, *[None] * m], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "owner": pa.array([*[None] * k, *[f[0] for f in far]], pa.int32())}
+        cols = {"a": pa.array([*a, *[None] * m], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "apart": pa.array([*apart, *[None] * m], pa.int32()), "owner": pa.array([*[None] * k, *[f[0] for f in far]], pa.int32())}
         return pa.table(cols | {c: pa.array([*[None] * k, *[f[i] for f in far]], pa.binary()) for i, c in ((1, "keys"), (2, "at"), (3, "fps"))})
 
     def answer(mine: pa.Table, told: pa.Table) -> pa.Table:
         raw = sorted(mine.column("fp").to_pylist())
         if not raw:
-            return rows_of([], [], [])
+            return rows_of([], [], [], [])
         values = shape.values(raw)
         tags = _tags(values, masks, shift)
         parts = [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
@@ -255,7 +261,7 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         met = np.zeros(len(pick), bool)
         met[_member(wanted, tags[pick])] = True
         v, who = values[pick // len(masks)] ^ masks[pick % len(masks)], pick // len(masks) % len(raw)
-        a, b = _stars(v, who, raw, shape.limit)
+        a, b, apart = _stars(v, who, raw, shape.limit)
         if shape.limit is None:
             root = np.arange(len(raw))
             root[a] = b
@@ -271,7 +277,7 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
             own, at = np.unique(who[i], return_inverse=True)
             packed = zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").tobytes())
             far.append((int(owner[i[0]]), pack_sorted(v[i]), packed, b"".join(raw[j] for j in own.tolist())))
-        return rows_of([raw[i] for i in a.tolist()], [raw[i] for i in b.tolist()], far)
+        return rows_of([raw[i] for i in a.tolist()], [raw[i] for i in b.tolist()], apart.tolist(), far)
 
     def settle(t: pa.Table) -> pa.Table:
         v, at, blobs, n_before = [], [], [], 0
@@ -282,14 +288,14 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
             n_before += len(fps) // width
         raw = sorted(set(blobs))
         place = {x: i for i, x in enumerate(raw)}
-        a, b = _stars(np.concatenate(v), np.array([place[x] for x in blobs], np.int64)[np.concatenate(at)], raw, shape.limit)
-        return pa.table({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in b.tolist()], pa.binary())})
+        a, b, apart = _stars(np.concatenate(v), np.array([place[x] for x in blobs], np.int64)[np.concatenate(at)], raw, shape.limit)
+        return pa.table({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in b.tolist()], pa.binary()), "apart": pa.array(apart, pa.int32())})
 
     sent = rows.groupBy("batch").applyInArrow(emit, "owner int, batch int, tags binary")
     told = sent.groupBy("owner").applyInArrow(meet, "batch int, owner int, tags binary")
-    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "a binary, b binary, owner int, keys binary, at binary, fps binary"), "variants")
-    across = found.where("owner IS NOT NULL").groupBy("owner").applyInArrow(settle, "a binary, b binary")
-    return found.where("owner IS NULL").select("a", "b").unionByName(across).distinct()
+    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "a binary, b binary, apart int, owner int, keys binary, at binary, fps binary"), "variants")
+    across = found.where("owner IS NOT NULL").groupBy("owner").applyInArrow(settle, "a binary, b binary, apart int")
+    return found.where("owner IS NULL").select("a", "b", "apart").unionByName(across).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +325,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shape:
     Texts are linked if the Jaccard similarity of their sets of word shingles (A-Z lower-cased) is at least
     similarity, by exact count. Candidates are pairs of which some lane of the fingerprint meets and whose whole
     fingerprints differ in at most shape.limit bits: pairs just at 0.8 are found with probability 0.95, closer ones
-    more surely. Texts with one fingerprint are compared with the least of them. key stands for the text; null texts
+    more surely. The nearest candidate of each is compared first; then all others that would join two groups. Texts
+    with one fingerprint are compared with the least of them. key stands for the text; null texts
     are empty; texts without words are alike; long texts are read whole. Rows of one text and id share their fate;
     null ids come last. An empty table gives no rows; other columns are ignored.
     """
@@ -340,23 +347,41 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shape:
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), plain_text(text_col).cast("binary").alias("data"))
     rows = materialise(whole.mapInArrow(run, "id long, key binary, fp binary"), "sketches")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    node = F.unhex(F.md5("fp"))
     texts = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min(order).alias("first")), "texts")
-    centres = materialise(texts.groupBy("fp").agg(F.min("key").alias("centre")), "centres")
-    met = links(centres.select("fp"), shape)
-    for side in ("a", "b"):
-        met = met.join(centres.select(F.col("fp").alias(side), F.col("centre").alias(f"key_{side}")), side)
-    alike = texts.join(centres, "fp").where(F.col("key") != F.col("centre")).select(F.col("key").alias("a"), F.col("centre").alias("b"))
-    pairs = materialise(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(alike), "candidates")
-    asked = if_small(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
-    held = whole.join(asked, "key", "left_semi").select("key", "data").dropDuplicates(["key"])
+    centres = materialise(texts.groupBy("fp").agg(F.min("key").alias("centre")).select("fp", node.alias("node"), "centre"), "centres")
+    texts = texts.select("key", "first", node.alias("node")).join(centres.select("node", "centre"), "node")
+    met = links(centres.select("fp"), shape).select(F.unhex(F.md5("a")).alias("a"), F.unhex(F.md5("b")).alias("b"), "apart")
+    # One row a fingerprint, however many it met (at most all its variants): the nearest first, the others after.
+    of = materialise(met.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("best"), F.collect_set("b").alias("others")), "candidates")
+    nodes = of.select(F.col("a").alias("node")).unionByName(of.select(F.explode("others").alias("node"))).distinct()
+    alike = texts.where(F.col("key") != F.col("centre")).select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    asked = nodes.join(centres, "node").select(F.col("centre").alias("key")).unionByName(alike.select(F.col("a").alias("key"))).unionByName(alike.select(F.col("b").alias("key")))
+    held = whole.join(if_small(asked.distinct(), "asked", 1 << 20), "key", "left_semi").select("key", "data").dropDuplicates(["key"])
     held = materialise(held.mapInArrow(sets, "key binary, shingles array<long>"), "shingles")
-    for side in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("key").alias(side), F.col("shingles").alias(f"of_{side}")), side)
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    either = F.size("of_a") + F.size("of_b") - both
-    linked = pairs.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
-    roots = connected_components(linked).select(F.col("node").alias("key"), "root")
-    texts = texts.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    by_node = centres.select("node", F.col("centre").alias("key")).join(held, "key").select(F.col("node").alias("key"), "shingles")
+
+    def similar(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(shingles.select(F.col("key").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        either = F.size("of_a") + F.size("of_b") - both
+        return pairs.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
+
+    sure = materialise(similar(of.select("a", F.col("best").alias("b")), by_node), "similar")
+    group = connected_components(sure)
+    mine = of.join(group.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    # Links inside a group add nothing; those between groups are all counted out.
+    reach = mine.select("root", F.explode("others").alias("b")).groupBy("b", "root").agg(F.count("*").alias("n"))
+    apart = reach.join(group.select(F.col("node").alias("b"), F.col("root").alias("home")), "b", "left").where(F.coalesce("home", "b") != F.col("root"))
+    apart = materialise(apart.select("b", "root"), "between")
+    rest = mine.select("a", "best", "root", F.explode("others").alias("b")).where("b <> best").join(apart, ["b", "root"], "left_semi")
+    linked = sure.unionByName(similar(rest.select("a", "b"), by_node))
+    roots = connected_components(linked)
+    same = materialise(similar(alike, held).select(F.col("a").alias("key")), "alike")
+    texts = texts.join(same.withColumn("alike", F.lit(True)), "key", "left")
+    texts = texts.withColumn("node", F.when((F.col("key") == F.col("centre")) | F.col("alike"), F.col("node")).otherwise(F.col("key")))
+    texts = texts.select("key", "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = texts.groupBy("root").agg(F.min("first").alias("best"))
     chosen = materialise(texts.join(best, "root").select("key", "best"), "chosen")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
