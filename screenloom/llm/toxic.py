@@ -22,9 +22,9 @@ TOKEN = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: A doc's features: hits by edits (0, 1, 2) in abuse, then in quotation; each as the bit length of its count.
 N_FEATURES = 6
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Words whose match, and words whose forms, a task remembers.
-REMEMBERED, FORMS_OF = 1 << 19, 1 << 16
+REMEMBERED, FORMS_OF = 1 << 19, 1 << 15
 #: Lengths of the word beginnings that are tried as stems.
 STEM = (4, 5, 6, 7)
 
