@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order_batches, materialise, pack_sorted, plain_text, unpack_sorted
+from .common import in_order_batches, pack_sorted, plain_text, unpack_sorted
 
 CELLS = 1 << 16
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -303,8 +303,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # Settled rows of each batch keep a key of their own; they'd else meet in one group.
     own = F.when(F.col("grp").isNull(), -1 - F.col("batch")).otherwise(F.col("grp"))
     settled = found.groupBy(own.alias("key")).applyInArrow(settle, "batch int, at binary, home binary, first binary")
-    settled = materialise(settled, "settled")
     asked = settled.where("home IS NOT NULL").groupBy("batch").applyInArrow(repeats, "home int, batch int, first binary, at binary, n binary")
     fetched = rows.groupBy("batch").cogroup(asked.groupBy("home")).applyInArrow(fetch, "batch int, at binary, home binary, first binary")
+    # One plan: the shuffles of texts and leaves are made once and read again.
     told = settled.where("home IS NULL").unionByName(fetched)
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cut, "id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
