@@ -22,7 +22,10 @@ SEED = 42
 TAG_BITS = 29
 #: Variants that a task holds at a time (17 MB an array); four times as many at most, on larger inputs.
 VARIANTS = 1 << 21
-CACHED_WORDS = 1 << 20
+#: Hashes of words that are remembered (more cost memory, and no less time).
+CACHED_WORDS = 1 << 16
+#: Bytes of text of the families that a task compares; a larger family is alone.
+BIN_BYTES = 4 << 20
 EMPTY = np.empty(0, np.uint64)
 
 
@@ -30,7 +33,7 @@ EMPTY = np.empty(0, np.uint64)
 class Shape:
     """A fingerprint is lanes of bits bits each; two meet if some lane differs in at most radius (even) bits.
 
-    limit: bits of the whole fingerprint that a pair may differ in; None if meeting is the link.
+    limit: bits of the whole fingerprint that a pair that meets may differ in; None if meeting is the link.
     """
 
     lanes: int = 1
@@ -152,46 +155,42 @@ def _member(wanted: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return at[wanted[np.minimum(np.searchsorted(wanted, tags[at]), len(wanted) - 1)] == tags[at]]
 
 
-def _stars(v: np.ndarray, who: np.ndarray, raw: list[bytes], limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between members (places in raw) that share a variant, and the bits their ends differ in (0 without a limit).
+def _united(v: np.ndarray, who: np.ndarray, raw: list[bytes], label: np.ndarray, limit: int | None) -> np.ndarray:
+    """The least label that each member (place in raw) reaches over links between members that share a variant.
 
-    Without a limit: each member and the least it reaches. With one, the members of a variant within limit of its
-    least member are linked to it; the others start over among themselves until none is left, so a group of copies is
-    compared with its centre only.
+    With a limit, linked members are also within limit bits. In each variant a member of the rarest label is compared
+    with all members of other labels and leaves, until one label is left: pairs of one label are connected already, and
+    no other pair goes without its comparison.
     """
-    n = len(raw)
-    order = np.lexsort((who, v))
-    v, who = v[order], who[order]
-    a, b = [], []
-    words = None if limit is None else np.frombuffer(b"".join(raw), np.uint64).reshape(n, -1)
+    n, size = len(raw), int(label.max(initial=-1)) + 1
+    if limit is None:
+        order = np.lexsort((who, v))
+        v, who = v[order], label[who[order]]
+        new = np.concatenate((v[:1] == v[:1], v[1:] != v[:-1]))
+        return least_reachable(size, who, who[np.flatnonzero(new)][np.cumsum(new) - 1])[label] if len(v) else label
+    words = np.frombuffer(b"".join(raw), np.uint64).reshape(n, -1)
     while len(v):
+        of = label[who]
+        order = np.lexsort((who, of, v))
+        v, who, of = v[order], who[order], of[order]
         new = np.concatenate(([True], v[1:] != v[:-1]))
-        centre = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        rest = ~new
-        x, c = who[rest], centre[rest]
-        pair, back = np.unique(x * n + c, return_inverse=True)
-        x, c = pair // n, pair % n
-        near = np.ones(len(pair), bool)
-        if words is not None:
-            for at in range(0, len(pair), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                near[part] = _apart(words, x[part], c[part]) <= limit
-        near &= x != c
-        a.append(x[near])
-        b.append(c[near])
-        if words is None:
-            break
-        left = ~near[back] & (x[back] != c[back])
-        v, who = v[rest][left], who[rest][left]
-    a, b = (np.concatenate([np.empty(0, np.int64), *p]) for p in (a, b))
-    if limit is None:
-        root = least_reachable(n, a, b)
-        a = np.flatnonzero(root != np.arange(n))
-        return a, root[a], np.zeros(len(a), np.int64)
-    pair = np.unique(a * n + b)
-    a, b = pair // n, pair % n
-    parts = [_apart(words, a[i : i + (1 << 16)], b[i : i + (1 << 16)]) for i in range(0, len(a), 1 << 16)]
-    return a, b, np.concatenate([np.empty(0, np.int64), *parts])
+        run = np.flatnonzero(new | np.concatenate(([True], of[1:] != of[:-1])))
+        variant, first = np.cumsum(new) - 1, np.cumsum(new)[run] - 1
+        open_ = np.bincount(first) > 1
+        length = np.diff(run, append=len(v))
+        ranked = np.lexsort((length, first))
+        centre = run[ranked[np.concatenate(([True], first[ranked][1:] != first[ranked][:-1]))]]
+        c = centre[variant]
+        asks = open_[variant] & (of != of[c])
+        pair = np.unique(np.minimum(who[asks], who[c[asks]]) * n + np.maximum(who[asks], who[c[asks]]))
+        a, b = pair // n, pair % n
+        parts = [_apart(words, a[i : i + (1 << 16)], b[i : i + (1 << 16)]) <= limit for i in range(0, len(pair), 1 << 16)]
+        near = np.concatenate([np.empty(0, bool), *parts])
+        label = least_reachable(size, label[a[near]], label[b[near]])[label]
+        stays = open_[variant]
+        stays[centre] = False
+        v, who = v[stays], who[stays]
+    return label
 
 
 def _apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,13 +198,14 @@ def _apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(fps: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b, apart) links between distinct fingerprints (column fp, binary); without a limit they connect all that meet.
+    """(a, b) links between distinct fingerprints (column fp, binary) that connect all that meet, within the limit if any.
 
     Every lane makes all variants within half the radius; two lanes are within the radius exactly if they share one.
     Owners of variant ranges first compare short tags, sent as sorted packed blobs, and tell each batch which tags
     met another batch's. Only those variants then travel whole to their owner, each once per local component (or,
-    with a limit, fingerprint). Owners link what shares a variant to the least member, so a group of any size makes
-    links in proportion to its members.
+    with a limit, fingerprint, which then names its local component). A batch links its members to the least of their
+    component, an owner links components to the least it connects: a group of any size makes links in proportion to
+    its members. With a limit the ends of a link are connected by pairs within it, and may differ in more bits.
     """
     if shape.radius % 2:
         raise ValueError("radius must be even")
@@ -242,15 +242,15 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         batches = np.array(t.column("batch").to_pylist())
         return pa.table({"batch": pa.array(batches[whose[at]] if len(at) else [], pa.int32()), "owner": pa.array([t.column("owner")[0].as_py()] * len(at), pa.int32()), "tags": pa.array([pack_sorted(x) for x in np.split(tag, at[1:])] if len(at) else [], pa.binary())})
 
-    def rows_of(a: list, b: list, apart: list, far: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
+    def rows_of(a: list, b: list, far: list[tuple[int, bytes, bytes, bytes, bytes]]) -> pa.Table:
         k, m = len(a), len(far)
-        cols = {"a": pa.array([*a, *[None] * m], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "apart": pa.array([*apart, *[None] * m], pa.int32()), "owner": pa.array([*[None] * k, *[f[0] for f in far]], pa.int32())}
-        return pa.table(cols | {c: pa.array([*[None] * k, *[f[i] for f in far]], pa.binary()) for i, c in ((1, "keys"), (2, "at"), (3, "fps"))})
+        cols = {"a": pa.array([*a, *[None] * m], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "owner": pa.array([*[None] * k, *[f[0] for f in far]], pa.int32())}
+        return pa.table(cols | {c: pa.array([*[None] * k, *[f[i] for f in far]], pa.binary()) for i, c in ((1, "keys"), (2, "at"), (3, "home"), (4, "fps"))})
 
     def answer(mine: pa.Table, told: pa.Table) -> pa.Table:
         raw = sorted(mine.column("fp").to_pylist())
         if not raw:
-            return rows_of([], [], [], [])
+            return rows_of([], [], [])
         values = shape.values(raw)
         tags = _tags(values, masks, shift)
         parts = [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
@@ -261,10 +261,9 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         met = np.zeros(len(pick), bool)
         met[_member(wanted, tags[pick])] = True
         v, who = values[pick // len(masks)] ^ masks[pick % len(masks)], pick // len(masks) % len(raw)
-        a, b, apart = _stars(v, who, raw, shape.limit)
+        root = _united(v, who, raw, np.arange(len(raw)), shape.limit)
+        a = np.flatnonzero(root != np.arange(len(raw)))
         if shape.limit is None:
-            root = np.arange(len(raw))
-            root[a] = b
             who = root[who]
         owner = (tags[pick] >> np.uint64(TAG_BITS)).astype(np.int64)[met]
         v, who = v[met], who[met]
@@ -276,26 +275,32 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         for i in np.split(np.arange(len(v)), np.flatnonzero(np.diff(owner)) + 1) if len(v) else []:
             own, at = np.unique(who[i], return_inverse=True)
             packed = zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").tobytes())
-            far.append((int(owner[i[0]]), pack_sorted(v[i]), packed, b"".join(raw[j] for j in own.tolist())))
-        return rows_of([raw[i] for i in a.tolist()], [raw[i] for i in b.tolist()], apart.tolist(), far)
+            far.append((int(owner[i[0]]), pack_sorted(v[i]), packed, root[own].astype("<u4").tobytes(), b"".join(raw[j] for j in own.tolist())))
+        return rows_of([raw[i] for i in a.tolist()], [raw[i] for i in root[a].tolist()], far)
 
     def settle(t: pa.Table) -> pa.Table:
-        v, at, blobs, n_before = [], [], [], 0
-        for keys, who, fps in zip(*(t.column(c).to_pylist() for c in ("keys", "at", "fps")), strict=True):
+        v, at, homes, blobs, n_before = [], [], [], [], 0
+        for k, (keys, who, home, fps) in enumerate(zip(*(t.column(c).to_pylist() for c in ("keys", "at", "home", "fps")), strict=True)):
             v.append(unpack_sorted(keys))
             at.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(who, max_output_size=4 * len(v[-1]) + 1), "<u4").astype(np.int64) + n_before)
+            homes.append(np.frombuffer(home, "<u4").astype(np.int64) + (k << 32))
             blobs += [fps[i : i + width] for i in range(0, len(fps), width)]
             n_before += len(fps) // width
-        raw = sorted(set(blobs))
-        place = {x: i for i, x in enumerate(raw)}
-        a, b, apart = _stars(np.concatenate(v), np.array([place[x] for x in blobs], np.int64)[np.concatenate(at)], raw, shape.limit)
-        return pa.table({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in b.tolist()], pa.binary()), "apart": pa.array(apart, pa.int32())})
+        # Members in ascending order, so the least stands for its component; each comes from one batch.
+        order = np.array(sorted(range(len(blobs)), key=blobs.__getitem__), np.int64)
+        raw, place = [blobs[i] for i in order.tolist()], np.empty(len(blobs), np.int64)
+        place[order] = np.arange(len(blobs))
+        _, first, label = np.unique(np.concatenate(homes)[order], return_index=True, return_inverse=True)
+        label = first[label]
+        root = _united(np.concatenate(v), place[np.concatenate(at)], raw, label, shape.limit)
+        a = np.flatnonzero((label == np.arange(len(raw))) & (root != label))
+        return pa.table({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in root[a].tolist()], pa.binary())})
 
     sent = rows.groupBy("batch").applyInArrow(emit, "owner int, batch int, tags binary")
     told = sent.groupBy("owner").applyInArrow(meet, "batch int, owner int, tags binary")
-    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "a binary, b binary, apart int, owner int, keys binary, at binary, fps binary"), "variants")
-    across = found.where("owner IS NOT NULL").groupBy("owner").applyInArrow(settle, "a binary, b binary, apart int")
-    return found.where("owner IS NULL").select("a", "b", "apart").unionByName(across).distinct()
+    found = materialise(rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, "a binary, b binary, owner int, keys binary, at binary, home binary, fps binary"), "variants")
+    across = found.where("owner IS NOT NULL").groupBy("owner").applyInArrow(settle, "a binary, b binary")
+    return found.where("owner IS NULL").select("a", "b").unionByName(across).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,69 +324,102 @@ def text_key(text_col: str = "text") -> Column:
     return F.unhex(F.md5(plain_text(text_col).cast("binary")))
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shape: Shape = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _least_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The least place that each set reaches over links of Jaccard similarity or more; empty sets are alike.
+
+    A set of the rarest label is compared with all sets of other labels and leaves, until one label is left.
+    """
+    n = len(sets)
+    label, sizes = np.arange(n), np.array([len(x) for x in sets], np.int64)
+    label[sizes == 0] = np.flatnonzero(sizes == 0).min(initial=n)
+    live = np.flatnonzero(sizes)
+    if len(live) < 2:
+        return label
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    held = np.bincount(flat)
+    # The most typical sets first: as centres they settle most of a group.
+    live = live[np.argsort([-held[flat[start[i] : start[i + 1]]].mean() for i in live.tolist()], kind="stable")]
+    mark = np.zeros(len(held), np.uint8)
+    of, entries, at = np.empty(0, np.int64), flat, start[:-1]
+    while len(live) > 1:
+        if 2 * len(live) < len(of) or not len(of):
+            of = np.sort(live)
+            entries = np.concatenate([flat[start[i] : start[i + 1]] for i in of.tolist()])
+            at = np.concatenate(([0], np.cumsum(sizes[of])[:-1]))
+        many = np.bincount(label[live], minlength=n)[label[live]]
+        if many[0] == len(live):
+            break
+        k = int(np.argmin(many))
+        c = int(live[k])
+        live = np.delete(live, k)
+        own = flat[start[c] : start[c + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[entries], at, dtype=np.int64)
+        mark[own] = 0
+        near = of[both >= similarity * (sizes[of] + sizes[c] - both)]
+        met = np.unique(label[near])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shape: Shape = SIMILAR, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, most_bytes: int = 24 << 20) -> DataFrame:
     """One row per document: (id, key, component, kept); a component's document of least id (then key) is kept.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles (A-Z lower-cased) is at least
-    similarity, by exact count. Candidates are pairs of which some lane of the fingerprint meets and whose whole
-    fingerprints differ in at most shape.limit bits: pairs just at 0.8 are found with probability 0.95, closer ones
-    more surely. The nearest candidate of each is compared first; then all others that would join two groups. Texts
-    with one fingerprint are compared with the least of them. key stands for the text; null texts
-    are empty; texts without words are alike; long texts are read whole. Rows of one text and id share their fate;
-    null ids come last. An empty table gives no rows; other columns are ignored.
+    similarity, by exact count. A family is what is connected by pairs of which some lane of the fingerprint meets and
+    whose whole fingerprints differ in at most shape.limit bits: pairs just at 0.8 are found with probability 0.95,
+    closer ones more surely, and those that others connect always. One task holds a family and compares its texts until
+    no pair is open. A family of more than most texts or most_bytes is dealt into parts, and each two parts are held by
+    a task. key stands for the text; null texts are empty; texts without words are alike; long texts are read whole.
+    Rows of one text and id share their fate; null ids come last. An empty table gives no rows; other columns are
+    ignored.
     """
     bits = shape.lanes * shape.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for b in batches:
-            fps = [sketch(shingles.of(x), bits) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["id", "key", "fp"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        for b in batches:
-            found = [shingles.of(x).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "shingles"])
+            texts = b.column(2).to_pylist()
+            fps = [sketch(shingles.of(x), bits) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], names=["id", "key", "fp", "bytes"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        shingles, a, b = Shingles(width), [], []
+        units = np.array(t.column("unit").to_pylist(), np.int64)
+        keys, data = t.column("key").to_pylist(), t.column("data").to_pylist()
+        order = np.argsort(units, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(units[order])) + 1):
+            root = _least_similar([shingles.of(data[i]) for i in part.tolist()], similarity)
+            moved = np.flatnonzero(root != np.arange(len(part)))
+            a += [keys[i] for i in part[moved].tolist()]
+            b += [keys[i] for i in part[root[moved]].tolist()]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), plain_text(text_col).cast("binary").alias("data"))
-    rows = materialise(whole.mapInArrow(run, "id long, key binary, fp binary"), "sketches")
+    rows = materialise(whole.mapInArrow(run, "id long, key binary, fp binary, bytes long"), "sketches")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     node = F.unhex(F.md5("fp"))
-    texts = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min(order).alias("first")), "texts")
-    centres = materialise(texts.groupBy("fp").agg(F.min("key").alias("centre")).select("fp", node.alias("node"), "centre"), "centres")
-    texts = texts.select("key", "first", node.alias("node")).join(centres.select("node", "centre"), "node")
-    met = links(centres.select("fp"), shape).select(F.unhex(F.md5("a")).alias("a"), F.unhex(F.md5("b")).alias("b"), "apart")
-    # One row a fingerprint, however many it met (at most all its variants): the nearest first, the others after.
-    of = materialise(met.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("best"), F.collect_set("b").alias("others")), "candidates")
-    nodes = of.select(F.col("a").alias("node")).unionByName(of.select(F.explode("others").alias("node"))).distinct()
-    alike = texts.where(F.col("key") != F.col("centre")).select(F.col("key").alias("a"), F.col("centre").alias("b"))
-    asked = nodes.join(centres, "node").select(F.col("centre").alias("key")).unionByName(alike.select(F.col("a").alias("key"))).unionByName(alike.select(F.col("b").alias("key")))
-    held = whole.join(if_small(asked.distinct(), "asked", 1 << 20), "key", "left_semi").select("key", "data").dropDuplicates(["key"])
-    held = materialise(held.mapInArrow(sets, "key binary, shingles array<long>"), "shingles")
-    by_node = centres.select("node", F.col("centre").alias("key")).join(held, "key").select(F.col("node").alias("key"), "shingles")
-
-    def similar(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(shingles.select(F.col("key").alias(side), F.col("shingles").alias(f"of_{side}")), side)
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        either = F.size("of_a") + F.size("of_b") - both
-        return pairs.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
-
-    sure = materialise(similar(of.select("a", F.col("best").alias("b")), by_node), "similar")
-    group = connected_components(sure)
-    mine = of.join(group.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    # Links inside a group add nothing; those between groups are all counted out.
-    reach = mine.select("root", F.explode("others").alias("b")).groupBy("b", "root").agg(F.count("*").alias("n"))
-    apart = reach.join(group.select(F.col("node").alias("b"), F.col("root").alias("home")), "b", "left").where(F.coalesce("home", "b") != F.col("root"))
-    apart = materialise(apart.select("b", "root"), "between")
-    rest = mine.select("a", "best", "root", F.explode("others").alias("b")).where("b <> best").join(apart, ["b", "root"], "left_semi")
-    linked = sure.unionByName(similar(rest.select("a", "b"), by_node))
-    roots = connected_components(linked)
-    same = materialise(similar(alike, held).select(F.col("a").alias("key")), "alike")
-    texts = texts.join(same.withColumn("alike", F.lit(True)), "key", "left")
-    texts = texts.withColumn("node", F.when((F.col("key") == F.col("centre")) | F.col("alike"), F.col("node")).otherwise(F.col("key")))
-    texts = texts.select("key", "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = materialise(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bytes").alias("bytes"), F.min(order).alias("first")), "texts")
+    nodes = materialise(texts.groupBy("fp").agg(F.count("*").alias("n")).select("fp", node.alias("node"), "n"), "nodes")
+    met = links(nodes.select("fp"), shape).select(F.unhex(F.md5("a")).alias("a"), F.unhex(F.md5("b")).alias("b"))
+    family = nodes.join(connected_components(met), "node", "left").where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("family"))
+    mates = materialise(texts.select("key", "bytes", node.alias("node")).join(family, "node").select("key", "bytes", "family"), "families")
+    total = mates.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    large = total.where((F.col("n") > most) | (F.col("bytes") > most_bytes))
+    halves = F.ceil(F.greatest(2 * F.col("n") / most, 2 * F.col("bytes") / most_bytes)).cast("int")
+    mates = mates.join(if_small(large.select("family", halves.alias("parts")), "large"), "family", "left")
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.when(i != own, F.xxhash64("family", F.least(i, own.cast("int")), F.greatest(i, own.cast("int")))))
+    mates = materialise(mates.select("key", "bytes", F.when(F.col("parts").isNull(), F.array(F.xxhash64("family"))).otherwise(F.array_compact(pairs)).alias("units")), "units")
+    held = mates.agg(F.sum(F.col("bytes") * F.size("units")).alias("bytes")).first()["bytes"] or 0
+    n_bins = max(1, -(-held // BIN_BYTES))
+    found = whole.select("key", "data").join(if_small(mates.select("key", "units"), "asked", 1 << 19), "key").dropDuplicates(["key"])
+    found = found.select("key", "data", F.explode("units").alias("unit")).withColumn("bin", F.pmod("unit", F.lit(n_bins)).cast("int"))
+    linked = found.repartition(n_bins, "bin").groupBy("bin").applyInArrow(compare, "a binary, b binary")
+    roots = connected_components(linked).select(F.col("node").alias("key"), "root")
+    texts = texts.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = texts.groupBy("root").agg(F.min("first").alias("best"))
     chosen = materialise(texts.join(best, "root").select("key", "best"), "chosen")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))

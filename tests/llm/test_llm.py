@@ -114,6 +114,45 @@ def test_near_copies_match_exact_jaccard(spark):
     assert sum(r["kept"] for r in got) == len(set(root.values())) + 1
 
 
+def least_linked(n, linked):
+    """For each of n places the least place it reaches, by trying every pair."""
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if root[i] != root[j] and linked(i, j):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("variants", [1 << 14, 1 << 21])
+def test_large_families_make_few_links_and_lose_none(spark, monkeypatch, variants):
+    """Texts close to the threshold, most pairs of them under it: few rows, whatever meets; the groups of brute force."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{x}" for x in rng.integers(0, 4000, 150)], []
+    for i in range(500):
+        other = list(base)
+        for at in rng.choice(150, rng.integers(1, 7), replace=False):
+            other[at] = f"new{rng.integers(0, 1000)}"
+        rows.append((i, " ".join(other)))
+    monkeypatch.setattr(simhash, "VARIANTS", variants)
+    shape, shingles = simhash.SIMILAR, simhash.Shingles(5)
+    fps = sorted({simhash.sketch(shingles.of(t.encode()), shape.lanes * shape.bits) for _, t in rows})
+    lanes = np.array([np.frombuffer(f, ">u4") for f in fps])
+    bits = np.bitwise_count(lanes[:, None, :] ^ lanes[None, :, :])
+    met = (bits.min(axis=2) <= shape.radius) & (bits.sum(axis=2, dtype=np.int64) <= shape.limit)
+    found = simhash.links(spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary"), shape).collect()
+    place = {f: i for i, f in enumerate(fps)}
+    pairs = {tuple(sorted((place[bytes(r["a"])], place[bytes(r["b"])]))) for r in found}
+    assert len(found) < 2 * len(fps)
+    assert least_linked(len(fps), lambda i, j: (j, i) in pairs) == least_linked(len(fps), lambda i, j: met[i, j])
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    want = least_linked(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    for most in (4096, 128):
+        got = simhash.near_copies(docs(spark, rows), most=most).collect()
+        assert [r["component"] for r in sorted(got, key=lambda r: r["id"])] == want
+
+
 def simhash_key(text):
     return bytearray(hashlib.md5((text or "").encode()).digest())
 
