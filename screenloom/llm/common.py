@@ -54,8 +54,13 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return bytes([width]) + len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
+def packed_count(blob: bytes) -> int:
+    """How many values pack_sorted put into blob."""
+    return int.from_bytes(blob[1:9], "little")
+
+
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    width, n = blob[0], packed_count(blob)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9:], max_output_size=width * n + 1), dtype=np.uint8)
     out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = planes.reshape(width, n).T

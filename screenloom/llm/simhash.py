@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, pack_sorted, plain_text, unpack_sorted
+from .common import if_small, materialise, pack_sorted, packed_count, plain_text, unpack_sorted
 from .graph import connected_components, least_reachable
 
 SEED = 42
@@ -22,6 +22,8 @@ SEED = 42
 TAG_BITS = 29
 #: Variants that a task holds at a time (17 MB an array); four times as many at most, on larger inputs.
 VARIANTS = 1 << 21
+#: Values that are compared at a time where whole arrays of them would need copies.
+BLOCK = 1 << 16
 #: Hashes of words that are remembered (more cost memory, and no less time).
 CACHED_WORDS = 1 << 16
 #: Bytes of text of the families that a task compares; a larger family is alone.
@@ -151,10 +153,16 @@ def _member(wanted: np.ndarray, tags: np.ndarray) -> np.ndarray:
     low = np.uint64((1 << 22) - 1)
     there = np.zeros(1 << 22, bool)
     there[wanted & low] = True
-    at = np.flatnonzero(there[tags & low])
+    at = np.concatenate([np.flatnonzero(there[tags[i : i + BLOCK] & low]) + i for i in range(0, len(tags), BLOCK)] or [np.empty(0, np.int64)])
     return at[wanted[np.minimum(np.searchsorted(wanted, tags[at]), len(wanted) - 1)] == tags[at]]
 
 
+def _repeated(ranked: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Places of an ascending array whose value, without its low shift bits, equals the one before."""
+    parts = [np.flatnonzero((ranked[i : i + BLOCK] ^ ranked[i - 1 : i + BLOCK - 1][: len(ranked) - i]) >> np.uint64(shift) == 0) + i for i in range(1, len(ranked), BLOCK)]
+    return np.concatenate(parts or [np.empty(0, np.int64)])
+
+
 def _united(v: np.ndarray, who: np.ndarray, raw: list[bytes], label: np.ndarray, limit: int | None) -> np.ndarray:
     """The least label that each member (place in raw) reaches over links between members that share a variant.
 
@@ -219,23 +227,32 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
     rows = fps.select(F.pmod(F.xxhash64("fp"), F.lit(n_batches)).cast("int").alias("batch"), "fp").repartition(n_batches, "batch")
 
     def emit(t: pa.Table) -> pa.Table:
-        tags = np.sort(_tags(shape.values(t.column("fp").to_pylist()), masks, shift))
-        tags = tags[np.concatenate(([True], tags[1:] != tags[:-1]))]
+        tags = _tags(shape.values(t.column("fp").to_pylist()), masks, shift)
+        tags.sort()
         edges = np.arange((1 << owner_bits) + 1, dtype=np.uint64) << np.uint64(TAG_BITS)
         cut = np.searchsorted(tags, edges)
         owner = np.flatnonzero(np.diff(cut))
-        parts = [tags[cut[o] : cut[o + 1]] & np.uint64((1 << TAG_BITS) - 1) for o in owner.tolist()]
+        # One owner's tags at a time: the task holds one array of all variants.
+        blobs = []
+        for o in owner.tolist():
+            own = tags[cut[o] : cut[o + 1]]
+            blobs.append(pack_sorted(own[np.concatenate(([True], own[1:] != own[:-1]))] & np.uint64((1 << TAG_BITS) - 1)))
         k = len(owner)
-        return pa.table({"owner": pa.array(owner, pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * k, pa.int32()), "tags": pa.array([pack_sorted(x) for x in parts], pa.binary())})
+        return pa.table({"owner": pa.array(owner, pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * k, pa.int32()), "tags": pa.array(blobs, pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
-        each = [unpack_sorted(x) for x in t.column("tags").to_pylist()]
-        whose = np.repeat(np.arange(len(each), dtype=np.uint64), [len(x) for x in each])
-        key = np.sort((np.concatenate(each) << np.uint64(64 - TAG_BITS)) | whose)
-        tag = key >> np.uint64(64 - TAG_BITS)
-        same = np.concatenate(([False], tag[1:] == tag[:-1], [False]))
-        hit = same[1:] | same[:-1]
-        tag, whose = tag[hit], (key[hit] & np.uint64((1 << (64 - TAG_BITS)) - 1)).astype(np.int64)
+        blobs, low = t.column("tags").to_pylist(), np.uint64(64 - TAG_BITS)
+        key, n = np.empty(sum(map(packed_count, blobs)), np.uint64), 0
+        for i, x in enumerate(blobs):
+            own = unpack_sorted(x)
+            key[n : n + len(own)] = (own << low) | np.uint64(i)
+            n += len(own)
+        key.sort()
+        same = _repeated(key, 64 - TAG_BITS)
+        hit = np.zeros(len(key), bool)
+        hit[same] = hit[same - 1] = True
+        key = key[hit]
+        tag, whose = key >> low, (key & np.uint64((1 << (64 - TAG_BITS)) - 1)).astype(np.int64)
         order = np.argsort(whose, kind="stable")
         tag, whose = tag[order], whose[order]
         at = np.flatnonzero(np.diff(whose, prepend=-1))
@@ -256,7 +273,8 @@ def links(fps: DataFrame, shape: Shape) -> DataFrame:
         parts = [unpack_sorted(x) + (np.uint64(o) << np.uint64(TAG_BITS)) for o, x in zip(told.column("owner").to_pylist(), told.column("tags").to_pylist(), strict=True)]
         wanted = np.sort(np.concatenate([EMPTY, *parts]))
         ranked = np.sort(tags)
-        local = ranked[1:][ranked[1:] == ranked[:-1]]
+        local = ranked[_repeated(ranked)]
+        del ranked
         pick = _member(np.unique(np.concatenate((wanted, local))), tags)
         met = np.zeros(len(pick), bool)
         met[_member(wanted, tags[pick])] = True

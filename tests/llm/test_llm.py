@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tracemalloc
+from unittest.mock import MagicMock
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -91,6 +94,48 @@ def test_links_of_tight_clusters_grow_with_their_members(spark):
     assert max(found) < 2
 
 
+def test_tasks_of_links_hold_few_arrays_of_variants(monkeypatch):
+    tasks, frame = [], MagicMock()
+    frame.count.return_value = n = 235_748
+    for way in ("select", "repartition", "groupBy", "cogroup", "where"):
+        getattr(frame, way).return_value = frame
+    frame.applyInArrow.side_effect = lambda f, schema: tasks.append(f) or frame
+    monkeypatch.setattr(simhash, "F", MagicMock())
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: df)
+    simhash.links(frame, simhash.Shape())
+    emit, meet, answer, _ = tasks
+
+    def peak(task, *tables):
+        tracemalloc.start()
+        try:
+            out = task(*tables)
+            return out, tracemalloc.get_traced_memory()[1] / (8 * simhash.VARIANTS)
+        finally:
+            tracemalloc.stop()
+
+    n_batches = -(-n * 2081 // simhash.VARIANTS)
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2**64, n // n_batches, dtype=np.uint64)
+    fps[:20] = fps[20:40] ^ np.uint64(1 << 7)
+    mine = pa.table({"batch": pa.array([5] * len(fps), pa.int32()), "fp": pa.array([int(x).to_bytes(8, "big") for x in fps], pa.binary())})
+    sent, emitting = peak(emit, mine)
+    owner_bits = n_batches.bit_length()
+    tags = np.unique(simhash._tags(fps, simhash.Shape().masks, 64 - owner_bits - simhash.TAG_BITS))
+    got = [simhash.unpack_sorted(x) + np.uint64(o << simhash.TAG_BITS) for o, x in zip(sent.column("owner").to_pylist(), sent.column("tags").to_pylist(), strict=True)]
+    assert np.array_equal(np.concatenate(got), tags)
+    batches = [b for b in range(n_batches) if b != 5]
+    others = [simhash.pack_sorted(np.unique(rng.integers(0, 1 << simhash.TAG_BITS, 8192, dtype=np.uint64))) for _ in batches]
+    blobs = [sent.column("tags")[0].as_py(), *others]
+    of_owner = pa.table({"owner": pa.array([0] * len(blobs), pa.int32()), "batch": pa.array([5, *batches], pa.int32()), "tags": pa.array(blobs, pa.binary())})
+    told, meeting = peak(meet, of_owner)
+    times = np.unique(np.concatenate([simhash.unpack_sorted(x) for x in blobs]), return_counts=True)
+    shared = times[0][times[1] > 1]
+    assert {b: simhash.unpack_sorted(x).tolist() for b, x in zip(told.column("batch").to_pylist(), told.column("tags").to_pylist(), strict=True)} == {b: y for b, x in zip([5, *batches], blobs, strict=True) if (y := np.intersect1d(simhash.unpack_sorted(x), shared).tolist())}
+    found, answering = peak(answer, mine, told.slice(0, 1))
+    assert len({frozenset(x) for x in zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True) if x[0]}) == 20
+    assert max(emitting, meeting, answering) < 2.25
+
+
 def test_near_copies_match_exact_jaccard(spark):
     rng = np.random.default_rng(11)
     rows, base = [], [[f"w{x}" for x in rng.integers(0, 4000, 120)] for _ in range(60)]
