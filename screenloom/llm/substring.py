@@ -2,8 +2,8 @@
 
 The suffixes of all documents, cut at the window length, are split by variable-length prefixes into groups that fit
 one task: the first word, and for common first words the whole window. Each batch of documents sorts its suffixes by
-prefix doubling over its own exact word numbers; suffixes that agree in a full window are the leaves of one deep
-internal node. A group merges the nodes of all batches: 32-bit edge tags first find nodes with leaves in more than one
+prefix doubling over its own exact word numbers (those whose window shares its hash with another; the rest repeat
+nothing); suffixes that agree in a full window are the leaves of one deep internal node. A group merges the nodes of all batches: 32-bit edge tags first find nodes with leaves in more than one
 batch, then one leaf a batch and node travels with a 128-bit key. The first leaf of a node stays and the others are
 repeats. Neighbouring repeats with neighbouring first leaves join into maximal repeats, whose words are fetched from
 where the first leaf lies and compared before anything goes.
@@ -11,7 +11,9 @@ where the first leaf lies and compared before anything goes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count as numbers_from
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +25,16 @@ from pyspark.sql import functions as F
 from .common import in_order_batches, pack_sorted, plain_text, unpack_sorted
 
 CELLS = 1 << 16
+#: Different words that a task counts before it adds their counts up.
+HELD_WORDS = 1 << 16
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 EMPTY_U64 = np.empty(0, np.uint64)
 
 
-class WordKeys(dict):
-    """word -> place of its 128-bit key."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.low: list[int] = []
-        self.high: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_128_intdigest(word)
-        self.low.append(h & 0xFFFFFFFFFFFFFFFF)
-        self.high.append(h >> 64)
-        self[word] = at = len(self)
-        return at
+def _word_keys(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the words' 128-bit keys, (low, high)."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return halves[:, 1], halves[:, 0]
 
 
 def _rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -75,9 +69,9 @@ class Batch:
         self.sizes = np.array(sizes, dtype=np.int64)
 
     def hash(self, window: int) -> Batch:
-        keys = WordKeys()
-        at = np.fromiter(map(keys.__getitem__, self.words), np.int64, len(self.words))
-        low, high = np.array(keys.low, np.uint64)[at], np.array(keys.high, np.uint64)[at]
+        number = defaultdict(numbers_from().__next__)
+        at = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        low, high = (x[at] for x in _word_keys(number))
         n = len(low)
         left = np.repeat(self.ends, self.sizes) - np.arange(n)
         self.starts = np.flatnonzero(left >= window)
@@ -90,19 +84,36 @@ class Batch:
         self.numbers = at
         return self
 
-    def node_of(self, window: int) -> np.ndarray:
-        """For each suffix in starts the rank of its first window words among all suffixes, by prefix doubling (exact)."""
-        if not len(self.starts):
-            return np.empty(0, np.int64)
-        rank, width, out, done = self.numbers, 1, None, 0
+    def repeated(self, window: int) -> np.ndarray:
+        """For each suffix in starts whether its first window words also start earlier in the batch, by prefix doubling (exact).
+
+        Suffixes whose key no other has cannot share a node and are not doubled.
+        """
+        out = np.zeros(len(self.starts), bool)
+        ranked = np.sort(self.low)
+        shared = ranked[1:][ranked[1:] == ranked[:-1]]
+        if not len(shared):
+            return out
+        asked = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, self.low), len(shared) - 1)] == self.low)
+        # The words that their windows cover, each window in one piece.
+        edge = np.zeros(len(self.numbers) + 1, np.int64)
+        np.add.at(edge, self.starts[asked], 1)
+        np.add.at(edge, self.starts[asked] + window, -1)
+        covered = np.cumsum(edge)[:-1] > 0
+        starts = (np.cumsum(covered) - 1)[self.starts[asked]]
+        rank, width, node, done = self.numbers[covered], 1, None, 0
         while True:
             if window & width:
-                out = rank if out is None else _paired(out, rank[done:])
+                node = rank if node is None else _paired(node, rank[done:])
                 done += width
             if 2 * width > window:
-                return out[self.starts]
+                break
             rank = _paired(rank, rank[width:])
             width *= 2
+        # The suffixes of a node in order of their place: the first is its leaf here, the others repeat it.
+        out[asked] = True
+        out[asked[np.unique(node[starts], return_index=True)[1]]] = False
+        return out
 
     def keys(self, groups: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """group << 32 | tag of every window."""
@@ -119,13 +130,18 @@ def suffix_groups(docs: DataFrame, text_col: str, capacity: int) -> tuple[np.nda
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total, held = np.zeros(CELLS, np.int64), Counter()
+
+        def settle() -> None:
+            np.add.at(total, (_word_keys(held)[0] >> np.uint64(48)).astype(np.int64), np.fromiter(held.values(), np.int64, len(held)))
+            held.clear()
+
         for b in batches:
             for data in b.column(0).to_pylist():
-                keys = WordKeys()
-                at = np.fromiter(map(keys.__getitem__, data.split()), np.int64)
-                if len(at):
-                    total += np.bincount(np.array(keys.low, np.uint64)[at] >> np.uint64(48), minlength=CELLS)
+                held.update(data.split())
+                if len(held) > HELD_WORDS:
+                    settle()
+        settle()
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit], pa.int64())], names=["cell", "n"])
 
@@ -180,7 +196,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     low32 = np.uint64(0xFFFFFFFF)
 
     def tags(t: pa.Table) -> pa.Table:
-        keys = np.unique(Batch(t).hash(window).keys(groups))
+        # Sorted, not np.unique: that goes through a table of hashes, which takes many times as long here.
+        keys = np.sort(Batch(t).hash(window).keys(groups))
+        keys = keys[np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1]))]
         owner, at = _split(keys)
         blobs = [pack_sorted(keys[i] & low32) for i in at]
         return pa.table({"grp": pa.array(owner, pa.int64()), "batch": pa.array([t.column("batch")[0].as_py()] * len(owner), pa.int32()), "blob": pa.array(blobs, pa.binary())})
@@ -201,16 +219,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         out: list[tuple[int | None, bytes, bytes]] = []
         if mine.num_rows:
             b = Batch(mine).hash(window)
-            keys, node = b.keys(groups), b.node_of(window)
+            keys, later = b.keys(groups), b.repeated(window)
             wanted = np.sort(np.concatenate([EMPTY_U64, *(unpack_sorted(x) | (np.uint64(g) << np.uint64(32)) for g, x in zip(told.column("grp").to_pylist(), told.column("blob").to_pylist(), strict=True))]))
             met = np.zeros(len(keys), bool)
             if len(wanted):
                 met = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-            # The suffixes of a node in order of their place: the first is its leaf here, the others repeat it.
-            first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True
-            out.append((None, pack_sorted(b.starts[~first].astype(np.uint64)), b""))
-            at = np.flatnonzero(first & met)
+            out.append((None, pack_sorted(b.starts[later].astype(np.uint64)), b""))
+            at = np.flatnonzero(met & ~later)
             at = at[np.argsort(keys[at], kind="stable")]
             for g, i in zip(*_split(keys[at]), strict=True):
                 i = np.sort(at[i])

@@ -420,6 +420,35 @@ def test_tiling_matches_brute_force(spark):
             assert c["item_id"] == min((i for i in ids if i is not None), default=None)
 
 
+def test_substring_doubles_only_suffixes_that_may_repeat(monkeypatch):
+    tasks, frame, doubled = [], MagicMock(), []
+    for way in ("groupBy", "cogroup", "where", "unionByName"):
+        getattr(frame, way).return_value = frame
+    frame.applyInArrow.side_effect = lambda f, schema: tasks.append(f) or frame
+    monkeypatch.setattr(substring, "F", MagicMock())
+    monkeypatch.setattr(substring, "suffix_groups", lambda *_: (np.zeros(substring.CELLS, np.uint64), np.ones(substring.CELLS, np.uint64)))
+    monkeypatch.setattr(substring, "in_order_batches", lambda *_: frame)
+    paired = substring._paired
+    monkeypatch.setattr(substring, "_paired", lambda a, b: doubled.append(len(a)) or paired(a, b))
+    substring.remove_repeats(frame)
+    leaves = tasks[2]
+    words = [str(i % 97 * 1000 + i % 89) for i in range(8000)]
+    words[5000:5030] = words[100:130]
+    words[7000:7030] = ["again"] * 30
+    mine = pa.table({"batch": pa.array([0, 0], pa.int32()), "id": pa.array([1, 2], pa.int64()), "data": pa.array([" ".join(x).encode() for x in (words[:6000], words[6000:])], pa.binary())})
+    told = pa.table({"grp": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+    found = leaves(mine, told)
+    assert found.column("grp").to_pylist() == [None]
+    seen, want = set(), []
+    for at in range(len(words) - 19):
+        if not 6000 - 20 < at < 6000:
+            own = tuple(words[at : at + 20])
+            want += [at] * (own in seen)
+            seen.add(own)
+    assert simhash.unpack_sorted(found.column("at")[0].as_py()).tolist() == want and len(want) == 21
+    assert max(doubled) < 200
+
+
 def test_substring_over_many_batches_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     passage = [f"p{i}" for i in range(70)]
