@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..sources.store import written
 
 MAX_GENES, COVARIANCE_GENES = 100_000, 15_000
-MAX_POINTS = 2_000_000
+#: Nearest neighbours: so many blocks if these have BLOCK_ROWS points, bytes of vectors in a block and in a group of blocks
+#: at most, queries and points multiplied at a time, pairs measured at a time.
+BLOCKS, BLOCK_ROWS, BLOCK_BYTES, GROUP_BYTES = 48, 1024, 1 << 22, 1 << 25
+QUERIES, POINTS, MEASURED = 256, 2048, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -192,43 +194,122 @@ def pca(x: DataFrame, obs: DataFrame, var: DataFrame, n_comps: int = 50, highly_
     return Pca(scores, table, values, values / total if total > 0 else values)
 
 
+def _blocks(points: DataFrame) -> tuple[DataFrame, int, int]:
+    """(block int, ids binary, vecs binary) of about equal numbers of points, written, how many blocks, and how many make a
+    group; ids ascend in each block."""
+    first = points.select(F.size("vec").alias("dim")).first()
+    n, dim = points.count(), first["dim"] if first else 1
+    wide = 8 * max(dim, 1)
+    rows = max(1, min(max(-(-n // BLOCKS), BLOCK_ROWS), BLOCK_BYTES // wide))
+    n_blocks = max(1, -(-n // rows))
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in parts if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).sort_by("cell_id")
+            block, ids = t.column("block")[0].as_py(), t.column("cell_id").to_numpy().astype(np.int64)
+            vecs = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vecs.tobytes()], pa.binary())], names=["block", "ids", "vecs"])
+
+    dealt = points.select("cell_id", "vec").repartition(n_blocks).select(F.spark_partition_id().alias("block"), "cell_id", "vec")
+    return written(dealt.mapInArrow(pack, "block int, ids binary, vecs binary"), "blocks"), n_blocks, max(1, GROUP_BYTES // (wide * rows))
+
+
+def _best(k: int, row: np.ndarray, dst: np.ndarray, d: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places of the k first of every row: its own point, then by distance and id."""
+    order = np.lexsort((dst, d, ~own, row))
+    r = row[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return order[nth < k]
+
+
+def _measured(vecs: np.ndarray) -> np.ndarray:
+    """The vectors with their squared norm as one more number."""
+    return np.column_stack((vecs, (vecs * vecs).sum(axis=1)))
+
+
+class _Nearest:
+    """The k nearest of some queries among the points met so far; only points that may be among them are measured exactly."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k, self.norm = ids, vecs, k, (vecs * vecs).sum(axis=1)
+        self.row, self.dst, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        # A squared distance that no further point may exceed.
+        self.limit = np.full(len(ids), np.inf)
+        # Twice the most that rounding can move a squared distance, as a share of the two squared norms.
+        self.slack = 8 * (vecs.shape[1] + 5) * np.finfo(float).eps
+        # Times _measured points: squared distances less the query's squared norm and what rounding may have added.
+        self.times = np.column_stack((-2 * vecs, np.full(len(ids), 1 - self.slack)))
+
+    def meet(self, ids: np.ndarray, points: np.ndarray, held: np.ndarray) -> None:
+        """ids ascend; points are _measured, held has room for the products. What is not a number leaves nothing out."""
+        rough = np.matmul(self.times, points.T, out=held[: len(self.ids) * len(ids)].reshape(len(self.ids), len(ids)))
+        if np.isinf(self.limit).any() and len(ids) > self.k:
+            upper = np.partition(rough + 2 * self.slack * points[:, -1], self.k - 1, axis=1)[:, self.k - 1]
+            self.limit = np.fmin(self.limit, upper + self.norm * (1 + self.slack))
+        near = rough > (self.limit - self.norm * (1 - self.slack))[:, None]
+        np.logical_not(near, out=near)
+        low, high = np.searchsorted(ids, self.ids), np.searchsorted(ids, self.ids, "right")
+        for i in np.flatnonzero(high > low):
+            near[i, low[i] : high[i]] = True
+        at = np.flatnonzero(near)
+        for i in range(0, len(at), MEASURED):
+            r, c = np.divmod(at[i : i + MEASURED], len(ids))
+            d = np.sqrt(((points[c, :-1] - self.q[r]) ** 2).sum(axis=1))
+            r, dst, d = np.concatenate((self.row, r)), np.concatenate((self.dst, ids[c])), np.concatenate((self.d, d))
+            best = _best(self.k, r, dst, d, dst == self.ids[r])
+            self.row, self.dst, self.d = r[best], dst[best], d[best]
+        if len(at):
+            full = np.bincount(self.row, minlength=len(self.ids)) >= self.k
+            far = np.full(len(self.ids), -np.inf)
+            np.maximum.at(far, self.row, self.d)
+            self.limit = np.where(full, far * far * (1 + 8 * np.finfo(float).eps), self.limit)
+
+
 def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
     """(src, dst, distance, nth): the k nearest points of each by Euclidean distance, itself included; ties by id.
 
-    points: (cell_id, vec). The vectors go to every task (counted first, at most MAX_POINTS); tasks take blocks of
-    queries, so no pairs are made.
+    points: (cell_id, vec). A task compares one block of queries with one group of blocks, each of bounded bytes; the
+    groups' k nearest of a query are merged. All pairs are compared, so time grows with the square of the points, but
+    no task or driver holds more than its blocks.
     """
-    n = points.count()
-    if n > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} points")
-    held = points.toPandas().sort_values("cell_id", ignore_index=True)
-    spark = points.sparkSession
-    ids, data = held["cell_id"].to_numpy(), np.array(held["vec"].tolist(), float).reshape(n, -1)
-    shared = spark.sparkContext.broadcast((ids, data, (data * data).sum(axis=1)))
-
-    block = max(1, min(256, (1 << 24) // max(n, 1)))
-    # Twice the most that rounding can move a squared distance, as a share of the two squared norms.
-    slack = 8 * (data.shape[1] + 4) * np.finfo(float).eps
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_ids, own, norm = shared.value
-        for pdf in parts:
-            for at in range(0, len(pdf), block):
-                some = pdf.iloc[at : at + block]
-                q = np.array(some["vec"].tolist(), float)
-                found = []
-                for src, v, rough in zip(some["cell_id"], q, norm - 2 * q @ own.T, strict=True):
-                    # All points that may be as near as the k-th (whole groups of equal distance), and the point itself.
-                    margin = slack * (norm + v @ v)
-                    near = ~(rough - margin > np.partition(rough + margin, min(k, len(own)) - 1)[min(k, len(own)) - 1])
-                    near[np.searchsorted(own_ids, src) : np.searchsorted(own_ids, src, "right")] = True
-                    c = np.flatnonzero(near)
-                    d = np.sqrt(((own[c] - v) ** 2).sum(axis=1))
-                    best = np.lexsort((own_ids[c], d, own_ids[c] != src))
-                    found.append((np.full(len(best[:k]), src), own_ids[c][best[:k]], d[best[:k]]))
-                yield pd.DataFrame({"src": np.concatenate([f[0] for f in found]), "dst": np.concatenate([f[1] for f in found]), "distance": np.concatenate([f[2] for f in found]), "nth": np.concatenate([np.arange(len(f[0])) for f in found])})
-
-    return points.select("cell_id", "vec").mapInPandas(run, "src long, dst long, distance double, nth int")
+    blocks, n_blocks, per_group = _blocks(points)
+    n_groups = -(-n_blocks // per_group)
+    queries = blocks.repartitionById(n_blocks, "block")
+    others = blocks.select(F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2"), F.pmod("block", F.lit(n_groups)).alias("grp")).repartitionById(n_groups, "grp").drop("grp")
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found, held = None, [], np.empty(QUERIES * POINTS)
+        for b in parts:
+            for i in range(b.num_rows):
+                own, ids, vecs, ids2, vecs2 = (b.column(c)[i] for c in range(5))
+                if own.as_py() != block:
+                    yield from results(block, found)
+                    block, q = own.as_py(), np.frombuffer(ids.as_buffer(), np.int64)
+                    v = np.frombuffer(vecs.as_buffer()).reshape(len(q), -1).copy()
+                    found = [_Nearest(q[at : at + QUERIES].copy(), v[at : at + QUERIES], k) for at in range(0, len(q), QUERIES)]
+                p = np.frombuffer(ids2.as_buffer(), np.int64)
+                w = _measured(np.frombuffer(vecs2.as_buffer()).reshape(len(p), -1))
+                for at in range(0, len(p), POINTS):
+                    for f in found:
+                        f.meet(p[at : at + POINTS], w[at : at + POINTS], held)
+        yield from results(block, found)
+
+    def results(block: int | None, found: list[_Nearest]) -> Iterator[pa.RecordBatch]:
+        for i, f in enumerate(found):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([i], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (f.ids, f.row, f.dst, f.d))], names=["block", "part", "ids", "row", "dst", "d"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        ids = np.frombuffer(t.column("ids")[0].as_buffer(), np.int64)
+        row, dst, d = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in t.column(c)]) for c, kind in (("row", np.int64), ("dst", np.int64), ("d", float)))
+        best = _best(k, row, dst, d, dst == ids[row])
+        row = row[best]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        return pa.table({"src": ids[row], "dst": dst[best], "distance": d[best], "nth": nth.astype(np.int32)})
+
+    pairs = queries.hint("shuffle_replicate_nl").crossJoin(others)
+    near = pairs.mapInArrow(compare, "block int, part int, ids binary, row binary, dst binary, d binary")
+    return near.groupBy("block", "part").applyInArrow(merge, "src long, dst long, distance double, nth int")
 
 
 def connectivities(edges: DataFrame) -> DataFrame:

@@ -216,6 +216,22 @@ def test_neighbours_of_many_equal_vectors(spark):
         assert [found[i, n] for n in range(3)] == [(j, pytest.approx(d)) for _, d, j in best]
 
 
+def test_neighbours_in_blocks_that_never_meet_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vec = np.concatenate([rng.normal(size=(300, 5)), np.repeat(rng.normal(size=(1, 5)), 60, axis=0)])
+    points = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(vec)], "cell_id long, vec array<double>")
+    monkeypatch.setattr(type(points), "toPandas", lambda self: pytest.fail("all vectors on the driver"))
+    # 12 blocks of 30 points in 6 groups: every query meets its neighbours in several tasks.
+    for name, value in (("BLOCKS", 12), ("BLOCK_ROWS", 1), ("GROUP_BYTES", 2 * 30 * 5 * 8)):
+        monkeypatch.setattr(dimred, name, value)
+    found = {(r["src"], r["nth"]): (r["dst"], r["distance"]) for r in dimred.neighbours(points, 7).collect()}
+    assert len(found) == 7 * len(vec)
+    for i, v in enumerate(vec):
+        d = np.sqrt(((vec - v) ** 2).sum(axis=1))
+        best = sorted((j != i, d[j], 3 * j) for j in range(len(vec)))[:7]
+        assert [found[3 * i, n] for n in range(7)] == [(j, pytest.approx(d)) for _, d, j in best]
+
+
 def test_dispersion_trend_and_priors_of_all_pairs(spark):
     rng = np.random.default_rng(5)
     mean = np.exp(rng.uniform(-5, 5, 1500))
