@@ -313,7 +313,11 @@ def neighbours(points: DataFrame, k: int = 15) -> DataFrame:
 
 
 def connectivities(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight): exp(-distance / sigma), sigma the mean distance of the farthest neighbour, made symmetric by half sums."""
+    """(src, dst, weight): exp(-distance / sigma), sigma the mean distance of the farthest neighbour, made symmetric by half sums.
+
+    The edges are read three times, so they are found once and written.
+    """
+    edges = written(edges, "edges")
     last = edges.groupBy("src").agg(F.max("distance").alias("far")).agg(F.avg("far").alias("sigma"))
     w = edges.crossJoin(F.broadcast(last)).select("src", "dst", F.exp(-F.greatest("distance", F.lit(1e-10)) / F.greatest("sigma", F.lit(1e-10))).alias("w"))
     both = w.unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -232,6 +232,19 @@ def test_neighbours_in_blocks_that_never_meet_on_the_driver(spark, monkeypatch):
         assert [found[3 * i, n] for n in range(7)] == [(j, pytest.approx(d)) for _, d, j in best]
 
 
+def test_connectivities_find_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.range(50).selectExpr("id AS src", "(id + 1) % 50 AS dst", "1D AS distance").repartition(2).mapInPandas(count, "src long, dst long, distance double")
+    assert dimred.connectivities(edges).count() == 100
+    assert seen.value == 50
+
+
 def test_dispersion_trend_and_priors_of_all_pairs(spark):
     rng = np.random.default_rng(5)
     mean = np.exp(rng.uniform(-5, 5, 1500))
