@@ -31,7 +31,11 @@ def sparse_size_factors(x: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def deseq_size_factors(x: DataFrame, obs: DataFrame, min_genes: int = 10) -> DataFrame:
-    """Medians over the genes that are non-zero in every cell; with fewer than min_genes of them, the sparse kind."""
+    """Medians over the genes that are non-zero in every cell; with fewer than min_genes of them, the sparse kind.
+
+    Counts and cells are read several times, so both are written first.
+    """
+    x, obs = written(x.select("cell_id", "gene_id", "value"), "counts"), written(obs.select("cell_id"), "cells")
     n = obs.count()
     whole = x.groupBy("gene_id").agg(F.count("*").alias("k"), F.exp(F.avg(F.log("value"))).alias("geo")).where(F.col("k") == n)
     if whole.limit(min_genes).count() < min_genes:

@@ -101,6 +101,7 @@ def sparse_factors(spark: SparkSession, d: str) -> DataFrame:
 
 def deseq_factors(spark: SparkSession, d: str) -> DataFrame:
     x, obs, *_ = dense(spark, d)
+    x = store.written(x, "counts")
     have = x.select("cell_id").distinct()
     return rounded(size_factors.deseq_size_factors(x, obs.join(have, "cell_id", "left_semi"), 1), "size_factor")
 
