@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_p, t_p
+from ..sources.store import written
 from .groupstats import against_control, group_stats, is_count_like, label_sizes, labelled, log2_fold, low_expression, normalise
 from .multitest import adjust
 
@@ -77,9 +78,13 @@ def ranked(d: DataFrame, by: str = "statistic") -> DataFrame:
     return d.withColumn("rank", F.row_number().over(order))
 
 
-def rank_sums(x: DataFrame, obs: DataFrame, label: str, control: str, d: DataFrame) -> DataFrame:
+def histogram(x: DataFrame, obs: DataFrame, label: str) -> DataFrame:
+    """(gene_id, lab, value, k): how many cells of a label have a value, written: sums and ranks both come from it."""
+    return written(labelled(x, obs, label).groupBy("gene_id", "lab", "value").agg(F.count("*").cast("double").alias("k")), "histogram")
+
+
+def rank_sums(h: DataFrame, control: str, d: DataFrame) -> DataFrame:
     """(lab, gene_id, r, ties) of the pairs d, as windows over value histograms; the control's is repeated per label."""
-    h = labelled(x, obs, label).groupBy("gene_id", "lab", "value").agg(F.count("*").cast("double").alias("k"))
     zero = F.lit(0.0)
     base = h.where(F.col("lab") == control).select("gene_id", "value", F.col("k").alias("kc"))
     parts = base.join(d.select("lab", "gene_id"), "gene_id").select("lab", "gene_id", "value", "kc", zero.alias("kp"))
@@ -92,13 +97,12 @@ def rank_sums(x: DataFrame, obs: DataFrame, label: str, control: str, d: DataFra
     return t.groupBy("lab", "gene_id").agg(F.sum(F.col("kp") * (F.col("upto") - k + (k + 1) / F.lit(2.0))).alias("r"), F.sum(k * k * k - k).alias("ties"))
 
 
-def rank_sums_by_gene(x: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str) -> DataFrame:
+def rank_sums_by_gene(hist: DataFrame, obs: DataFrame, var: DataFrame, label: str, control: str) -> DataFrame:
     """The same of all pairs, gene by gene: the control's histogram is sorted once and each label's values looked up in it.
 
     A task holds the (label, value, count) histogram of one gene.
     """
     sizes = {r["lab"]: r["n"] for r in label_sizes(obs, label).where("lab IS NOT NULL").collect()}
-    hist = labelled(x, obs, label).groupBy("gene_id", "lab", "value").agg(F.count("*").cast("double").alias("k"))
     # Genes without values, and the control, have a row as well.
     some = var.select("gene_id", F.lit(control).alias("lab"), F.lit(0.0).alias("value"), F.lit(0.0).alias("k"))
 
@@ -143,11 +147,14 @@ def wilcoxon_statistics(x: DataFrame, obs: DataFrame, var: DataFrame, label: str
     counts travel. by_gene takes rank_sums_by_gene, which reads the control once per gene; left out, it is taken for
     more than WINDOW_LABELS labels. Both give the same numbers.
     """
-    stats = group_stats(x, obs, var, label).withColumn("mean", F.col("s1") / F.col("n")).withColumn("pct", F.col("nnz") / F.col("n"))
-    d = against_control(stats, control, ("n", "nnz", "mean", "pct"))
+    hist, k = histogram(x, obs, label), F.col("k")
+    sums = hist.groupBy("lab", "gene_id").agg(F.sum(k * F.col("value")).alias("s1"), F.sum(F.when(F.col("value") != 0, k).otherwise(0.0)).cast("long").alias("nnz"))
+    stats = label_sizes(obs, label).crossJoin(var.select("gene_id")).join(sums, ["lab", "gene_id"], "left").fillna({"s1": 0.0, "nnz": 0})
+    stats = written(stats.withColumn("mean", F.col("s1") / F.col("n")).withColumn("pct", F.col("nnz") / F.col("n")), "sums")
+    d = written(against_control(stats, control, ("n", "nnz", "mean", "pct")), "pairs")
     if by_gene is None:
         by_gene = label_sizes(obs, label).count() > WINDOW_LABELS
-    sums = rank_sums_by_gene(x, obs, var, label, control) if by_gene else rank_sums(x, obs, label, control, d)
+    sums = rank_sums_by_gene(hist, obs, var, label, control) if by_gene else rank_sums(hist, control, d)
     d = d.join(sums, ["lab", "gene_id"])
     N = F.col("n") + F.col("n_c")
     tie = F.greatest(1 - F.col("ties") / (N * N * N - N), F.lit(0.0)) if tie_correct else F.lit(1.0)
