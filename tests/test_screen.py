@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from screenloom import Screen
 from screenloom.functions import labels, special
-from screenloom.operators import differential, dimred, frames, nbglm, qc
+from screenloom.operators import differential, dimred, frames, nbglm, qc, size_factors
 from screenloom.operators.groupstats import normalise
 from screenloom.plans import result_queries, screen_queries
 from screenloom.sources import store
@@ -274,6 +274,30 @@ def test_nb_glm_takes_cells_that_are_alike_together(spark):
     assert seen.value == len(rows)
 
 
+def counted(spark, rows):
+    """Counts that say how many of their rows were made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    kind = "cell_id long, gene_id long, value double"
+    return spark.createDataFrame(rows, kind).mapInPandas(count, kind), seen
+
+
+def test_size_factors_and_rank_sums_make_counts_once(spark):
+    rows = [(c, g, float(1 + (c * 7 + g) % 5)) for c in range(20) for g in range(4) if (c + g) % 3]
+    x, seen = counted(spark, rows)
+    obs = spark.createDataFrame([(c, "ctrl" if c % 2 else "A") for c in range(20)], "cell_id long, lab string")
+    assert size_factors.deseq_size_factors(x, obs).count() == 20
+    assert seen.value == len(rows)
+    seen.value = 0
+    assert differential.wilcoxon_statistics(x, obs, spark.range(4).withColumnRenamed("id", "gene_id"), "lab", "ctrl").count() == 4
+    assert seen.value == len(rows)
+
+
 def test_dispersion_trend_and_priors_of_all_pairs(spark):
     rng = np.random.default_rng(5)
     mean = np.exp(rng.uniform(-5, 5, 1500))
